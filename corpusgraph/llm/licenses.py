@@ -102,10 +102,10 @@ def oracle(id_col: str = "doc_id", text_col: str = "text", table: str = "documen
     return f"""
 WITH cut AS (
   SELECT {id_col}, list_transform(string_split(regexp_replace(lower(coalesce({text_col}, '')), '([.;:!?])[\\x09-\\x0D\\x20]+', '\\1' || chr(10), 'g'), chr(10)),
-         s -> trim(regexp_replace(s, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS parts FROM {table}
+         lambda s: trim(regexp_replace(s, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS parts FROM {table}
 ), named AS (
-  SELECT {id_col}, list_transform(list_filter(parts, s -> list_contains({keys}, s)), s -> list_extract({values}, list_position({keys}, s))) AS ids FROM cut
+  SELECT {id_col}, list_transform(list_filter(parts, lambda s: list_contains({keys}, s)), lambda s: list_extract({values}, list_position({keys}, s))) AS ids FROM cut
 ), seqs AS (SELECT {id_col}, ids, '|' || coalesce(array_to_string(ids, '{_JOINT}'), '') || '|' AS seq FROM named)
 SELECT {id_col}, len(ids)::BIGINT AS n_known, coalesce(array_to_string(ids, ' '), '') AS sentence_ids,
-       coalesce(array_to_string(list_filter([{cases}], x -> x IS NOT NULL), ' '), '') AS licenses FROM seqs
+       coalesce(array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ' '), '') AS licenses FROM seqs
 """
