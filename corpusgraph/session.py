@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: dict[str, str] = {}
 
+#: Bounds of the Arrow batches that pass between the JVM and Python workers: texts can be long, so few rows go at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path may live in any store that Spark can read."""
@@ -41,7 +44,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application (and once per change of its code)."""
+    """Send this package to the Python workers once per application (and once per change of its code), and bound their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     digest, files = hashlib.sha256(), sorted(_PACKAGE.rglob("*.py"))
     for f in files:
         digest.update(f.relative_to(_PACKAGE.parent).as_posix().encode() + f.read_bytes())
