@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from corpusgraph.plans import REGISTRY, ops_queries, text_queries, vector_queries  # noqa: F401  (the modules register their queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
