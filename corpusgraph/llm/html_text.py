@@ -2,7 +2,8 @@
 
 A page's text is cut into blocks; each belongs to the path of tags from the root to it. Per path: characters of text and
 marks of punctuation, each per block, are fused into one score; the scores are smoothed over the page in block order, and
-blocks of paths above the threshold (the smaller of mean and standard deviation) are content. Parts that are never article
+blocks of paths above the threshold (the smaller of mean and standard deviation) are content. Where the best path lies
+below a part of the body, that part's blocks are content, so that its headings and short paragraphs stay. Parts that are never article
 text by their tag, role or name (menus, forms, adverts, comments ...) are left out before; inside ``article`` or ``main``
 the container speaks for a block, and only pure link lists below the threshold are dropped.
 
@@ -154,12 +155,14 @@ def content(page: str | None, width: float = 1.0) -> str:
     smooth = (np.convolve(raw, kernel, "full")[2:-2] / weight + raw) / 2
     threshold = min(raw.mean(), max(raw.std(), 0.5 * raw.mean()))
     held = any(h for _, _, h, _ in found)
+    # without a container: the path with most text, weighted by its score, names the parent; its other children belong to it
+    top = max(paths, key=lambda p: ratio[p] * paths[p][0]).rpartition("/")[0] + "/"
     keep = []
-    for (_, s, inside, links), score in zip(found, smooth, strict=True):
+    for (path, s, inside, links), score in zip(found, smooth, strict=True):
         if held:
             ok = inside and not (links >= 0.9 and score < threshold)
         else:
-            ok = score >= threshold and links < 0.9
+            ok = links < 0.9 and (path.startswith(top) if top.count("/") > 2 else score >= threshold)
         if ok:
             keep.append(s)
     return "\n".join(keep)
