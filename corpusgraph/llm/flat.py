@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; bounds the temporaries of a worker (a single longer text is handled alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
