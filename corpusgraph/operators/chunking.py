@@ -91,3 +91,41 @@ def recursive(docs: DataFrame, id_col: str, text_col: str, size: int = 400, over
 def assembled(docs: DataFrame, id_col: str, text_col: str, least: int = 100, most: int = 1000) -> DataFrame:
     """Sentence ends as boundaries."""
     return _explode(docs, id_col, text_col, lambda t: assemble(t, [m.end() for m in re.finditer(r"(?<=[.!?])\s+", t)], least, most))
+
+
+def _sentence_vectors(sentences: list[str], size: int = 64):
+    """Counts of hashed words: a deterministic stand-in for an embedding service."""
+    import zlib
+
+    import numpy as np
+
+    out = np.zeros((len(sentences), size))
+    for k, s in enumerate(sentences):
+        for w in s.lower().split():
+            out[k, zlib.crc32(w.encode()) % size] += 1
+    return out
+
+
+def split_by_similarity(text: str, threshold: float = 0.78, least: int = 100, most: int = 1000, embed=_sentence_vectors) -> list[str]:
+    """Sentences joined until a chunk would be too long, or is long enough and the next sentence differs."""
+    import numpy as np
+
+    found = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
+    if not found:
+        return []
+    v = embed(found)
+    n = np.linalg.norm(v, axis=1)
+    out, held = [], [found[0]]
+    for k in range(1, len(found)):
+        cos = float(v[k] @ v[k - 1] / (n[k] * n[k - 1])) if n[k] * n[k - 1] else 0.0
+        size = len(" ".join(held))
+        if size + 1 + len(found[k]) > most or size >= least and cos < threshold:
+            out.append(" ".join(held))
+            held = []
+        held.append(found[k])
+    out.append(" ".join(held))
+    return [c for m in out for c in (split_recursive(m, most, 0) if len(m) > most else [m])]
+
+
+def by_similarity(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.78, least: int = 100, most: int = 1000) -> DataFrame:
+    return _explode(docs, id_col, text_col, lambda t: split_by_similarity(t, threshold, least, most))
