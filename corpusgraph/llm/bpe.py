@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the caches of a worker (entries); a full cache is emptied.
-CACHE_WORDS, CACHE_ARCS = 250_000, 1_500_000
+CACHE_WORDS, CACHE_ARCS = 350_000, 1_500_000
 _NEVER = 1 << 60
 
 
@@ -64,7 +64,13 @@ class MergeAutomaton:
                 final[s[: -len(suffix)]] = i
             else:
                 inner[s] = i
-        self.inner, self.final, self.longest = inner, final, max(map(len, [*inner, *final]), default=1)
+        self.inner, self.final = inner, final
+        # the longest label with an ending of three symbols; no longer one need be tried where a word has this ending
+        self.reach_inner, self.reach_final = ({}, {})
+        for reach, some in ((self.reach_inner, inner), (self.reach_final, final)):
+            for label in sorted(some, key=len):
+                if len(label) > 2:
+                    reach[label[-3:]] = len(label)
 
     def arc(self, x: int, y: int) -> bool:
         """Whether the state that x leads to has an arc labelled y: no gadget on the way took it off."""
@@ -94,34 +100,41 @@ class MergeAutomaton:
         Ends are settled when needed: the last arc of a prefix asks for the last arc of a shorter one. Prefixes of long words
         are settled from left to right instead, so that the depth of calls is bounded.
         """
-        n, last, back = len(s), [-1] * (len(s) + 1), [0] * (len(s) + 1)
-        inner, final, longest, table, allowed = self.inner.get, self.final.get, self.longest, self.table.get, self._allowed
-
-        def settle(i: int) -> int:
-            get = inner if i < n else final
-            for j in range(i - longest if i > longest else 0, i):
+        n = len(s)
+        whole = self.final.get(s)
+        if whole is not None:
+            return [whole]
+        last, back = [-1] * (n + 1), [0] * (n + 1)
+        inner, reach_inner, table, allowed = self.inner.get, self.reach_inner.get, self.table.get, self._allowed
+
+        def settle(i: int, get, reach) -> int:
+            far = reach(s[i - 3 : i], 2) if i > 2 else i
+            for j in range(i - far if i > far else 0, i):
                 t = get(s[j:i])
                 if t is None:
                     continue
                 if j:
                     x = last[j]
                     if x < 0:
-                        x = settle(j)
+                        x = settle(j, inner, reach_inner)
                     ok = table(x << 24 | t)
-                    if not (allowed(x, t) if ok is None else ok):
+                    if ok is None:
+                        ok = allowed(x, t)
+                    if not ok:
                         continue
                 last[i], back[i] = t, j
                 return t
             raise ValueError(f"no arc for a symbol of {s!r}")
 
         for i in range(1, n) if n > 256 else ():
-            settle(i)
-        settle(n)
+            settle(i, inner, reach_inner)
+        settle(n, self.final.get, self.reach_final.get)
         out = []
         while n:
             out.append(last[n])
             n = back[n]
-        return out[::-1]
+        out.reverse()
+        return out
 
 
 class Tokenizer:
@@ -141,36 +154,41 @@ class Tokenizer:
         self.labels = self.automaton.labels | {i: s for s, i in self.special.items()}
         self.split = regex.compile(split)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.bytes = byte_symbols()
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.bytes = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
+        self.raw = {i: i.to_bytes(4, "little") for i in self.labels}
+        #: Encodings of words and of runs without white space: a word is encoded alike as a run of its own.
+        self.known: dict[str, tuple[bytes, str]] = {}
+
+    def _keep(self, key: str, got: tuple[bytes, str]) -> tuple[bytes, str]:
+        if len(key) <= 64:
+            if len(self.known) >= CACHE_WORDS:
+                self.known.clear()
+            self.known[key] = got
+        return got
 
     def _word(self, w: str) -> tuple[bytes, str]:
-        got = self.words.get(w)
-        if got is None:
-            ids = self.automaton.word("".join([self.bytes[b] for b in w.encode()]))
-            got = b"".join([i.to_bytes(4, "little") for i in ids]), " ".join([self.labels[i] for i in ids])
-            if len(w) <= 64:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                self.words[w] = got
-        return got
+        """A normalised word of the pre-split."""
+        # printable ASCII bytes stand for themselves
+        ids = self.automaton.word(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.bytes))
+        if len(ids) == 1:
+            return self._keep(w, (self.raw[ids[0]], self.labels[ids[0]]))
+        raw, labels = self.raw, self.labels
+        return self._keep(w, (b"".join([raw[i] for i in ids]), " ".join([labels[i] for i in ids])))
 
     def _chunk(self, c: str) -> tuple[bytes, str]:
         """A run without white space; no word of the pre-split crosses white space."""
+        get = self.known.get
         s = c if c.isascii() else unicodedata.normalize("NFC", c)
         s = s.lower() if "Σ" not in s else "".join(x.lower() for x in s)
-        parts = [self._word(w) for w in self.split.findall(s)]
-        got = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
-        if len(c) <= 64:
-            if len(self.chunks) >= CACHE_WORDS:
-                self.chunks.clear()
-            self.chunks[c] = got
-        return got
+        words = [s] if s.isalpha() and s.isascii() else self.split.findall(s)
+        parts = [get(w) or self._word(w) for w in words]
+        if len(words) == 1 and words[0] == c:
+            return parts[0]
+        return self._keep(c, parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])))
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """(ids as little-endian unsigned 32-bit integers, decoded text)."""
-        ids, said, get, one = [], [], self.chunks.get, self._chunk
+        ids, said, get, one = [], [], self.known.get, self._chunk
         parts = self.cut.split(text or "") if self.cut and "<|" in (text or "") else [text or ""]
         for k, part in enumerate(parts):
             if k % 2:
