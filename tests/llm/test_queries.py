@@ -5,10 +5,12 @@ import collections
 import glob
 import hashlib
 import os
+import random
 import re
 import zlib
 
 import duckdb
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -136,6 +138,38 @@ def brute_classes(docs):
     return {d: min(g) for g in groups.values() for d in g}
 
 
+def test_links_between_members_unlike_all_hubs_are_found(sp, monkeypatch):
+    monkeypatch.setattr(dartminhash, "QUERIES", 16)
+    monkeypatch.setattr(dartminhash, "SEARCHED", 64)
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 1 << 16, (400, 120), dtype=np.uint16)
+    planted = {(k, k + 200) for k in range(2, 100)}
+    for a, b in planted:
+        sig[b, :96] = sig[a, :96]
+    sig[300:400, :60] = sig[300, :60]  # half alike: no candidates
+    signs = sp.createDataFrame([(k, sig[k].tobytes()) for k in range(400)], "rep long, sig binary")
+    members = sp.createDataFrame([(7, k) for k in range(400)], "key long, rep long")
+    hubs = sp.createDataFrame([(7, 0, 1)], "key long, hub long, low long")
+    roots = sp.createDataFrame([(k, 310) for k in range(310, 400)], "node long, root long")
+    found = {tuple(sorted(r)) for r in dartminhash.across(members, hubs, roots, signs, 120, 0.8).collect()}
+    assert found == planted
+    assert dartminhash.across(members.limit(0), hubs, roots, signs, 120, 0.8).count() == 0
+
+
+def test_families_of_half_alike_texts_equal_brute_force(sp, monkeypatch):
+    monkeypatch.setattr(dartminhash, "QUERIES", 4)
+    monkeypatch.setattr(dartminhash, "SEARCHED", 8)
+    rng, docs = random.Random(3), []
+    base = [f"w{k}" for k in range(160)]
+    for k in range(40):
+        own = base[:120] + [f"x{k}y{j}" for j in range(40 + k % 5)]
+        docs.append({"doc_id": 2 * k, "text": " ".join(own)})
+        docs.append({"doc_id": 2 * k + 1, "text": " ".join(own[: 156 - k % 3] + [f"z{k}"] * (k % 4))})
+    rng.shuffle(docs)
+    found = dartminhash.near_duplicates(sp.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == brute_classes(docs)
+
+
 def test_op3_equals_brute_force(sp, docs):
     assert {r["doc_id"]: r["class_id"] for r in run(sp, "op3_near_duplicates")} == brute_classes(docs)
 
