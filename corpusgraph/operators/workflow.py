@@ -58,3 +58,34 @@ def with_defaults(users: DataFrame, preferences: DataFrame, key: str, defaults:
     """Every user's preferences, with defaults where there is no row or no value."""
     both = users.select(key).join(preferences, key, "left")
     return both.select(key, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()])
+
+
+def typed_reply(question: Column, text: Column) -> Column:
+    """A reply's value as text: whole numbers from 1 to 5 for importance and urgency, else the trimmed text; null if it doesn't fit."""
+    said = F.trim(text)
+    number = F.when(said.rlike("^[1-5]$"), said)
+    return F.when(question.isin("importance", "urgency"), number).when(said != "", said)
+
+
+def delta_outcome(changed: Column, attempts_failed: Column, old_hash: Column, new_hash: Column, retries: int = 2) -> Column:
+    """What became of a cluster: unchanged, failed (all retries used up), skipped (same profile) or updated."""
+    return F.when(~changed, "unchanged").when(attempts_failed > retries, "failed").when(old_hash.eqNullSafe(new_hash), "skipped").otherwise("updated")
+
+
+def escalations(proposals: DataFrame, intents: DataFrame) -> DataFrame:
+    """(message_id, context_id) of rejected proposals that have no intent yet."""
+    rejected = proposals.where("status = 'rejected'").select("discovery_id").distinct()
+    new = rejected.select(F.concat(F.lit("proposal_escalation:"), F.col("discovery_id").cast("string")).alias("message_id"), F.concat(F.lit("discovery:"), F.col("discovery_id").cast("string")).alias("context_id"))
+    return new.join(intents.select("message_id"), "message_id", "left_anti")
+
+
+def outbox_step(status: Column, attempts: Column, event: Column, wants_answer: Column, most: int = 3) -> Column:
+    """A message's next (status, attempts) after one event: delivered, error, response or requeue; other events change nothing."""
+    pair = lambda s, n: F.struct(s.alias("status"), n.alias("attempts"))
+    sent = F.when(wants_answer, "awaiting_response").otherwise("delivered")
+    failed = F.when(attempts + 1 >= most, "failed").otherwise("pending")
+    return (
+        F.when((status == "pending") & (event == "delivered"), pair(sent, attempts)).when((status == "pending") & (event == "error"), pair(failed, attempts + 1))
+        .when((status == "awaiting_response") & (event == "response"), pair(F.lit("delivered"), attempts)).when((status == "failed") & (event == "requeue"), pair(F.lit("pending"), 0 * attempts))
+        .otherwise(pair(status, attempts))
+    )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import notes as N
-from corpusgraph.operators import clusters, workflow
+from corpusgraph.operators import clusters, structure, workflow
 from corpusgraph.plans import query
-from corpusgraph.session import table
+from corpusgraph.session import ship, table
+from corpusgraph.sources import sinks
 
 
 def _now():
@@ -187,3 +188,89 @@ def quality_report(spark, sf_dir):
     ends = F.avg(F.trim("text").rlike(r"[.!?]\z|\A\z").cast("double"))
     lines = F.format_string("# Chunks of %s\n- Number: %d\n- Avg size: %.0f\n- Ends well: %.1f%%", "lang", F.count("*"), F.round(F.avg(F.length("text")), 0), F.round(100 * ends, 1))
     return d.groupBy("lang").agg(lines.alias("report")).select("report")
+
+
+@query("""WITH t AS (SELECT DISTINCT conv_id, turn, turn % 3 + 1 AS level, repeat('#', (turn % 3 + 1)::INTEGER) || ' t' || turn AS head, length(repeat('#', (turn % 3 + 1)::INTEGER) || ' t' || turn) + 2 + turn % 4 AS n FROM conversations), h AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, sum(n) OVER (PARTITION BY conv_id)::BIGINT AS total FROM t)
+SELECT h.conv_id, h.head, h.start, (SELECT coalesce(min(k.start), h.total) FROM h k WHERE k.conv_id = h.conv_id AND k.start > h.start AND k.level <= h.level)::BIGINT AS stop, (SELECT coalesce(max(k.start), -1) FROM h k WHERE k.conv_id = h.conv_id AND k.start < h.start AND k.level < h.level)::BIGINT AS parent FROM h""")
+def heading_outline(spark, sf_dir):
+    """Headings of three ranks as a tree: the extent of each with all below it, and the heading above."""
+    ship(spark)
+    n = F.col("turn")
+    part = F.concat(F.repeat(F.lit("#"), (n % 3 + 1).cast("int")), F.lit(" t"), n.cast("string"), F.lit("\n"), F.repeat(F.lit("x"), (n % 4).cast("int")), F.lit("\n"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct().withColumn("part", part)
+    note = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda s: s["part"]), "")
+    tree = structure.heading_tree(turns.groupBy("conv_id").agg(note.alias("note")), "conv_id", "note")
+    head = F.concat(F.repeat(F.lit("#"), F.col("node.level")), F.lit(" "), "node.title")
+    return tree.select("conv_id", head.alias("head"), "node.start", F.col("node.end").alias("stop"), F.coalesce("node.parent", F.lit(-1)).alias("parent"))
+
+
+@query("""WITH c AS (SELECT doc_id, text, unnest(range(0, length(text), 300)) AS cut FROM documents WHERE text != '') SELECT doc_id, cut, (strpos(text, substring(text, (cut + 1)::INTEGER, 100)) - 1)::BIGINT AS position FROM c""")
+def structure_backfill(spark, sf_dir):
+    """Places of chunks that were stored without any, found by their first characters."""
+    d = table(spark, sf_dir, "documents").where("text != ''").select("doc_id", "text")
+    cut = F.sequence(F.lit(0).cast("long"), F.length("text").cast("long") - 1, F.lit(300).cast("long"))
+    chunks = d.select("doc_id", "text", F.explode(cut).alias("cut")).select("doc_id", "cut", F.expr("substring(text, cast(cut + 1 as int), 300)").alias("chunk"))
+    return structure.backfill(chunks, d, "doc_id", "text", "chunk").select("doc_id", "cut", "position")
+
+
+@query("""SELECT count(*)::BIGINT AS total_files, count(*) FILTER (WHERE trim(coalesce(text, '')) != '')::BIGINT AS files_processed, count(*) FILTER (WHERE trim(coalesce(text, '')) = '')::BIGINT AS files_skipped, coalesce(sum(CASE WHEN trim(coalesce(text, '')) != '' THEN (len(regexp_split_to_array(trim(text, ' \\t\\n\\r\\x0B\\x0C'), '[\\x09-\\x0D\\x20]+')) + 499) // 500 END), 0)::BIGINT AS total_chunks FROM documents""".replace("\\t", "' || chr(9) || '").replace("\\n", "' || chr(10) || '").replace("\\r", "' || chr(13) || '").replace("\\x0B", "' || chr(11) || '").replace("\\x0C", "' || chr(12) || '"))
+def ingest_stats(spark, sf_dir):
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    words = F.size(F.split(F.regexp_replace("text", rf"^{N.BLANK}|{N.BLANK}$", ""), N.BLANK))
+    one = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("total_files"), one(~blank).alias("files_processed"), one(blank).alias("files_skipped"), one(F.when(~blank, F.floor((words + 499) / 500))).alias("total_chunks"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CASE WHEN event_id % 8 BETWEEN 1 AND 5 THEN (event_id % 8)::VARCHAR END WHEN event_id % 4 != 0 THEN event_type END AS answer FROM events""")
+def typed_replies(spark, sf_dir):
+    n = F.col("event_id")
+    question = F.when(n % 3 == 0, "importance").when(n % 3 == 1, "urgency").otherwise("description")
+    text = F.when(n % 3 < 2, F.concat(F.lit(" "), (n % 8).cast("string"), F.lit(" "))).when(n % 4 != 0, F.concat(F.lit("  "), "event_type")).otherwise("  ")
+    return table(spark, sf_dir, "events").select("event_id", workflow.typed_reply(question, text).alias("answer"))
+
+
+@query("""SELECT outcome, count(*)::BIGINT AS n FROM (SELECT CASE WHEN NOT (s > 500) THEN 'unchanged' WHEN user_id % 4 = 3 THEN 'failed' WHEN user_id % 5 = 0 THEN 'skipped' ELSE 'updated' END AS outcome FROM (SELECT user_id, round(sum(value), 2) AS s FROM events GROUP BY 1)) GROUP BY 1""")
+def delta_outcomes(spark, sf_dir):
+    u = F.col("user_id")
+    snapshots = table(spark, sf_dir, "events").groupBy("user_id").agg((F.round(F.sum("value"), 2) > 500).alias("changed"))
+    digest = F.sha2(u.cast("string"), 256)
+    outcome = workflow.delta_outcome(F.col("changed"), u % 4, F.when(u % 5 == 0, digest), digest)
+    return snapshots.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT DISTINCT 'proposal_escalation:' || o_custkey AS message_id, 'discovery:' || o_custkey AS context_id FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 != 0""")
+def proposal_escalations(spark, sf_dir):
+    """Rejected proposals (orders with status F); every third discovery was escalated before."""
+    proposals = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("discovery_id"), F.when(F.col("o_orderstatus") == "F", "rejected").otherwise("open").alias("status"))
+    known = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("proposal_escalation:"), F.col("c_custkey").cast("string")).alias("message_id"))
+    return workflow.escalations(proposals, known)
+
+
+@query("""WITH n AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 10 != 0), e AS (SELECT c_custkey AS source, c_custkey + 1 AS target, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE 'old' END AS kind FROM customer) SELECT source, target, kind FROM e WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n)""")
+def graph_merge(spark, sf_dir):
+    """Edges after a merge: nodes that come again bring new edges, and edges without both ends are dropped."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    at = lambda s: F.lit(s).alias("updated_at")
+    edge = lambda df, kind: df.select(k.alias("source"), (k + 1).alias("target"), F.lit(kind).alias("kind"))
+    nodes, again = c.where(k % 10 != 0), c.where((k % 4 == 0) & (k % 10 != 0))
+    _, edges = sinks.merge_graph(nodes.select(k.alias("id"), at("2024-01-01")), edge(c, "old"), again.select(k.alias("id"), at("2024-01-02")), edge(c.where(k % 4 == 0), "new"))
+    return edges
+
+
+@query("""SELECT status, attempts, count(*)::BIGINT AS n FROM (SELECT CASE WHEN s = 0 AND e = 'delivered' THEN CASE WHEN w THEN 'awaiting_response' ELSE 'delivered' END WHEN s = 0 AND e = 'error' THEN CASE WHEN a + 1 >= 3 THEN 'failed' ELSE 'pending' END WHEN s = 1 AND e = 'response' THEN 'delivered' WHEN s = 2 AND e = 'requeue' THEN 'pending' ELSE ['pending', 'awaiting_response', 'failed'][s + 1] END AS status,
+CASE WHEN s = 0 AND e = 'error' THEN a + 1 WHEN s = 2 AND e = 'requeue' THEN 0 ELSE a END AS attempts FROM (SELECT event_id % 3 AS s, event_id % 4 AS a, ['delivered', 'error', 'response', 'requeue'][user_id % 4 + 1] AS e, event_id % 2 = 0 AS w FROM events)) GROUP BY 1, 2""")
+def outbox_steps(spark, sf_dir):
+    pick = lambda c, *xs: F.element_at(F.array(*map(F.lit, xs)), (c + 1).cast("int"))
+    n = F.col("event_id")
+    step = workflow.outbox_step(pick(n % 3, "pending", "awaiting_response", "failed"), n % 4, pick(F.col("user_id") % 4, "delivered", "error", "response", "requeue"), n % 2 == 0)
+    return table(spark, sf_dir, "events").select(step.alias("s")).groupBy("s.status", "s.attempts").agg(F.count("*").alias("n"))
+
+
+@query(None)
+def dual_collection_clusters(spark, sf_dir):
+    """Two collections (even and odd ids), each clustered with its own k; sizes by collection and cluster."""
+    vecs, out = table(spark, sf_dir, "embeddings"), None
+    for name, rest, k in (("notes", 0, 3), ("mail", 1, 5)):
+        part = clusters.lloyd(vecs.where(F.col("vec_id") % 2 == rest), "vec_id", "embedding", k, 2).groupBy("cluster").agg(F.count("*").alias("n")).select(F.lit(name).alias("collection"), "cluster", "n")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -121,3 +121,37 @@ def test_stream_first_seen_and_debounce(spark, tmp_path):
     assert spark.table("seen").count() == 2
     assert sorted((r["k"], r["n"]) for r in spark.table("bounce").collect()) == [("u", 0), ("u", 70), ("v", 0)]
     assert os.path.isdir(tmp_path / "seen")
+
+
+def test_outline_of_notes():
+    from corpusgraph.operators.structure import outline
+
+    assert outline("") == [] and outline("no heading") == []
+    note = "# A\nx\n## B\ny\n# C\n"
+    got = [(n["level"], n["title"], n["start"], n["end"], n["parent"], n["path"]) for n in outline(note)]
+    assert got == [(1, "A", 0, 13, None, "# A"), (2, "B", 6, 13, 0, "# A > ## B"), (1, "C", 13, 17, None, "# C")]
+
+
+def test_summary_sink(spark, tmp_path):
+    import csv
+    import glob
+
+    from corpusgraph.sources.sinks import write_summary
+
+    write_summary(spark.createDataFrame([(1, "a,b")], "n int, name string"), str(tmp_path / "s"), ["name", "missing", "n"])
+    with open(glob.glob(str(tmp_path / "s/csv/*.csv"))[0], newline="") as f:
+        assert list(csv.reader(f)) == [["name", "missing", "n"], ["a,b", "", "1"]]
+
+
+def test_note_columns_take_nulls_and_empty_texts(spark):
+    from pyspark.sql import functions as F
+
+    from corpusgraph.functions import notes as N
+
+    t = F.col("t")
+    rows = spark.createDataFrame([(None,), ("",), ("# T\nabout\n## Own\nx",)], "t string").select(
+        N.file_title(t).alias("file"), N.front_matter(t).alias("front"), N.custom_sections(t).alias("own"), N.description(t).alias("about"), N.callback(t).alias("call"), N.lenient_json(t, "k int").alias("json"), N.instant(t).alias("at"), N.csv_fields(t).alias("csv"),
+    ).collect()
+    assert [r["file"] for r in rows] == [None, "", "T-About-Own-x"] and [r["about"] for r in rows] == [None, "", "about"]
+    assert [r["own"] for r in rows] == [None, [], ["## Own\nx"]] and not any(r["call"] or r["json"] or r["at"] for r in rows)
+    assert rows[1]["csv"] == [] and rows[1]["front"] == {}
