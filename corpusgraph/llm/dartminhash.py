@@ -10,10 +10,10 @@ about k ln k + 2k darts, however long it is; where a coordinate is still empty,
 Signatures are cut into bands. Documents that share a band are candidates. Most links show early: in each bucket every member
 is compared with two hubs (the member that shares most buckets overall, and the smallest), then parts that are still separate
 with one more. The rest is exact: of each bucket, all members outside the largest part are a query set that meets all members
-in blocks, each block a bounded group in which whole signatures are compared. Only pairs of different parts whose signatures
-agree nearly as often as the threshold asks leave a block, so no bucket is gathered in a task and its pairs are not listed.
-Candidate pairs are verified with exact weighted Jaccard similarity over whole texts; links at or above the threshold give
-classes (connected components).
+in blocks of bounded size. In a block, signatures that agree nearly as often as the threshold asks are followed by the exact
+weighted Jaccard similarity; one link per query and part leaves it. So no bucket is gathered in a task, and its pairs are not
+listed. All links come from exact similarities of whole texts, at or above the threshold; they give classes (connected
+components).
 
 Exact copies (same lower-case words) are merged before banding. With 24 bands of 5, a pair of similarity 0.8 shares no band
 with probability 7e-5; in a block, its 120 coordinates fall below the margin of five standard deviations with less than 1e-6.
@@ -38,8 +38,9 @@ from corpusgraph.session import materialise
 WORDS, BANDS, ROWS, SIMILARITY = 5, 24, 5, 0.8
 #: Largest table (rows of one id) that is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Members of a bucket that meet in one block, as queries and as those searched.
+#: About as many members of a bucket meet in one block, as queries and as those searched; of long texts fewer, by their cells.
 QUERIES, SEARCHED = 256, 2048
+QUERY_CELLS, SEARCHED_CELLS = 1 << 18, 1 << 20
 
 
 def cells(data: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,10 +107,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, d1, d2, bands, sig): digests of the words, band keys and the signature in 16 bits a coordinate. No shuffle.
-
-    Digests are null and bands empty for texts without words.
-    """
+    """(id, d1, d2, bands): digests of the words and band keys; null and empty for texts without words. No shuffle."""
     source = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,13 +117,12 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int,
                 n = hi - lo
                 cell, doc, d1, d2 = cells(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
                 none = np.bincount(doc, minlength=n) == 0
-                full = signatures(cell, doc, n, bands * rows)
-                keys, short = band_keys(full, bands, rows), pa.array([x.tobytes() for x in full.astype(np.uint16)], pa.binary())
+                keys = band_keys(signatures(cell, doc, n, bands * rows), bands, rows)
                 size = np.where(none, 0, bands)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(keys[~none].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(d1.view(np.int64), mask=none), pa.array(d2.view(np.int64), mask=none), lists, short], names=["id", "d1", "d2", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(d1.view(np.int64), mask=none), pa.array(d2.view(np.int64), mask=none), lists], names=["id", "d1", "d2", "bands"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, d1 long, d2 long, bands array<long>, sig binary")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, d1 long, d2 long, bands array<long>")
 
 
 def similarity(left: pa.Array, right: pa.Array, words: int = WORDS) -> np.ndarray:
@@ -162,45 +159,78 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) ->
     return both.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
-def across(members: DataFrame, hubs: DataFrame, roots: DataFrame, signs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(rep, other): pairs of a bucket that lie in different parts and whose signatures agree about as often as ``threshold``.
+def marks(texts: DataFrame, words: int, k: int) -> DataFrame:
+    """(rep, sig, cells, n) of texts (id, text): the signature in 16 bits a coordinate, the sorted cells and their number."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = flat.buffers(batch.column(1))
+            for lo, hi in flat.groups(off):
+                n = hi - lo
+                cell, doc, *_ = cells(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
+                sig = signatures(cell, doc, n, k).astype(np.uint16)
+                size = np.bincount(doc, minlength=n)
+                parts = np.split(cell[np.lexsort((cell, doc))], np.cumsum(size)[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(size)], names=["rep", "sig", "cells", "n"])
 
-    members (key, rep), hubs (key, hub, low) and roots (node, root) as in near_duplicates; signs (rep, sig). Hubs have met all of
-    their bucket already. A pair can come more than once.
+    return texts.select("id", "text").mapInArrow(run, f"rep {kind}, sig binary, cells binary, n long")
+
+
+def block_links(asks: np.ndarray, part: np.ndarray, sig: np.ndarray, cell: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a block's queries to members of other parts, one for each query and part: places of both ends."""
+    k = sig.shape[1]
+    least = k * threshold - 5 * np.sqrt(k * threshold * (1 - threshold))
+    first = np.concatenate([[0], np.cumsum(size)])
+    known, number = np.unique(cell, return_inverse=True)
+    held, inner, left, right = np.zeros(len(known), bool), np.flatnonzero(~asks), [], []
+    for x in np.flatnonzero(asks):
+        y = inner[((sig[inner] == sig[x]).sum(1) >= least) & (part[inner] != part[x])]
+        own = number[first[x] : first[x + 1]]
+        held[own] = True
+        shared = np.array([held[number[first[j] : first[j + 1]]].sum() for j in y], float)
+        held[own] = False
+        y = y[shared / np.maximum(size[x] + size[y] - shared, 1) >= threshold]
+        y = y[np.unique(part[y], return_index=True)[1]]
+        left.append(np.full(len(y), x))
+        right.append(y)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def across(members: DataFrame, hubs: DataFrame, roots: DataFrame, texts: DataFrame, words: int, k: int, threshold: float) -> DataFrame:
+    """Links (a, b) between members of a bucket that lie in different parts and aren't hubs.
+
+    members (key, rep), hubs (key, hub, low) and roots (node, root) as in near_duplicates; texts (id, text). Hubs have met all of
+    their bucket already. A link can come more than once.
     """
     kind = members.schema["rep"].dataType.simpleString()
-    least = k * threshold - 5 * np.sqrt(k * threshold * (1 - threshold))
     rest = members.join(hubs, "key").where("rep != hub and rep != low").select("key", "rep")
     rest = rest.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("part"))
-    sizes = rest.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    sizes = sizes.select("key", F.col("main.part").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / QUERIES).alias("nq"), F.ceil(F.col("n") / SEARCHED).alias("ns"))
-    rest = materialise(rest.join(sizes, "key"), "rest")
-    ids = rest.select("rep").distinct()
+    main = rest.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rest = materialise(rest.join(main.select("key", "main"), "key").withColumn("asks", F.expr("part != main")), "rest")
+    ids = rest.select(F.col("rep").alias("id")).distinct()
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    rest = rest.join(signs.join(ids, "rep", "left_semi").distinct(), "rep")
-    spread = F.xxhash64("rep", "key")
-    queries = rest.where("part != main").withColumn("q", F.pmod(spread, "nq")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ns") - 1)))
+    known = materialise(marks(texts.join(ids, "id", "left_semi").distinct(), words, k), "marks")
+    rest = rest.join(known, "rep")
+    most = lambda c, members, cells: F.greatest(F.lit(1), F.ceil(F.count(c) / members), F.ceil(F.coalesce(F.sum(c), F.lit(0)) / cells)).cast("long")
+    sizes = rest.groupBy("key").agg(most(F.when(F.col("asks"), F.col("n")), QUERIES, QUERY_CELLS).alias("nq"), most(F.col("n"), SEARCHED, SEARCHED_CELLS).alias("ns"))
+    rest, spread = rest.join(sizes, "key"), F.xxhash64("rep", "key")
+    queries = rest.where("asks").withColumn("q", F.pmod(spread, "nq")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ns") - 1)))
     searched = rest.withColumn("s", F.pmod(spread, "ns")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)))
-    side = lambda df, asks: df.select("key", "q", "s", F.struct(F.lit(asks).alias("asks"), "rep", F.xxhash64("part").alias("part"), "sig").alias("m"))
+    side = lambda df, asks: df.select("key", "q", "s", F.struct(F.lit(asks).alias("asks"), "rep", F.xxhash64("part").alias("part"), "sig", "cells", "n").alias("m"))
     blocks = side(queries, True).unionByName(side(searched, False)).groupBy("key", "q", "s").agg(F.collect_list("m").alias("m")).select("m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.column(0):
                 m = block.values
-                asks, rep, part = m.field("asks").to_numpy(zero_copy_only=False), m.field("rep"), m.field("part").to_numpy()
-                sig = np.frombuffer(b"".join(m.field("sig").to_pylist()), np.uint16).reshape(len(m), k)
-                inner = np.flatnonzero(~asks)
-                left, right = [], []
-                for x in np.flatnonzero(asks):
-                    y = inner[((sig[inner] == sig[x]).sum(1) >= least) & (part[inner] != part[x])]
-                    left.append(np.full(len(y), x))
-                    right.append(y)
-                if left:
-                    yield pa.RecordBatch.from_arrays([rep.take(pa.array(np.concatenate(v))) for v in (left, right)], names=["rep", "other"])
+                joined = lambda name, kind: np.frombuffer(b"".join(m.field(name).to_pylist()), kind)  # noqa: E731, B023
+                ends = block_links(m.field("asks").to_numpy(zero_copy_only=False), m.field("part").to_numpy(), joined("sig", np.uint16).reshape(len(m), k), joined("cells", np.uint64), m.field("n").to_numpy(), threshold)
+                yield pa.RecordBatch.from_arrays([m.field("rep").take(pa.array(v)) for v in ends], names=["rep", "other"])
 
-    return blocks.mapInArrow(run, f"rep {kind}, other {kind}")
+    return blocks.mapInArrow(run, f"rep {kind}, other {kind}").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).where("a != b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bands: int = BANDS, rows: int = ROWS, threshold: float = SIMILARITY) -> DataFrame:
@@ -213,34 +243,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
     hubs = materialise(members.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", "rep"))["rep"].alias("hub"), F.min("rep").alias("low")), "hubs")
     tried, links, roots = None, None, None
-    for step in ("hubs", "parts", "rest"):
+    lower = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
+    for step in ("hubs", "parts"):
         if step == "hubs":
             pairs = members.join(hubs, "key").select("rep", F.explode(F.array("hub", "low")).alias("other"))
-        elif step == "parts":
+        else:
             parts = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("part"), "rep")
             parts = parts.groupBy("key", "part").agg(F.min(F.struct(F.xxhash64("rep", "key"), "rep"))["rep"].alias("rep"))
             centre = parts.groupBy("key").agg(F.count("*").alias("parts"), F.min(F.struct(F.xxhash64("rep", "key"), "rep"))["rep"].alias("other")).where("parts > 1")
             pairs = parts.join(centre, "key").select("rep", "other")
-        else:
-            signs = seen.where("id is not null and d1 is not null").select(F.col("id").alias("rep"), "sig")
-            pairs = across(members.where("n > 3").select("key", "rep"), hubs, roots, signs, bands * rows, threshold)
         new = pairs.where("rep != other").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         if tried is not None:
             new = new.join(tried, ["a", "b"], "left_anti")
         new = materialise(new, "pairs")
         if new.isEmpty():
-            if tried is None:
-                break
-            continue
+            break
         involved = new.select(F.col("a").alias("id")).union(new.select(F.col("b").alias("id"))).distinct()
         if involved.count() <= BROADCAST_ROWS:
             involved = F.broadcast(involved)
-        texts = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text")).join(involved, "id", "left_semi")
-        texts = materialise(texts, "texts")
+        texts = materialise(lower.join(involved, "id", "left_semi"), "texts")
         found = materialise(verify(new, texts, words, threshold).select("a", "b"), "links")
         tried, links = (new, found) if tried is None else (tried.unionByName(new), links.unionByName(found))
         if roots is None or not found.isEmpty():
             roots = materialise(components(links), "roots")
+    if roots is not None:
+        found = materialise(across(members.where("n > 3").select("key", "rep"), hubs, roots, lower.where("id is not null"), words, bands * rows, threshold).distinct(), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = materialise(components(links), "roots")
     out = seen.select("id", "d1", "d2").join(copies, ["d1", "d2"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     if links is not None:
         out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("rep"))

@@ -141,19 +141,19 @@ def brute_classes(docs):
 def test_links_between_members_unlike_all_hubs_are_found(sp, monkeypatch):
     monkeypatch.setattr(dartminhash, "QUERIES", 16)
     monkeypatch.setattr(dartminhash, "SEARCHED", 64)
-    rng = np.random.default_rng(5)
-    sig = rng.integers(0, 1 << 16, (400, 120), dtype=np.uint16)
-    planted = {(k, k + 200) for k in range(2, 100)}
-    for a, b in planted:
-        sig[b, :96] = sig[a, :96]
-    sig[300:400, :60] = sig[300, :60]  # half alike: no candidates
-    signs = sp.createDataFrame([(k, sig[k].tobytes()) for k in range(400)], "rep long, sig binary")
-    members = sp.createDataFrame([(7, k) for k in range(400)], "key long, rep long")
+    monkeypatch.setattr(dartminhash, "QUERY_CELLS", 500)
+    own = [[f"d{k}w{j}" for j in range(60)] for k in range(200)]
+    for k in range(2, 60):
+        own[k + 100] = [*own[k][:57], "other"]  # linked
+    for k in range(170, 200):
+        own[k] = own[170][:40] + own[k][40:]  # half alike
+    texts = sp.createDataFrame([(k, " ".join(w)) for k, w in enumerate(own)], "id long, text string")
+    members = sp.createDataFrame([(7, k) for k in range(200)], "key long, rep long")
     hubs = sp.createDataFrame([(7, 0, 1)], "key long, hub long, low long")
-    roots = sp.createDataFrame([(k, 310) for k in range(310, 400)], "node long, root long")
-    found = {tuple(sorted(r)) for r in dartminhash.across(members, hubs, roots, signs, 120, 0.8).collect()}
-    assert found == planted
-    assert dartminhash.across(members.limit(0), hubs, roots, signs, 120, 0.8).count() == 0
+    roots = sp.createDataFrame([(k, 160) for k in range(160, 170)], "node long, root long")
+    found = {tuple(r) for r in dartminhash.across(members, hubs, roots, texts, 5, 120, 0.8).collect()}
+    assert found == {(k, k + 100) for k in range(2, 60)}
+    assert dartminhash.across(members.limit(0), hubs, roots, texts, 5, 120, 0.8).count() == 0
 
 
 def test_families_of_half_alike_texts_equal_brute_force(sp, monkeypatch):
