@@ -8,8 +8,8 @@ kept; two documents agree in a coordinate with the probability of their weighted
 about k ln k + 2k darts, however long it is; where a coordinate is still empty, it throws on.
 
 Signatures are cut into bands. Documents that share a band are candidates. Most links show early: in each bucket every member
-is compared with two hubs (the member that shares most buckets overall, and the smallest), then parts that are still separate
-with one more. The rest is exact: of each bucket, all members outside the largest part are a query set that meets all members
+is compared with two hubs (the member that shares most buckets overall, and the smallest); these links give parts. The rest is
+exact: of each bucket, all members outside the largest part are a query set that meets all members
 in blocks of bounded size. In a block, signatures that agree nearly as often as the threshold asks are followed by the exact
 weighted Jaccard similarity; one link per query and part leaves it. So no bucket is gathered in a task, and its pairs are not
 listed. All links come from exact similarities of whole texts, at or above the threshold; they give classes (connected
@@ -199,7 +199,7 @@ def block_links(asks: np.ndarray, part: np.ndarray, sig: np.ndarray, cell: np.nd
 
 
 def across(members: DataFrame, hubs: DataFrame, roots: DataFrame, texts: DataFrame, words: int, k: int, threshold: float) -> DataFrame:
-    """Links (a, b) between members of a bucket that lie in different parts and aren't hubs.
+    """Linked parts (a, b): parts of a bucket with members that are linked and aren't hubs.
 
     members (key, rep), hubs (key, hub, low) and roots (node, root) as in near_duplicates; texts (id, text). Hubs have met all of
     their bucket already. A link can come more than once.
@@ -219,7 +219,7 @@ def across(members: DataFrame, hubs: DataFrame, roots: DataFrame, texts: DataFra
     rest, spread = rest.join(sizes, "key"), F.xxhash64("rep", "key")
     queries = rest.where("asks").withColumn("q", F.pmod(spread, "nq")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ns") - 1)))
     searched = rest.withColumn("s", F.pmod(spread, "ns")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)))
-    side = lambda df, asks: df.select("key", "q", "s", F.struct(F.lit(asks).alias("asks"), "rep", F.xxhash64("part").alias("part"), "sig", "cells", "n").alias("m"))
+    side = lambda df, asks: df.select("key", "q", "s", F.struct(F.lit(asks).alias("asks"), "part", F.xxhash64("part").alias("which"), "sig", "cells", "n").alias("m"))
     blocks = side(queries, True).unionByName(side(searched, False)).groupBy("key", "q", "s").agg(F.collect_list("m").alias("m")).select("m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,10 +227,10 @@ def across(members: DataFrame, hubs: DataFrame, roots: DataFrame, texts: DataFra
             for block in batch.column(0):
                 m = block.values
                 joined = lambda name, kind: np.frombuffer(b"".join(m.field(name).to_pylist()), kind)  # noqa: E731, B023
-                ends = block_links(m.field("asks").to_numpy(zero_copy_only=False), m.field("part").to_numpy(), joined("sig", np.uint16).reshape(len(m), k), joined("cells", np.uint64), m.field("n").to_numpy(), threshold)
-                yield pa.RecordBatch.from_arrays([m.field("rep").take(pa.array(v)) for v in ends], names=["rep", "other"])
+                ends = block_links(m.field("asks").to_numpy(zero_copy_only=False), m.field("which").to_numpy(), joined("sig", np.uint16).reshape(len(m), k), joined("cells", np.uint64), m.field("n").to_numpy(), threshold)
+                yield pa.RecordBatch.from_arrays([m.field("part").take(pa.array(v)) for v in ends], names=["part", "other"])
 
-    return blocks.mapInArrow(run, f"rep {kind}, other {kind}").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).where("a != b")
+    return blocks.mapInArrow(run, f"part {kind}, other {kind}").select(F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bands: int = BANDS, rows: int = ROWS, threshold: float = SIMILARITY) -> DataFrame:
@@ -242,36 +242,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialise(reps.join(buckets, "key").distinct(), "members")
     degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
     hubs = materialise(members.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", "rep"))["rep"].alias("hub"), F.min("rep").alias("low")), "hubs")
-    tried, links, roots = None, None, None
-    lower = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
-    for step in ("hubs", "parts"):
-        if step == "hubs":
-            pairs = members.join(hubs, "key").select("rep", F.explode(F.array("hub", "low")).alias("other"))
-        else:
-            parts = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("part"), "rep")
-            parts = parts.groupBy("key", "part").agg(F.min(F.struct(F.xxhash64("rep", "key"), "rep"))["rep"].alias("rep"))
-            centre = parts.groupBy("key").agg(F.count("*").alias("parts"), F.min(F.struct(F.xxhash64("rep", "key"), "rep"))["rep"].alias("other")).where("parts > 1")
-            pairs = parts.join(centre, "key").select("rep", "other")
-        new = pairs.where("rep != other").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        if tried is not None:
-            new = new.join(tried, ["a", "b"], "left_anti")
-        new = materialise(new, "pairs")
-        if new.isEmpty():
-            break
-        involved = new.select(F.col("a").alias("id")).union(new.select(F.col("b").alias("id"))).distinct()
+    lower = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text")).where("id is not null")
+    out = seen.select("id", "d1", "d2").join(copies, ["d1", "d2"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    pairs = members.join(hubs, "key").select("rep", F.explode(F.array("hub", "low")).alias("other")).where("rep != other")
+    pairs = materialise(pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), "pairs")
+    if not pairs.isEmpty():
+        involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         if involved.count() <= BROADCAST_ROWS:
             involved = F.broadcast(involved)
         texts = materialise(lower.join(involved, "id", "left_semi"), "texts")
-        found = materialise(verify(new, texts, words, threshold).select("a", "b"), "links")
-        tried, links = (new, found) if tried is None else (tried.unionByName(new), links.unionByName(found))
-        if roots is None or not found.isEmpty():
-            roots = materialise(components(links), "roots")
-    if roots is not None:
-        found = materialise(across(members.where("n > 3").select("key", "rep"), hubs, roots, lower.where("id is not null"), words, bands * rows, threshold).distinct(), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = materialise(components(links), "roots")
-    out = seen.select("id", "d1", "d2").join(copies, ["d1", "d2"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    if links is not None:
-        out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("rep"))
+        roots = materialise(components(verify(pairs, texts, words, threshold).select("a", "b")), "roots")
+        joined = materialise(across(members.where("n > 3").select("key", "rep"), hubs, roots, lower, words, bands * rows, threshold).distinct(), "joined")
+        steps = [roots] if joined.isEmpty() else [roots, components(joined)]
+        for step in steps:
+            out = out.join(step.select(F.col("node").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("rep"))
     return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("rep")).alias("class_id"))
