@@ -1,11 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
 A page's text is cut into blocks; each belongs to the path of tags from the root to it. Per path: characters of text and
-marks of punctuation, each per block, are fused into one score; the scores are smoothed over the page in block order, and
-blocks of paths above the threshold (the smaller of mean and standard deviation) are content. Where the best path lies
-below a part of the body, that part's blocks are content, so that its headings and short paragraphs stay. Parts that are never article
-text by their tag, role or name (menus, forms, adverts, comments ...) are left out before; inside ``article`` or ``main``
-the container speaks for a block, and only pure link lists below the threshold are dropped.
+marks of punctuation, each per block, are fused into one score. A path's score is averaged with the scores of the paths beside
+it and beside its ancestors below the body, so that headings and short paragraphs of a text stay. A factor from 0.5 to 1.5 is
+the share of the page's text that lies in the same ``article`` or ``main``, elsewhere the mean share of the parts around it
+(text straight below the body is a part of its own); link text lowers a block's score by up to half. The scores are smoothed
+over the page in block order, and on every page the blocks that reach the threshold (the standard deviation, held between
+half the mean and the mean) are content. Parts that are never article text by their tag, role or name (menus, forms, adverts,
+comments ...) are left out before.
 
 Edge cases: null and empty pages, and pages without text, give an empty text; unclosed and stray tags are tolerated;
 repeated rows are each extracted; extra columns are ignored.
@@ -39,6 +41,7 @@ OUT_NAMES = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HOLDERS = frozenset(("html", "body", "article", "main"))
+ROOTS = frozenset(("", "html", "body", "html/body"))
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("html body table ul ol dl article section div main td th".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。、！？]")
@@ -136,6 +139,13 @@ def blocks(page: str) -> list[tuple[str, str, bool, float]]:
     return out
 
 
+def _parts(path: str) -> list[str]:
+    """The paths of the parts below the body that a path lies in, the outermost first; its parent's where there is none."""
+    tags = path.split("/")[:-1]
+    parts = ["/".join(tags[: k + 1]) for k, t in enumerate(tags) if t not in ("html", "body")]
+    return parts or ["/".join(tags)]
+
+
 def content(page: str | None, width: float = 1.0) -> str:
     """The main text: selected blocks, one line each."""
     found = blocks(page or "")
@@ -148,24 +158,34 @@ def content(page: str | None, width: float = 1.0) -> str:
         p[1] += len(_PUNCTUATION.findall(s))
         p[2] += 1
     ratio = {path: np.log1p(chars / k) * np.log1p(1 + marks / k) for path, (chars, marks, k) in paths.items()}
-    raw = np.array([ratio[path] for path, *_ in found])
+    total = sum(p[0] for p in paths.values())
+    beside: dict[str, list[float]] = {}  # of each parent: its children's characters, and these times their ratio
+    under: dict[str, float] = {}  # characters below each part of the page
+    for path, (chars, _, _) in paths.items():
+        b = beside.setdefault(path.rpartition("/")[0], [0, 0])
+        b[0] += chars
+        b[1] += chars * ratio[path]
+        for part in _parts(path):
+            under[part] = under.get(part, 0) + chars
+    fused = {}
+    for path in paths:
+        parts, near = _parts(path), ratio[path]
+        own = [beside[x][1] / beside[x][0] for x in parts if x in beside and x not in ROOTS]
+        if own:
+            up = own[0]
+            for x in own[1:]:
+                up = (up + x) / 2
+            near = (near + up) / 2
+        held = [x for x in parts if x.rpartition("/")[2] in ("article", "main")][:1]
+        shares = [under[x] / total for x in held or parts]
+        fused[path] = near * (0.5 + sum(shares) / len(shares))
+    raw = np.array([fused[path] * (1 - min(links, 1) / 2) for path, _, _, links in found])
     reach = np.arange(-2, 3)
     kernel = np.exp(-(reach**2) / (2 * width**2))
     weight = np.convolve(np.ones(len(raw)), kernel, "full")[2:-2]
     smooth = (np.convolve(raw, kernel, "full")[2:-2] / weight + raw) / 2
     threshold = min(raw.mean(), max(raw.std(), 0.5 * raw.mean()))
-    held = any(h for _, _, h, _ in found)
-    # without a container: the path with most text, weighted by its score, names the parent; its other children belong to it
-    top = max(paths, key=lambda p: ratio[p] * paths[p][0]).rpartition("/")[0] + "/"
-    keep = []
-    for (path, s, inside, links), score in zip(found, smooth, strict=True):
-        if held:
-            ok = inside and not (links >= 0.9 and score < threshold)
-        else:
-            ok = links < 0.9 and (path.startswith(top) if top.count("/") > 2 else score >= threshold)
-        if ok:
-            keep.append(s)
-    return "\n".join(keep)
+    return "\n".join(s for (_, s, _, _), score in zip(found, smooth, strict=True) if score >= threshold - 1e-9)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

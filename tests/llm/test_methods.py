@@ -208,6 +208,16 @@ def test_html():
     assert html_text.content(plain) == "A long text, with a sentence. And more, of it; yes.\nAnother one here, which is long. It has marks, you see."
 
 
+def test_html_scores_decide_on_every_page():
+    said = "Long text of the page, with a sentence or two. It goes on; and on, as such texts do. More follows here, at length. "
+    para = lambda name, n: [f"{said * (1 + k % 3)}{name}{k}" for k in range(n)]
+    tags = lambda texts: "".join(f"<p>{x}</p>" for x in texts)
+    cards = "".join(f'<article><h2><a href="/{k}">Teaser number {k}</a></h2><p>A short word on it.</p></article>' for k in range(6))
+    assert html_text.content(f"<body><div><h1>Own title</h1>{tags(para('P', 5))}</div><div>{cards}</div></body>").split("\n") == ["Own title", *para("P", 5)]
+    page = f"<body><div><div>{tags(para('A', 5))}</div><section>{tags(para('B', 3))}</section><div>x</div></div></body>"
+    assert html_text.content(page).split("\n") == para("A", 5) + para("B", 3)
+
+
 def test_warc_round_trip_and_damage():
     payloads = [b"", b"x" * 200_000, "é\r\n\r\n".encode() * 3]
     raw = b"".join(warc.record(str(k), None if k else "http://a/\n", p) for k, p in enumerate(payloads)) + warc.record("9", "u", b"", warc.digest(payloads[1]), "1", len(payloads[1]))
