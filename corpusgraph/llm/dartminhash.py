@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             involved = F.broadcast(involved)
         texts = materialise(lower.join(involved, "id", "left_semi"), "texts")
         roots = materialise(components(verify(pairs, texts, words, threshold).select("a", "b")), "roots")
-        joined = materialise(across(members.where("n > 3").select("key", "rep"), hubs, roots, lower, words, bands * rows, threshold).distinct(), "joined")
+        joined = materialise(across(members.where("n > 2").select("key", "rep"), hubs, roots, lower, words, bands * rows, threshold).distinct(), "joined")
         steps = [roots] if joined.isEmpty() else [roots, components(joined)]
         for step in steps:
             out = out.join(step.select(F.col("node").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("rep"))

@@ -170,6 +170,15 @@ def test_families_of_half_alike_texts_equal_brute_force(sp, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in found.collect()} == brute_classes(docs)
 
 
+def test_buckets_of_three_with_one_hub_are_searched(sp):
+    base, own = [f"s72w{j}" for j in range(204)], {(1, "x"): (100, 140), (2, "y"): (120, 170)}  # the hub, 0, is below 0.8 to both, which are linked
+    docs = [{"doc_id": 0, "text": " ".join(base)}]
+    for (k, tag), places in own.items():
+        docs.append({"doc_id": k, "text": " ".join(f"c72{j}" if j in (20, 40, 60) else f"{tag}72{j}" if j in places else w for j, w in enumerate(base))})
+    found = dartminhash.near_duplicates(sp.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == brute_classes(docs) == {0: 0, 1: 1, 2: 1}
+
+
 def test_op3_equals_brute_force(sp, docs):
     assert {r["doc_id"]: r["class_id"] for r in run(sp, "op3_near_duplicates")} == brute_classes(docs)
 
