@@ -1,9 +1,10 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences at line breaks and after ``. ; : ! ?`` with white space. Sentences are normalised (lower case, runs of other
-characters than letters and digits become one space) and mapped to identifiers of known licence sentences. The sequence of
-identifiers in a text is then matched against ordered rules: a rule holds if its sentences occur in its order, others between
-them or not.
+A text is cut into pieces at line breaks and after ``. ; : ! ?`` with white space. Pieces are normalised (lower case, runs of other
+characters than letters and digits, so comment leaders too, become one space). A known sentence is a piece, or a run of pieces
+that follow each other: a single line break or a ``;`` or ``:`` may lie inside it, a blank line or an end of sentence may not.
+The sequence of identifiers in a text is then matched against ordered rules: a rule holds if its sentences occur in its order,
+others between them or not.
 
 Edge cases: null and empty texts have no sentences and no licences; repeated sentences are listed each time; licences are
 listed in the order of the rules, each once; repeated rows are each scanned; extra columns are ignored.
@@ -63,26 +64,39 @@ assert all(any(a in s for a in ANCHORS) or "licensed" in s for s in SENTENCES.va
 _JOINT = "||"
 
 
-def sentences(text: Column) -> Column:
-    """Array of normalised sentences."""
-    cut = F.split(F.regexp_replace(F.lower(text), r"([.;:!?])[\x09-\x0D\x20]+", "$1\n"), "\n")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " ")))
+#: Known to the operator only; the SQL below has no rules for the LGPL.
+LESSER = {
+    f"lgpl{v[0]}{v[2:]}.either": f"you can redistribute it and or modify it under the terms of the gnu {name} general public license as published by the free software foundation either version {v.replace('.', ' ')} of the license or at your option any later version"
+    for v, name in (("2", "library"), ("2.1", "lesser"), ("3", "lesser"))
+}
+LESSER_RULES = tuple((f"LGPL-{v}-or-later", (free, f"lgpl{v[0]}{v[2:].strip('0')}.either")) for v in ("2.0", "2.1", "3.0") for free in ("lgpl.free", "gpl.free"))
+
+
+def pieces(text: Column) -> Column:
+    """The normalised pieces, each between line feeds; a blank line or an end of sentence leaves two."""
+    cut = F.regexp_replace(F.lower(text), r"([.!?])[\x09-\x0D\x20]+", "$1\n\n")
+    cut = F.regexp_replace(cut, r"([;:])[\x09\x0B-\x0D\x20]++(?!\n)", "$1\n")
+    cut = F.regexp_replace(cut, r"(?m)^[\x09\x20]*(?:rem|dnl)[\x09\x20]+", "")
+    plain = F.regexp_replace(F.regexp_replace(cut, r"[^\p{L}\p{N}\n]+", " "), r" ?\n ?", "\n")
+    return F.concat(F.lit("\n"), F.trim(plain), F.lit("\n"))
 
 
 def identify(text: Column, known: dict[str, str]) -> Column:
     """Array of identifiers of the known sentences in a text, in order."""
     lookup = F.create_map(*[F.lit(x) for ident, s in known.items() for x in (s, ident)])
-    found = F.filter(sentences(text), lambda s: s.isin(list(known.values())))
+    # the shorter of two that begin alike comes first, so that a sentence on a line of its own is always itself
+    one = "|".join(s.replace(" ", "[ \\n]") for s in sorted(known.values(), key=len))
+    found = F.regexp_extract_all(pieces(text), F.lit(rf"(?<=\n)({one})(?=\n)"), 1)
     low = F.lower(text)
     likely = F.lit(False)
     for a in ANCHORS:
         likely = likely | F.contains(low, F.lit(a))
-    return F.when(F.coalesce(likely, F.lit(False)), F.transform(found, lambda s: lookup[s])).otherwise(F.array().cast("array<string>"))
+    return F.when(F.coalesce(likely, F.lit(False)), F.transform(found, lambda s: lookup[F.translate(s, "\n", " ")])).otherwise(F.array().cast("array<string>"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None, rules: tuple = RULES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None, rules: tuple = RULES + LESSER_RULES) -> DataFrame:
     """One row per document: (id, n_known, sentence_ids joined by spaces, licenses joined by spaces). No shuffle, no Python on the rows."""
-    ids = identify(F.col(text_col).cast("string"), known or SENTENCES)
+    ids = identify(F.col(text_col).cast("string"), known or SENTENCES | LESSER)
     found = docs.select(F.col(id_col).alias("id"), ids.alias("ids")).withColumn("seq", F.concat(F.lit("|"), F.array_join("ids", _JOINT), F.lit("|")))
     names = list(dict.fromkeys(name for name, _ in rules))
     held = {name: F.lit(False) for name in names}
@@ -93,7 +107,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
 
 
 def oracle(id_col: str = "doc_id", text_col: str = "text", table: str = "documents") -> str:
-    """The same in DuckDB's SQL, without the anchor test."""
+    """The same in DuckDB's SQL, without the anchor test, for sentences that lie within a piece and without the LGPL."""
     pairs = ", ".join(f"('{s}', '{i}')" for i, s in SENTENCES.items())
     names = list(dict.fromkeys(name for name, _ in RULES))
     cases = ", ".join("CASE WHEN " + " OR ".join(f"seq LIKE '%|{'|%|'.join(need)}|%'" for n, need in RULES if n == name) + f" THEN '{name}' END" for name in names)

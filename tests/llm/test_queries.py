@@ -198,6 +198,31 @@ def test_op4_rules_are_ordered(sp):
     assert got == {1: "MIT", 2: "", 3: "BSD-2-Clause BSD-3-Clause", 4: "", 5: ""}
 
 
+def test_op4_finds_wrapped_sentences(sp):
+    import textwrap
+
+    s = licenses.SENTENCES
+    mit = [f"{s['mit.grant']}:", f"{s['mit.notice']}."]
+    gpl = lambda free, kind, version: [f"{free}; you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."]
+    cases = {
+        "MIT": mit, "ISC": [s["isc.grant"] + "."], "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'],
+        "BSD-2-Clause": [s["bsd.grant"] + ":", "1. " + s["bsd.source"] + ".", "2. " + s["bsd.binary"] + "."], "GPL-2.0-or-later": gpl("This program is free software", "General", 2),
+        "GPL-3.0-or-later": gpl("This program is free software", "General", 3), "LGPL-2.1-or-later": gpl("This library is free software", "Lesser General", 2.1), "LGPL-2.0-or-later": gpl("This library is free software", "Library General", 2),
+    }
+    rows, want = [], {}
+    for name, parts in cases.items():
+        for mark, end in (("", "\n"), ("# ", "\n"), (" * ", "\r\n"), ("dnl ", "\n")):
+            for width in (30, 60, 76):
+                want[len(rows)] = name
+                lines = [line for p in parts for line in [*textwrap.wrap(p, width), ""]]
+                rows.append((len(rows), end.join(mark + line for line in lines)))
+    for text in (mit[0].replace(" copy ", "\n\ncopy ") + "\n" + mit[1], "it is not licensed under\nthe mit license", "this library is free software"):
+        want[len(rows)] = ""
+        rows.append((len(rows), text))
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(sp.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_op5_and_op6(sp):
     pages = {p["page_id"]: p for p in pq.read_table(f"{SF}/pages.parquet").to_pylist()}
     got = run(sp, "op5_html_extract")
