@@ -95,7 +95,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Number of tokens and digests of ids and decoded text, from what the operator returns."""
-    out = bpe.encode(docs, vocabulary())
+    out = bpe.round_trip(docs, vocabulary())
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -31,11 +31,34 @@ def test_bpe_equals_the_library():
     rng = random.Random(1)
     texts = [t or "" for t in TEXTS] + ["it's we're", "a\x1cb\x1fc\x85d\xa0e", "ΣΑΣ İ", "<|endoftext|>x<|startoftext|><|end", "uuuuu aaaaaaaaaaa", "é ẛ̣"]
     texts += ["".join(rng.choice("aeioulrstn th'éß字<|>1_-.́ΣÀ🙂") for _ in range(rng.randint(1, 80))) for _ in range(500)]
-    for s in texts:
-        ids, said = mine.encode(s)
-        want = theirs.encode(s, add_special_tokens=False).ids
-        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want
-        assert said == mine.decode(want) == theirs.decode(want, skip_special_tokens=False)
+    wants = [theirs.encode(s, add_special_tokens=False).ids for s in texts]
+    got = mine.encode_all(texts)
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in got] == wants
+    assert mine.decode_all(pa.array(got, pa.binary())).to_pylist() == [theirs.decode(w, skip_special_tokens=False) for w in wants]
+    assert mine.encode_all(texts) == got and mine.encode_all(["J̌ ǰ", None, ""])[1:] == [b"", b""]
+    assert mine.encode_all(["J̌", "ǰ"]) == [struct.pack(f"<{len(w)}I", *w) for w in (theirs.encode(x, add_special_tokens=False).ids for x in ("J̌", "ǰ"))]
+
+
+@needs_vocab
+def test_bpe_decodes_from_ids_alone():
+    mine = bpe.load(VOCAB)
+    ids = mine.encode_all(["one two three", "", "four"])
+    swapped = [ids[0][4:] + ids[0][:4], ids[1], ids[0][:4]]
+    assert mine.decode_all(pa.array(swapped, pa.binary())).to_pylist() == ["two</w> three</w> one</w>", "", "one</w>"]
+    assert mine.decode_all(pa.array([None, b""], pa.binary())).to_pylist() == ["", ""]
+
+
+@needs_vocab
+def test_bpe_lockstep_equals_single_steps_and_the_table_the_construction():
+    auto, rng = bpe.load(VOCAB).automaton, random.Random(7)
+    words = ["".join(rng.choices("aeioulrstnmhd'é", k=rng.randint(1, 64))).encode()[:64] for _ in range(400)]
+    off = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    ids, count = auto.lockstep(np.frombuffer(b"".join(words), np.uint8), off)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [auto.word(w) for w in words]
+    x, y = (np.array([rng.randrange(3000 if rng.random() < 0.7 else 49_000) for _ in range(20_000)]) for _ in "xy")
+    assert auto.has(x, y).tolist() == [auto.arc(a, b) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    long = b"ab" * 100_000
+    assert b"".join(auto.labels[i].encode() for i in auto.word(long)) == long + b"</w>"
 
 
 def test_bpe_automaton_on_a_small_merge_list():
@@ -51,7 +74,8 @@ def test_bpe_automaton_on_a_small_merge_list():
                     break
                 k = min(ranked)[1]
                 seq[k : k + 2] = [seq[k] + seq[k + 1]]
-            assert [auto.labels[i] for i in auto.word("".join(w))] == seq
+            assert [auto.labels[i] for i in auto.word("".join(w).encode())] == seq
+            assert auto.encode(["".join(w).encode()]) == [struct.pack(f"<{len(seq)}I", *(vocab[x] for x in seq))]
 
 
 def brute_counts(s):
