@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.session import materialise
+from corpusgraph.session import discard, materialise
 
+#: Largest table of duplicate digests that is broadcast (rows of a digest and an id).
+BROADCAST_ROWS = 1_000_000
 DATE = "2024-01-01T00:00:00Z"
 _STATUS = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -118,15 +120,17 @@ def read_file(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, archive_bytes: int = 4 << 20) -> DataFrame:
     """Archives (content binary) with a record for each page, in a table of the shared folder.
 
-    Payload digests are worked out first and only they are grouped (summed on the map side); the pages are then joined to the
-    groups of two or more by digest, where Spark can split a group that holds many pages.
+    Payload digests are worked out first and only they are grouped (summed on the map side). The groups of two or more are
+    broadcast where their counted number allows it, so that no payload is shuffled; elsewhere the pages are joined to them by
+    digest, where Spark can split a group that holds many pages.
     """
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumns({"sha": F.sha1("payload"), "length": F.length("payload").cast("long")})
     groups = rows.where(F.col("length") >= min_revisit_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha", "first")
-    placed = rows.join(groups, "sha", "left").withColumn("refers", F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first").cast("string")))
+    groups = materialise(groups, "groups")
+    placed = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "sha", "left").withColumn("refers", F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first").cast("string")))
     placed = placed.select(F.col("id").cast("string").alias("key"), "url", F.when(F.col("refers").isNull(), F.col("payload")).alias("payload"), "sha", "length", "refers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +146,9 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["content"])
 
-    return materialise(placed.mapInArrow(run, "content binary"), "warc")
+    out = materialise(placed.mapInArrow(run, "content binary"), "warc")
+    discard(groups)
+    return out
 
 
 def read_archives(archives: DataFrame, content_col: str = "content") -> DataFrame:
