@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.session import materialise
+from corpusgraph.session import discard, materialise
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of links (a, b); root is the smallest node of its component.
+    """(node, root) for every node of links (a, b), as a written table; root is the smallest node of its component.
 
     Each step takes minima (summed on the map side) and one join, whose hot keys Spark can split. The table is written to the
     shared folder after each round, so that a lost executor costs one round at most. Rounds grow with the logarithm of the
@@ -23,7 +23,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = materialise(low.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "edges")
+        done, edges = edges, materialise(low.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "edges")
+        discard(done)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -31,4 +32,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     root = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
+    found = materialise(root.unionByName(root.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    discard(edges)
+    return found

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.llm import flat
 from corpusgraph.llm.components import components
-from corpusgraph.session import materialise
+from corpusgraph.session import discard, materialise
 
 WORDS, BANDS, ROWS, SIMILARITY = 5, 24, 5, 0.8
 #: Largest table (rows of one id) that is broadcast; larger ones are joined by a shuffle.
@@ -198,27 +198,32 @@ def block_links(asks: np.ndarray, part: np.ndarray, sig: np.ndarray, cell: np.nd
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
+def _sized(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast where its counted rows allow it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def across(members: DataFrame, hubs: DataFrame, roots: DataFrame, texts: DataFrame, words: int, k: int, threshold: float) -> DataFrame:
-    """Linked parts (a, b): parts of a bucket with members that are linked and aren't hubs.
+    """Linked parts (a, b): parts of a bucket with members that are linked and aren't hubs. A written table.
 
     members (key, rep), hubs (key, hub, low) and roots (node, root) as in near_duplicates; texts (id, text). Hubs have met all of
-    their bucket already. A link can come more than once.
+    their bucket already. What is known of a whole bucket (one row each) is broadcast where its counted size allows it, so that
+    the members of a hot bucket aren't gathered by its key; they meet in blocks only.
     """
     kind = members.schema["rep"].dataType.simpleString()
     rest = members.join(hubs, "key").where("rep != hub and rep != low").select("key", "rep")
     rest = rest.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("part"))
     main = rest.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rest = materialise(rest.join(main.select("key", "main"), "key").withColumn("asks", F.expr("part != main")), "rest")
-    ids = rest.select(F.col("rep").alias("id")).distinct()
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    known = materialise(marks(texts.join(ids, "id", "left_semi").distinct(), words, k), "marks")
-    rest = rest.join(known, "rep")
+    main = materialise(main.select("key", "main"), "main")
+    rest = materialise(rest.join(_sized(main), "key").withColumn("asks", F.expr("part != main")), "rest")
+    ids = materialise(rest.select(F.col("rep").alias("id")).distinct(), "ids")
+    known = materialise(marks(texts.join(_sized(ids), "id", "left_semi").distinct(), words, k), "marks")
+    counted = rest.join(known.select("rep", "n"), "rep")
     most = lambda c, members, cells: F.greatest(F.lit(1), F.ceil(F.count(c) / members), F.ceil(F.coalesce(F.sum(c), F.lit(0)) / cells)).cast("long")
-    sizes = rest.groupBy("key").agg(most(F.when(F.col("asks"), F.col("n")), QUERIES, QUERY_CELLS).alias("nq"), most(F.col("n"), SEARCHED, SEARCHED_CELLS).alias("ns"))
-    rest, spread = rest.join(sizes, "key"), F.xxhash64("rep", "key")
-    queries = rest.where("asks").withColumn("q", F.pmod(spread, "nq")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ns") - 1)))
-    searched = rest.withColumn("s", F.pmod(spread, "ns")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)))
+    sizes = materialise(counted.groupBy("key").agg(most(F.when(F.col("asks"), F.col("n")), QUERIES, QUERY_CELLS).alias("nq"), most(F.col("n"), SEARCHED, SEARCHED_CELLS).alias("ns")), "sizes")
+    rows, spread = rest.join(_sized(sizes), "key").join(known, "rep"), F.xxhash64("rep", "key")
+    queries = rows.where("asks").withColumn("q", F.pmod(spread, "nq")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ns") - 1)))
+    searched = rows.withColumn("s", F.pmod(spread, "ns")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)))
     side = lambda df, asks: df.select("key", "q", "s", F.struct(F.lit(asks).alias("asks"), "part", F.xxhash64("part").alias("which"), "sig", "cells", "n").alias("m"))
     blocks = side(queries, True).unionByName(side(searched, False)).groupBy("key", "q", "s").agg(F.collect_list("m").alias("m")).select("m")
 
@@ -230,7 +235,10 @@ def across(members: DataFrame, hubs: DataFrame, roots: DataFrame, texts: DataFra
                 ends = block_links(m.field("asks").to_numpy(zero_copy_only=False), m.field("which").to_numpy(), joined("sig", np.uint16).reshape(len(m), k), joined("cells", np.uint64), m.field("n").to_numpy(), threshold)
                 yield pa.RecordBatch.from_arrays([m.field("part").take(pa.array(v)) for v in ends], names=["part", "other"])
 
-    return blocks.mapInArrow(run, f"part {kind}, other {kind}").select(F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+    found = blocks.mapInArrow(run, f"part {kind}, other {kind}").select(F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+    linked = materialise(found.distinct(), "joined")
+    discard(main, rest, ids, known, sizes)
+    return linked
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bands: int = BANDS, rows: int = ROWS, threshold: float = SIMILARITY) -> DataFrame:
@@ -247,13 +255,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = members.join(hubs, "key").select("rep", F.explode(F.array("hub", "low")).alias("other")).where("rep != other")
     pairs = materialise(pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
-        involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        if involved.count() <= BROADCAST_ROWS:
-            involved = F.broadcast(involved)
-        texts = materialise(lower.join(involved, "id", "left_semi"), "texts")
-        roots = materialise(components(verify(pairs, texts, words, threshold).select("a", "b")), "roots")
-        joined = materialise(across(members.where("n > 2").select("key", "rep"), hubs, roots, lower, words, bands * rows, threshold).distinct(), "joined")
+        involved = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "involved")
+        texts = materialise(lower.join(_sized(involved), "id", "left_semi"), "texts")
+        roots = components(verify(pairs, texts, words, threshold).select("a", "b"))
+        joined = across(members.where("n > 2").select("key", "rep"), hubs, roots, lower, words, bands * rows, threshold)
         steps = [roots] if joined.isEmpty() else [roots, components(joined)]
         for step in steps:
             out = out.join(step.select(F.col("node").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("rep"))
+        discard(involved, texts, joined)
+    discard(members, hubs, pairs)
     return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("rep")).alias("class_id"))
