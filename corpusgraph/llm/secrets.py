@@ -18,10 +18,11 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -44,8 +45,14 @@ COMMON = (
 ).split()
 _ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _LEET = str.maketrans("013457@$!", "oieastasi")
-_DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)?\d\d")
-_LONGEST_WORD, _SEGMENT = 24, 0.3
+_YEAR, _SEP = r"(?:19|20)\d\d", "[-/.]"
+_DAY, _MONTH = ("[1-9]", r"(?:0[1-9]|[12]\d|3[01])"), ("[1-9]", "(?:0[1-9]|1[0-2])")
+#: The forms of a date; a start may have several ends.
+DATES = tuple(
+    re.compile(p)
+    for p in (_YEAR, f"{_YEAR}{_SEP}?{_MONTH[1]}", f"{_YEAR}{_SEP}?{_MONTH[1]}{_SEP}?{_DAY[1]}", *(d + _SEP + m + _SEP + y for d in _DAY for m in _MONTH for y in (r"\d\d", _YEAR)))
+)
+_SEGMENT = 0.3
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -61,63 +68,150 @@ def _neighbours() -> dict[str, set[str]]:
 _NEAR = _neighbours()
 
 
-def dictionary(vocab_path: str | None = None) -> dict[str, float]:
-    """Words and the logarithm of their rank: the common ones, then the whole words of a tokenizer's vocabulary in its order."""
+class Words(dict):
+    """Words and the logarithm of their rank, and all beginnings of words."""
+
+    @cached_property
+    def begun(self) -> set[str]:
+        return {w[:k] for w in self for k in range(3, len(w) + 1)}
+
+
+def dictionary(vocab_path: str | None = None) -> Words:
+    """The common words, then the whole words of a tokenizer's vocabulary in its order."""
     words = list(COMMON)
     if vocab_path:
         with open(vocab_path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         words += [w[:-4] for w in sorted(vocab, key=vocab.get) if w.endswith("</w>") and len(w) >= 7 and w[:-4].isascii()]
-    return {w: math.log10(k + 2) for k, w in reversed(list(enumerate(words)))}
+    return Words((w, math.log10(k + 2)) for k, w in reversed(list(enumerate(words))))
+
+
+def repeats(s: str) -> list[tuple[int, int, int]]:
+    """(start, end, unit) of the maximal stretches that repeat a unit twice or more, for units that aren't repeats themselves.
+
+    A stretch of period u holds a multiple of u at which s agrees with itself u further on, so only these are tried.
+    """
+    out, wide, n = [], [], len(s)
+    for u in range(1, n // 2 + 1):
+        wide = [x for x in wide if x[1] - x[0] >= 2 * u]
+        k = 0
+        while k + u < n:
+            if s[k] == s[k + u]:
+                held = next((b for a, b, p in wide if not u % p and a <= k and k + u < b), 0)
+                if held:  # a stretch of a shorter unit
+                    k = max(k + u, -(-(held - u) // u) * u)
+                    continue
+                left, right = k, k + 1
+                while right + u < n and s[right] == s[right + u]:
+                    right += 1
+                while left and s[left - 1] == s[left - 1 + u]:
+                    left -= 1
+                if right - left >= u:
+                    out.append((left, right + u, u))
+                    wide.append((left, right + u, u))
+                k = max(k + u, right // u * u)
+            else:
+                k += u
+    return out
+
+
+def _chains(s: str) -> list[tuple[int, int, bool]]:
+    """(start, end, whether a keyboard walk) of the maximal walks and of the maximal sequences up or down, of three or more."""
+    out, n = [], len(s)
+    a = 0
+    for j in range(1, n + 1):
+        if j == n or s[j] not in _NEAR.get(s[j - 1], ()):
+            if j - a >= 3:
+                out.append((a, j, True))
+            a = j
+    a, way = 0, 0
+    for j in range(1, n + 1):
+        step = ord(s[j]) - ord(s[j - 1]) if j < n else 0
+        if step != way or abs(step) != 1:
+            if way and j - a >= 3:
+                out.append((a, j, False))
+            a, way = j - 1, step if abs(step) == 1 else 0
+    return out
+
+
+class _Stretch:
+    """The cheapest segment that ends at each place of a stretch and covers ``least`` units or more.
+
+    A segment from start i costs best[i] + ``cost`` + log10 of its units. The logarithm is concave: of two starts the earlier
+    can only become the cheaper one as the end moves on, and stays so. So the starts that can still win form a stack (the
+    latest on top), and each is put on and taken off once.
+    """
 
+    def __init__(self, start: int, end: int, unit: int, least: int, cost: float):
+        self.start, self.end, self.unit, self.least, self.cost = start, end, unit, least, cost
+        self.stacks: dict[int, list[tuple[int, float]]] = {}
 
-def guesses(value: str, words: dict[str, float]) -> float:
-    """Logarithm (base 10) of the guesses of the cheapest segmentation of the whole value."""
+    @staticmethod
+    def _meet(old: tuple[int, float], new: tuple[int, float]) -> float:
+        """The end (in units) from which the earlier start is no dearer."""
+        if new[1] <= old[1]:
+            return math.inf
+        ratio = 10 ** min(new[1] - old[1], 300.0)
+        return (ratio * new[0] - old[0]) / (ratio - 1)
+
+    def at(self, j: int, best: list[float]) -> float:
+        t, rest = divmod(j - self.start, self.unit)
+        s = t - self.least
+        if s < 0:
+            return math.inf
+        stack, new = self.stacks.setdefault(rest, []), (s, best[self.start + rest + s * self.unit])
+        if not stack or self._meet(stack[-1], new) > t:
+            while len(stack) > 1 and self._meet(stack[-2], stack[-1]) <= self._meet(stack[-1], new):
+                stack.pop()
+            stack.append(new)
+        while len(stack) > 1 and self._meet(stack[-2], stack[-1]) <= t:
+            stack.pop()
+        return stack[-1][1] + self.cost + math.log10(t - stack[-1][0])
+
+
+def guesses(value: str, words: Words) -> float:
+    """Logarithm (base 10) of the guesses of the cheapest segmentation of the whole value.
+
+    The segments: words (as they stand or with digits and symbols for letters), dates, repeats of any unit, keyboard walks,
+    sequences, and single characters by brute force. Time is about n log n in the length of the value.
+    """
     n, low = len(value), value.lower()
+    if len(low) != n:
+        low = "".join(c.lower()[0] for c in value)
     plain = low.translate(_LEET)
     size = sum(k for k, some in ((26, any("a" <= c <= "z" for c in value)), (26, any("A" <= c <= "Z" for c in value)), (10, any(c.isdigit() for c in value)), (33, any(not c.isalnum() for c in value))) if some)
     brute = math.log10(max(size, 10))
-    best = [0.0] + [math.inf] * n
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if low[i].isdigit() and (m := _DATE.match(low, i)):
-            dates.setdefault(i, []).append(m.end())
+    begin: dict[int, list[_Stretch]] = {}
+    for a, b, u in repeats(low):
+        begin.setdefault(a, []).append(_Stretch(a, b, u, 3 if u == 1 else 2, u * brute + _SEGMENT))
+    for a, b, walk in _chains(low):
+        begin.setdefault(a, []).append(_Stretch(a, b, 1, 3, math.log10(47 * 4.6 if walk else 52) + _SEGMENT))
+    best, active, begun = [0.0] + [math.inf] * n, [], words.begun
     for i in range(n):
+        if active:
+            active = [x for x in active if x.end >= i]
+            best[i] = min(best[i], *(x.at(i, best) for x in active)) if active else best[i]
+        active += begin.get(i, ())
         here = best[i]
         best[i + 1] = min(best[i + 1], here + brute)
-        top = min(n, i + _LONGEST_WORD)
-        for j in range(i + 3, top + 1):
-            rank = words.get(low[i:j])
-            leet = 0.0
-            if rank is None and (rank := words.get(plain[i:j])) is not None:
+        for j in range(i + 3, n + 1):
+            said, meant = low[i:j], plain[i:j]
+            if said not in begun and meant not in begun:
+                break
+            rank, leet = words.get(said), 0.0
+            if rank is None and (rank := words.get(meant)) is not None:
                 leet = 0.6
             if rank is not None:
                 part = value[i:j]
                 case = 0.0 if part.islower() or not part.isalpha() else 0.3 if part.istitle() or part.isupper() else math.log10(j - i) + 0.6
                 best[j] = min(best[j], here + rank + leet + case + _SEGMENT)
-        for j in dates.get(i, ()):
-            best[j] = min(best[j], here + (2.1 if j - i == 4 else 4.6) + _SEGMENT)
-        for unit in (1, 2, 3, 4):  # repeats: the unit's characters once, then the number of times
-            j = i + unit
-            while low[j : j + unit] == low[i : i + unit] and j + unit <= n:
-                j += unit
-                if j - i >= 3:
-                    best[j] = min(best[j], here + unit * brute + math.log10((j - i) // unit) + _SEGMENT)
-        j = i + 1  # keyboard walks and alphabetic or numeric sequences
-        while j < n and low[j] in _NEAR.get(low[j - 1], ()):
-            j += 1
-            if j - i >= 3:
-                best[j] = min(best[j], here + math.log10(47 * 4.6 * (j - i)) + _SEGMENT)
-        if i + 1 < n and abs(step := ord(low[i + 1]) - ord(low[i])) == 1:
-            j = i + 1
-            while j < n and ord(low[j]) - ord(low[j - 1]) == step:
-                j += 1
-                if j - i >= 3:
-                    best[j] = min(best[j], here + math.log10(52 * (j - i)) + _SEGMENT)
-    return best[n]
-
-
-def scan(text: str | None, words: dict[str, float], min_log10: float) -> list[tuple[str, int, int, float]]:
+        if low[i] in "0123456789":
+            for j in {m.end() for d in DATES if (m := d.match(low, i))}:
+                best[j] = min(best[j], here + (2.1 if j - i == 4 else 4.6) + _SEGMENT)
+    return min(best[n], *(x.at(n, best) for x in active if x.end >= n), math.inf)
+
+
+def scan(text: str | None, words: Words, min_log10: float) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, log10 of guesses of the value) ordered by start and kind."""
     if not text:
         return []
@@ -128,32 +222,42 @@ def scan(text: str | None, words: dict[str, float], min_log10: float) -> list[tu
             held.append(m.span())
     out += [("access", m.start(), m.end(), float(m.end() - m.start())) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     out += [("hex", m.start(), m.end(), float(m.end() - m.start())) for m in HEX.finditer(text)]
+    near = 0  # the first held span that ends after the value begins; both are in order
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
         while b > a and text[b - 1] in ".,;:)!?":
             b -= 1
-        if b - a >= 6 and not any(x < b and a < y for x, y in held) and (g := guesses(text[a:b], words)) >= min_log10:
+        while near < len(held) and held[near][1] <= a:
+            near += 1
+        if b - a >= 6 and not (near < len(held) and held[near][0] < b) and (g := guesses(text[a:b], words)) >= min_log10:
             out.append(("guess", a, b, round(g, 4)))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None, min_log10: float = 10.0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: (id, spans array of (kind, start, end, log10_guesses)), with the columns in ``keep``. No shuffle."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(c) for c in keep]).alias("rest") if keep else F.lit(True).alias("rest"))
+def _spans(docs: DataFrame, text_col: str, kept: Column, vocab_path: str | None, min_log10: float) -> DataFrame:
+    """(spans, text, kept) of each row, under these names only."""
+    source = docs.select(F.col(text_col).cast("string").alias("text"), kept.alias("kept"))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("log10_guesses", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = dictionary(vocab_path)
         for batch in batches:
-            likely = pc.fill_null(pc.match_substring_regex(batch.column(1), SCREEN), False).to_pylist()
-            spans = [[dict(zip(("kind", "start", "end", "log10_guesses"), s, strict=True)) for s in scan(batch.column(1)[k].as_py(), words, min_log10)] if hit else [] for k, hit in enumerate(likely)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span), *((batch.column(1), batch.column(2)) if keep else ())], names=["id", "spans", *(("text", "rest") if keep else ())])
-
-    fields = f"id {source.schema['id'].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint,log10_guesses:double>>"
-    if keep:
-        fields += f", text string, rest {source.schema['rest'].dataType.simpleString()}"
-    found = source.mapInArrow(run, fields)
-    return found.withColumnRenamed("id", id_col) if not keep else found.select(F.col("id").alias(id_col), "spans", F.col("text").alias(text_col), "rest.*")
+            likely = pc.fill_null(pc.match_substring_regex(batch.column(0), SCREEN), False).to_pylist()
+            spans = [[dict(zip(("kind", "start", "end", "log10_guesses"), s, strict=True)) for s in scan(batch.column(0)[k].as_py(), words, min_log10)] if hit else [] for k, hit in enumerate(likely)]
+            yield pa.RecordBatch.from_arrays([pa.array(spans, span), batch.column(0), batch.column(1)], names=["spans", "text", "kept"])
+
+    return source.mapInArrow(run, f"spans array<struct<kind:string,start:bigint,end:bigint,log10_guesses:double>>, text string, kept {source.schema['kept'].dataType.simpleString()}")
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None, min_log10: float = 10.0) -> DataFrame:
+    """One row per document: (id, spans array of (kind, start, end, log10_guesses)). No shuffle."""
+    return _spans(docs, text_col, F.col(id_col), vocab_path, min_log10).select(F.col("kept").alias(id_col), "spans")
+
+
+def cleaned(docs: DataFrame, text_col: str = "text", vocab_path: str | None = None, min_log10: float = 10.0, mark: str = "[secret]") -> DataFrame:
+    """The documents with a mark for each secret in their texts; all columns stay, whatever their names. No shuffle."""
+    found = _spans(docs, text_col, F.struct(*[F.col(c) for c in docs.columns]), vocab_path, min_log10)
+    return found.select(*[redact(mark=mark).alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in docs.columns])
 
 
 def redact(text_col: str = "text", spans_col: str = "spans", mark: str = "[secret]"):
