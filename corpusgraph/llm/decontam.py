@@ -14,6 +14,7 @@ an item count once (the first, leftmost); repeated rows are each searched; extra
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, BLOCK_CHARS = 0.06, 1_000_000
+RATE, BLOCK_CHARS = 0.06, 4_000_000
 _SPACES = {c: 32 for c in (9, 10, 11, 12, 13, 0x85, 0xA0, 0x2028, 0x2029)}
 
 
@@ -63,6 +64,31 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best
 
 
+class Spans:
+    """Disjoint spans in order; each question and each addition takes a binary search."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def cover(self, a: int, b: int) -> bool:
+        """Whether one span holds all of [a, b)."""
+        k = bisect_right(self.starts, a) - 1
+        return k >= 0 and self.ends[k] >= b
+
+    def meet(self, a: int, b: int) -> bool:
+        """Whether a span shares a place with [a, b)."""
+        k = bisect_left(self.starts, b) - 1
+        return k >= 0 and self.ends[k] > a
+
+    def add(self, a: int, b: int) -> None:
+        """Adds [a, b), joined with the spans that overlap it."""
+        lo, hi = bisect_right(self.ends, a), bisect_left(self.starts, b)
+        if lo < hi:
+            a, b = min(a, self.starts[lo]), max(b, self.ends[hi - 1])
+        self.starts[lo:hi], self.ends[lo:hi] = [a], [b]
+
+
 class Searcher:
     def __init__(self, items: list[tuple], rate: float):
         self.items = [(i, s, int(rate * len(s))) for i, t in items if (s := normal(t))]
@@ -82,7 +108,7 @@ class Searcher:
         s = normal(text)
         if not s or not self.items:
             return []
-        out, tried = [], {}
+        out, tried, found = [], {}, {}
         for end, (length, places) in self.pieces.iter(s):
             for n, a in places:
                 item, pattern, e = self.items[n]
@@ -90,19 +116,21 @@ class Searcher:
                 lo, hi = max(0, at - e), min(len(s), at + len(pattern) + e)
                 if hi - lo < len(pattern) - e:
                     continue
-                done = tried.setdefault(n, [])
-                if any(x <= lo and hi <= y for x, y in done):
+                done = tried.setdefault(n, Spans())
+                if done.cover(lo, hi):
                     continue
                 hit = myers(pattern, s[lo:hi], e)
                 if hit is None:
-                    done.append((lo, hi))
+                    done.add(lo, hi)
                     continue
                 stop = lo + hit[0]
                 back = myers(pattern[::-1], s[max(0, stop - len(pattern) - e) : stop][::-1], hit[1])
                 start = stop - back[0] if back else max(0, stop - len(pattern))
                 # pieces of this occurrence need no second look
-                done.append((start - 2 * e - 1, stop + 2 * e + 1))
-                if not any(i == n and x < stop and start < y for i, _, x, y, _ in out):
+                done.add(start - 2 * e - 1, stop + 2 * e + 1)
+                held = found.setdefault(n, Spans())
+                if not held.meet(start, stop):
+                    held.add(start, stop)
                     out.append((n, item, start, stop, hit[1]))
         return [x[1:] for x in sorted(out, key=lambda x: (x[0], x[2]))]
 
