@@ -94,15 +94,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .groupBy("id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").select("y", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
+    # rows that share an id count once, with the smallest text
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, _, x in _in_batches(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
-    # several copies of an id can't widen the sample beyond the bound
-    got = rows.mapInArrow(run, "y int, x array<double>").limit(2 * sample_rows).toPandas()
+    got = rows.mapInArrow(run, "y int, x array<double>").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort(np.concatenate([x.T, got["y"].to_numpy(float)[None]]))
     return gbt.fit(x[order], got["y"].to_numpy(float)[order], list(FEATURES.values()))

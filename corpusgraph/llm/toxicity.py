@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.session import materialise
+from corpusgraph.session import discard, materialise
 
 #: Words that count as toxic before anything is learned, and phrases in which they don't.
 SEED_WORDS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "imbecile", "bastard")
@@ -81,8 +81,15 @@ class Matcher:
                 excused.append((at, end))
             elif w > best.get(at, 0.0):
                 best[at] = w
-        if excused:
-            best = {at: w for at, w in best.items() if not any(a <= at < b for a, b in excused)}
+        if excused:  # both in order of place
+            excused.sort()
+            k, kept, reach = 0, {}, 0
+            for at in sorted(best):
+                while k < len(excused) and excused[k][0] <= at:
+                    reach, k = max(reach, excused[k][1]), k + 1
+                if at >= reach:
+                    kept[at] = best[at]
+            best = kept
         if not best:
             return 0.0, 0.0
         n = max(1, len(folded.split()))
@@ -141,9 +148,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     )
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = materialise(text.join(F.broadcast(picked), "id").where("text is not null").select("text", "y", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int").alias("half")), "toxic")
+    # rows that share an id count once, with the smallest text
+    rows = text.join(F.broadcast(picked), "id").where("text is not null").groupBy("id", "y").agg(F.min("text").alias("text"))
+    sample = materialise(rows.select("text", "y", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int").alias("half")), "toxic")
     seeds = {f" {w} ": 4.0 for w in SEED_WORDS}
     if {r["y"] for r in sample.select("y").distinct().collect()} != {0, 1}:
+        discard(sample)
         return Model(seeds)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +185,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             f = [match[1 - h].features(t) for t, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64())], names=["y", "s", "r"])
 
-    got = sample.mapInArrow(look, "y int, s double, r double").limit(2 * sample_rows).toPandas().sort_values(["y", "s", "r"])
+    got = sample.mapInArrow(look, "y int, s double, r double").toPandas().sort_values(["y", "s", "r"])
+    discard(sample)
     return Model(lexicon, _logistic(got[["s", "r"]].to_numpy(float), got["y"].to_numpy(float)))
 
 
