@@ -49,9 +49,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = secrets.find(docs, vocab_path=queries.vocabulary(), keep=rest)
-    clean = found.withColumn("text", secrets.redact())
+    clean = secrets.cleaned(docs, vocab_path=queries.vocabulary())
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
