@@ -6,10 +6,12 @@ it and beside its ancestors below the body, so that headings and short paragraph
 the share of the page's text that lies in the same ``article`` or ``main``, elsewhere the mean share of the parts around it
 (text straight below the body is a part of its own); link text lowers a block's score by up to half. The scores are smoothed
 over the page in block order, and on every page the blocks that reach the threshold (the standard deviation, held between
-half the mean and the mean) are content. Parts that are never article text by their tag, role or name (menus, forms, adverts,
-comments ...) are left out before.
+half the mean and the mean) are content. Parts that are never article text by their tag, role or a whole word of their class or
+id (menus, forms, adverts, comments ...) are left out before; parts whose names only contain such a word keep a tenth of
+their score, and names of paragraphs, headings and the like don't count so.
 
-Edge cases: null and empty pages, and pages without text, give an empty text; unclosed and stray tags are tolerated;
+Edge cases: null and empty pages, and pages without text, give an empty text; unclosed and stray tags are tolerated; a raw
+element (svg, iframe ...) that is closed at once or never holds nothing, but an unclosed script or style runs to the end;
 repeated rows are each extracted; extra columns are ignored.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,151 +44,212 @@ OUT_NAMES = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HOLDERS = frozenset(("html", "body", "article", "main"))
-ROOTS = frozenset(("", "html", "body", "html/body"))
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("html body table ul ol dl article section div main td th".split())
+#: Elements that hold text rather than parts of a page: their names say little.
+_LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote span em strong b i u a code cite q small caption figcaption summary".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。、！？]")
+#: What a block's score is multiplied by where the name of a part around it only contains such a word (as in ``menu-review``).
+NAMED = 0.1
 
 
-def _out(tag: str, attributes: str) -> bool:
+def _judge(tag: str, attributes: str) -> tuple[bool, bool]:
+    """(never article text, named like a part that isn't)."""
     if tag in OUT_TAGS:
-        return True
+        return True, False
     if not attributes or tag in HOLDERS:
-        return False
+        return False, False
+    like = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and OUT_NAMES.search(value) or name == "role" and value.strip().lower() in OUT_ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
-            return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[str, str, bool, float]]:
-    """(path, text, whether inside article or main, share of link text) of each block that can be article text, in page order."""
-    out: list[tuple[str, str, bool, float]] = []
-    stack: list[tuple[str, bool]] = []  # tag, whether it is left out
-    text: list[str] = []
-    linked, at, n = 0, 0, len(page)
-
-    def flush() -> None:
-        nonlocal linked
-        if text:
-            s = " ".join(html.unescape("".join(text)).split())
-            if s:
-                tags = [t for t, _ in stack if t in BLOCK]
-                held = any(t in ("article", "main") for t in tags)
-                skip = any(o for _, o in stack)
-                if not skip and "header" in tags and not (held and re.fullmatch("h[1-6]", tags[-1])):
-                    skip = True
-                if not skip:
-                    out.append(("/".join(tags), s, held, linked / len(s)))
-            text.clear()
-        linked = 0
-
-    def add(raw: str) -> None:
-        nonlocal linked
+        if name == "role" and value.strip().lower() in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
+            return True, False
+        if name in ("class", "id") and OUT_NAMES.search(value):
+            if any(OUT_NAMES.fullmatch(x) for x in value.split()):
+                return True, False
+            like = like or tag not in _LEAF
+    return False, like
+
+
+class Page:
+    """A page's blocks and the tree of paths that they lie on.
+
+    ``parent`` and ``tag`` describe the nodes of the tree, the root first and every node after its parent; a block is (node, text,
+    share of link text, whether a part around it is named like one that isn't article text). The open elements are a stack; what
+    is asked of it is kept as counts and as places by tag, so that a page takes time and memory in proportion to its length,
+    however deep it nests.
+    """
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.blocks = [-1], [""], []
+        self._child: dict[tuple[int, str], int] = {}
+        self._stack: list[list] = []  # tag, node, never article text, named like such, a link, still open
+        self._places: dict[str, list[int]] = {}
+        self._count = [0, 0, 0]  # open elements that are never article text, are named like such, are links
+        self._text: list[str] = []
+        self._linked = 0
+        self._read(page)
+
+    def _open(self, tag: str, attributes: str) -> None:
+        node = self._stack[-1][1] if self._stack else 0
+        if tag in BLOCK:
+            key = (node, tag)
+            node = self._child.get(key, 0)
+            if not node:
+                node = self._child[key] = len(self.parent)
+                self.parent.append(key[0])
+                self.tag.append(tag)
+        entry = [tag, node, *_judge(tag, attributes), tag == "a" and "href" in attributes.lower(), True]
+        self._places.setdefault(tag, []).append(len(self._stack))
+        self._stack.append(entry)
+        for k in range(3):
+            self._count[k] += entry[2 + k]
+
+    def _shut(self, entry: list) -> None:
+        entry[5] = False
+        self._places[entry[0]].pop()
+        for k in range(3):
+            self._count[k] -= entry[2 + k]
+
+    def _cut(self, depth: int) -> None:
+        """Closes all elements from a depth on."""
+        while len(self._stack) > depth:
+            entry = self._stack.pop()
+            if entry[5]:
+                self._shut(entry)
+
+    def _last(self, tag: str) -> int:
+        places = self._places.get(tag)
+        return places[-1] if places else -1
+
+    def _flush(self) -> None:
+        if self._text:
+            s = " ".join(html.unescape("".join(self._text)).split())
+            if s and not self._count[0]:
+                node = self._stack[-1][1] if self._stack else 0
+                inside = self._last("article") >= 0 or self._last("main") >= 0
+                if not self._places.get("header") or inside and self.tag[node] in _HEADINGS:
+                    self.blocks.append((node, s, self._linked / len(s), self._count[1] > 0))
+            self._text.clear()
+        self._linked = 0
+
+    def _add(self, raw: str) -> None:
         if raw:
-            text.append(raw)
-            if any(t == "a" for t, _ in stack[-4:]):
-                linked += len(raw.strip())
-
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in BLOCK:
-                if any(t == tag for t, _ in stack):
-                    flush()
-                    while stack.pop()[0] != tag:
-                        pass
-            else:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k]
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else n
+            self._text.append(raw)
+            if self._count[2]:
+                self._linked += len(raw.strip())
+
+    def _read(self, page: str) -> None:
+        at, n, unclosed = 0, len(page), set()
+        while at < n:
+            m = TOKEN.search(page, at)
+            if m is None:
+                self._add(page[at:])
+                break
+            self._add(page[at : m.start()])
+            at = m.end()
+            if not m[2]:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                if tag in BLOCK:
+                    if self._last(tag) >= 0:
+                        self._flush()
+                        self._cut(self._last(tag))
+                elif self._last(tag) > max((self._last(t) for t in self._places if t in BLOCK), default=-1):
+                    self._shut(self._stack[self._last(tag)])
+                    while self._stack and not self._stack[-1][5]:
+                        self._stack.pop()
+                continue
+            if tag in RAW:
+                if tag in BLOCK:
+                    self._flush()
+                else:
+                    self._text.append(" ")
+                if not m[3].endswith("/") and tag not in unclosed:
+                    end = _END[tag].search(page, at)
+                    if end:
+                        at = end.end()
+                    elif tag in ("script", "style"):
+                        at = n
+                    else:  # without an end it holds nothing
+                        unclosed.add(tag)
+                continue
             if tag in BLOCK:
-                flush()
-            else:
-                text.append(" ")
-            continue
-        if tag in BLOCK:
-            flush()
-            closing = CLOSED_BY.get(tag)
-            for k in range(len(stack) - 1, -1, -1):
-                t = stack[k][0]
-                if t == "p" or closing and t in closing:
-                    del stack[k:]
-                elif t in _SCOPE:
-                    break
-        elif tag == "br":
-            text.append("\n")
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, _out(tag, m[3])))
-    flush()
-    return out
+                self._flush()
+                closing = {"p"} | CLOSED_BY.get(tag, set())
+                scope = max((self._last(t) for t in _SCOPE - closing), default=-1)
+                within = [places[k] for t in closing if (places := self._places.get(t)) and (k := bisect_right(places, scope)) < len(places)]
+                if within:
+                    self._cut(min(within))
+            elif tag == "br":
+                self._text.append("\n")
+            if tag not in VOID and not m[3].endswith("/"):
+                self._open(tag, m[3])
+        self._flush()
+
 
+_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE) for tag in RAW}
 
-def _parts(path: str) -> list[str]:
-    """The paths of the parts below the body that a path lies in, the outermost first; its parent's where there is none."""
-    tags = path.split("/")[:-1]
-    parts = ["/".join(tags[: k + 1]) for k, t in enumerate(tags) if t not in ("html", "body")]
-    return parts or ["/".join(tags)]
+
+def fused(page: Page) -> dict[int, float]:
+    """The score of each node that blocks lie on: ratios of its path, averaged along the paths, times the share of its part."""
+    n = len(page.parent)
+    chars, marks, count = np.zeros(n), np.zeros(n), np.zeros(n)
+    for node, s, _, _ in page.blocks:
+        chars[node] += len(s)
+        marks[node] += len(_PUNCTUATION.findall(s))
+        count[node] += 1
+    some = np.maximum(count, 1)
+    ratio = np.log1p(chars / some) * np.log1p(1 + marks / some)
+    parent, total = page.parent, chars.sum()
+    # per node: characters of the paths right below it and these times their ratio; characters of all paths below it
+    beside, beside_ratio, under = np.zeros(n), np.zeros(n), chars.copy()
+    for x in range(n - 1, 0, -1):
+        if count[x]:
+            beside[parent[x]] += chars[x]
+            beside_ratio[parent[x]] += chars[x] * ratio[x]
+        under[parent[x]] += under[x]
+    under -= chars  # a path isn't a part of itself
+    # per node, over the parts from the outermost to the node: mean of what is beside, shares and number of parts, first holder
+    up: list[float | None] = [None] * n
+    shares, parts, holder, top = [0.0] * n, [0] * n, [-1] * n, [True] * n
+    for x in range(n):
+        if x:
+            y, t = parent[x], page.tag[x]
+            up[x], shares[x], parts[x], holder[x] = up[y], shares[y], parts[y], holder[y]
+            top[x] = top[y] and t in ("html", "body")
+            if t not in ("html", "body"):
+                shares[x] += under[x] / total
+                parts[x] += 1
+                if holder[x] < 0 and t in ("article", "main"):
+                    holder[x] = x
+        if beside[x] and not top[x]:
+            here = beside_ratio[x] / beside[x]
+            up[x] = here if up[x] is None else (up[x] + here) / 2
+    out = {}
+    for x in np.flatnonzero(count).tolist():
+        y = max(parent[x], 0)
+        near = ratio[x] if up[y] is None else (ratio[x] + up[y]) / 2
+        share = under[holder[y]] / total if holder[y] >= 0 else shares[y] / parts[y] if parts[y] else beside[y] / total
+        out[x] = near * (0.5 + share)
+    return out
 
 
 def content(page: str | None, width: float = 1.0) -> str:
     """The main text: selected blocks, one line each."""
-    found = blocks(page or "")
-    if not found:
+    found = Page(page or "")
+    if not found.blocks:
         return ""
-    paths: dict[str, list[float]] = {}
-    for path, s, _, _ in found:
-        p = paths.setdefault(path, [0, 0, 0])
-        p[0] += len(s)
-        p[1] += len(_PUNCTUATION.findall(s))
-        p[2] += 1
-    ratio = {path: np.log1p(chars / k) * np.log1p(1 + marks / k) for path, (chars, marks, k) in paths.items()}
-    total = sum(p[0] for p in paths.values())
-    beside: dict[str, list[float]] = {}  # of each parent: its children's characters, and these times their ratio
-    under: dict[str, float] = {}  # characters below each part of the page
-    for path, (chars, _, _) in paths.items():
-        b = beside.setdefault(path.rpartition("/")[0], [0, 0])
-        b[0] += chars
-        b[1] += chars * ratio[path]
-        for part in _parts(path):
-            under[part] = under.get(part, 0) + chars
-    fused = {}
-    for path in paths:
-        parts, near = _parts(path), ratio[path]
-        own = [beside[x][1] / beside[x][0] for x in parts if x in beside and x not in ROOTS]
-        if own:
-            up = own[0]
-            for x in own[1:]:
-                up = (up + x) / 2
-            near = (near + up) / 2
-        held = [x for x in parts if x.rpartition("/")[2] in ("article", "main")][:1]
-        shares = [under[x] / total for x in held or parts]
-        fused[path] = near * (0.5 + sum(shares) / len(shares))
-    raw = np.array([fused[path] * (1 - min(links, 1) / 2) for path, _, _, links in found])
+    score = fused(found)
+    raw = np.array([score[node] * (1 - min(links, 1) / 2) * (NAMED if named else 1) for node, _, links, named in found.blocks])
     reach = np.arange(-2, 3)
     kernel = np.exp(-(reach**2) / (2 * width**2))
     weight = np.convolve(np.ones(len(raw)), kernel, "full")[2:-2]
     smooth = (np.convolve(raw, kernel, "full")[2:-2] / weight + raw) / 2
     threshold = min(raw.mean(), max(raw.std(), 0.5 * raw.mean()))
-    return "\n".join(s for (_, s, _, _), score in zip(found, smooth, strict=True) if score >= threshold - 1e-9)
+    return "\n".join([s for (_, s, _, _), x in zip(found.blocks, smooth, strict=True) if x >= threshold - 1e-9])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

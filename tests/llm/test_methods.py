@@ -280,6 +280,19 @@ def test_html_scores_decide_on_every_page():
     assert html_text.content(page).split("\n") == para("A", 5) + para("B", 3)
 
 
+def test_html_raw_elements_names_and_depth():
+    text = lambda k: f"Part {k} of the text, as it goes on. And more of it, here."
+    for raw in ('<svg viewBox="0 0"/>', "<math/>", '<iframe src="x"/>', "<iframe src=x>", "<noscript>", "<svg><path d='x'/>text</svg>", "<script>var x='<p>';</script>"):
+        assert html_text.content(f"<article><p>{text(1)}</p>{raw}<p>{text(2)}</p></article>") == f"{text(1)}\n{text(2)}"
+    assert html_text.content(f"<article><p>{text(1)}</p><script>var x = 1;<p>{text(2)}</p></article>") == text(1)
+    assert html_text.content(f'<article><p>{text(1)}</p><p class="menu-review">{text(2)}</p></article>') == f"{text(1)}\n{text(2)}"
+    assert html_text.content(f'<article>{"".join(f"<p>{text(k)}</p>" for k in range(6))}<div class="comment-list"><p>{text(9)}</p></div></article>') == "\n".join(text(k) for k in range(6))
+    began = time.time()
+    for page in ("<div>" * 100_000 + "a, b.", "<div>a, b. " * 50_000, "<b>" * 50_000 + "<i>" * 50_000 + "</b>" * 50_000 + "x", "<b>" * 50_000 + "<p>x. " * 50_000, "<svg>" * 100_000 + "x", "<p>Some text, of the page. And more.</p>" * 100_000):
+        assert html_text.content(page)
+    assert time.time() - began < 60
+
+
 def test_warc_round_trip_and_damage():
     payloads = [b"", b"x" * 200_000, "é\r\n\r\n".encode() * 3]
     raw = b"".join(warc.record(str(k), None if k else "http://a/\n", p) for k, p in enumerate(payloads)) + warc.record("9", "u", b"", warc.digest(payloads[1]), "1", len(payloads[1]))

@@ -4,6 +4,7 @@ import base64
 import collections
 import glob
 import hashlib
+import html
 import os
 import random
 import re
@@ -225,6 +226,21 @@ def test_op4_finds_wrapped_sentences(sp):
     assert got == want
 
 
+def naive_article(page):
+    """The article of a page of the test tables, whose only parts around it are a menu, an advert and a footer."""
+    inner = re.sub(r"(?s)<!--.*?-->|<script.*?</script>", "", re.search(r"(?s)<article>(.*)</article>", page)[1])
+    parts = re.split(r"</?(?:p|h1|h2|ul|ol|li|div|section)\b[^>]*>", re.sub(r"<br[^>]*>", " ", inner))
+    return "\n".join(filter(None, (" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in parts)))
+
+
+def test_op5_equals_a_naive_extractor():
+    pages = [p["html"] for p in pq.read_table(f"{SF}/pages.parquet").to_pylist()]
+    got = [html_text.content(p) for p in pages]
+    assert got == [naive_article(p) for p in pages]
+    plain = [html_text.content(re.sub("(</?)article", r"\1div", p)) for p in pages]
+    assert sum(x == y for x, y in zip(got, plain, strict=True)) >= 0.97 * len(pages)
+
+
 def test_op5_and_op6(sp):
     pages = {p["page_id"]: p for p in pq.read_table(f"{SF}/pages.parquet").to_pylist()}
     got = run(sp, "op5_html_extract")
