@@ -186,6 +186,13 @@ def test_op3_equals_brute_force(sp, docs):
     assert {r["doc_id"]: r["class_id"] for r in run(sp, "op3_near_duplicates")} == brute_classes(docs)
 
 
+def license_sql(rows):
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    return {r[0]: r[1:] for r in con.sql(queries.oracle_sql()["op4_license_scan"]).fetchall()}
+
+
 def test_op4_equals_sql(sp):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
@@ -194,11 +201,29 @@ def test_op4_equals_sql(sp):
     assert sorted(map(list, ((r["doc_id"], r["n_known"], r["sentence_ids"], r["licenses"]) for r in run(sp, "op4_license_scan")))) == want
 
 
+def test_op4_longer_rules_come_first_and_holders_are_free(sp):
+    s = licenses.ALL
+    bsd = ["bsd.grant", "bsd.source", "bsd.binary"]
+    text = lambda *ids: ". ".join(s[i] for i in ids) + "."
+    cases = {
+        "BSD-2-Clause": text(*bsd), "BSD-3-Clause": text(*bsd, "bsd.names").replace("the copyright holder nor", "Example Corp. of Anytown, Inc nor".replace("Corp.", "Corp")),
+        "BSD-4-Clause": text(*bsd, "bsd.advert", "bsd.names"), "BSD-3-Clause BSD-2-Clause": text(*bsd, *bsd, "bsd.names"),
+        "GPL-3.0-or-later": text("gpl.free", "gpl3.either", "gpl3.text"), "GPL-3.0-only": text("gpl3.text"), "MIT": "// SPDX-License-Identifier: MIT\nint x;",
+        "Zlib": "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not\n   claim that you wrote it.\n\n 2) Altered source versions must be plainly marked as such, and must not be\n   misrepresented as being the original software.\n",
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "CC-BY-SA-3.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+        "CC0-1.0": "To the extent possible under law, Jo Doe has waived all copyright and related or neighboring rights to this work.", "": "This program is distributed  in the hope that it will be useful, but without any warranty.",
+    }
+    rows = list(enumerate(cases.values()))
+    got = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan(sp.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k][2] for k in range(len(rows))] == list(cases) and got[len(rows) - 1][0] == 1
+    assert got == license_sql(rows)
+
+
 def test_op4_rules_are_ordered(sp):
     s = licenses.SENTENCES
     both = [(1, f"{s['mit.grant']}.\n{s['mit.notice']}."), (2, f"{s['mit.notice']}.\n{s['mit.grant']}."), (3, f"{s['bsd.grant']}: x; {s['bsd.source']}. {s['bsd.binary']}!\n{s['bsd.names']}"), (4, None), (5, "")]
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan(sp.createDataFrame(both, "doc_id long, text string")).collect()}
-    assert got == {1: "MIT", 2: "", 3: "BSD-2-Clause BSD-3-Clause", 4: "", 5: ""}
+    assert got == {1: "MIT", 2: "", 3: "BSD-3-Clause", 4: "", 5: ""}
 
 
 def test_op4_finds_wrapped_sentences(sp):
@@ -222,8 +247,8 @@ def test_op4_finds_wrapped_sentences(sp):
     for text in (mit[0].replace(" copy ", "\n\ncopy ") + "\n" + mit[1], "it is not licensed under\nthe mit license", "this library is free software"):
         want[len(rows)] = ""
         rows.append((len(rows), text))
-    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(sp.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want
+    found = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan(sp.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v[2] for k, v in found.items()} == want and found == license_sql(rows)
 
 
 def naive_article(page):
