@@ -8,7 +8,9 @@ and a text costs one table look-up per byte. The language with the shortest code
 under equal priors.
 
 Training uses about ``docs_per_lang`` whole labelled texts of each language, drawn by a hash of the id (all where there are
-fewer). The tables have ``SYMBOLS ** ORDER`` contexts at most, whatever the size of the corpus.
+fewer). Every folded byte that occurs in them is a symbol of its own (bytes that don't are one more). The tables hold the
+contexts that occur in the sample, so they grow with its languages and scripts and not with the corpus; a model of more than
+``MODEL_BYTES`` is refused before it is sent to the workers (fewer texts a language give a smaller one).
 
 Edge cases: null or empty texts and texts without a letter are ``und`` with score 0, as is every text if nothing can be
 learned; a tie goes to the first language by name; repeated rows and extra columns have no effect.
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 
 from corpusgraph.llm import flat
 
-SYMBOLS, ORDER, UND = 64, 3, "und"
+ORDER, UND = 3, "und"
+#: Largest model that is broadcast.
+MODEL_BYTES = 1 << 30
 
 #: Upper case counts as lower case, all white space as a space, all digits as 0.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -40,7 +44,11 @@ class Model:
     langs: list[str]
     symbol: np.ndarray  # byte -> symbol
     node: np.ndarray  # context of ORDER symbols -> row of bits
-    bits: np.ndarray  # (rows, SYMBOLS, languages): code length
+    bits: np.ndarray  # (rows, symbols, languages): code length
+
+    @property
+    def symbols(self) -> int:
+        return self.bits.shape[1]
 
 
 def _contexts(sym: np.ndarray, off: np.ndarray, pad: int) -> list[np.ndarray]:
@@ -66,32 +74,33 @@ def count_grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def build(langs: list[str], keys: list[np.ndarray], counts: list[np.ndarray]) -> Model:
     """Tables of exact code lengths from the gram counts of each language."""
-    a = SYMBOLS
-    total = np.zeros(256)
-    for k, c in zip(keys, counts, strict=True):
-        total += np.bincount(k & 0xFF, c, 256)
-    total[32] = np.inf
-    frequent = np.argsort(-total, kind="stable")[: a - 1]
+    used = np.zeros(256, bool)
+    used[32] = True
+    for k in keys:
+        used[np.unique(k & 0xFF)] = True
+    a = int(used.sum()) + 1
     symbol = np.full(256, a - 1, np.int32)
-    symbol[frequent[total[frequent] > 0]] = np.arange(int((total[frequent] > 0).sum()))
+    symbol[used] = np.arange(a - 1)
     packed = [symbol[k & 0xFF] + a * (symbol[k >> 8 & 0xFF] + a * (symbol[k >> 16 & 0xFF] + a * symbol[k >> 24 & 0xFF].astype(np.int64))) for k in keys]
-    deep = np.unique(np.concatenate([p // a for p in packed]))  # context, nearest symbol lowest
-    out = np.zeros((len(deep) + a**2, a, len(langs)), np.float32)
+    deep = np.unique(np.concatenate([p // a for p in packed]))  # contexts that occur, nearest symbol lowest
+    rows = [np.zeros(1, np.int64), np.arange(a), *(np.unique(deep % a**order) for order in range(2, ORDER)), deep]
+    at = np.cumsum([0] + [len(r) for r in rows[1:]])  # where the rows of each order begin
+    if at[-1] * a * len(langs) * 4 + 4 * a**ORDER > MODEL_BYTES:
+        raise ValueError(f"the tables of {len(langs)} languages need more than {MODEL_BYTES} bytes; train on fewer texts a language")
+    out = np.zeros((at[-1], a, len(langs)), np.float32)
     for x, (p, c) in enumerate(zip(packed, counts, strict=True)):
         level = np.bincount(p % a, c, a)[None, :]
         bits, tail = _codes(level, None, None, None)
         for order in range(1, ORDER + 1):
-            ctx = p // a % a**order
-            rows = np.arange(a**order) if order < ORDER else deep
-            here = np.bincount(np.searchsorted(rows, ctx) * a + p % a, c, len(rows) * a).reshape(-1, a)
-            up = rows % a ** (order - 1)
+            here = np.bincount(np.searchsorted(rows[order], p // a % a**order) * a + p % a, c, len(rows[order]) * a).reshape(-1, a)
+            up = np.searchsorted(rows[order - 1], rows[order] % a ** (order - 1))
             bits, tail, level = *_codes(here, level[up], tail[up], bits[up]), here
-            if order == ORDER - 1:
-                out[len(deep) :, :, x] = bits
-        out[: len(deep), :, x] = bits
-    node = len(deep) + np.arange(a**ORDER) % a**2
-    node[deep] = np.arange(len(deep))
-    return Model(langs, symbol, node.astype(np.int32), out)
+            out[at[order - 1] : at[order], :, x] = bits
+    node = np.arange(a, dtype=np.int32)
+    for order in range(2, ORDER + 1):  # a context that doesn't occur has the row of the one shorter
+        node = np.tile(node, a)
+        node[rows[order]] = at[order - 1] + np.arange(len(rows[order]))
+    return Model(langs, symbol, node, out)
 
 
 def _codes(here: np.ndarray, parent: np.ndarray | None, parent_tail: np.ndarray | None, parent_bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +125,7 @@ def _codes(here: np.ndarray, parent: np.ndarray | None, parent_tail: np.ndarray
 
 def code_lengths(model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Bits of each text under each language; long buffers are read in pieces with their contexts."""
-    n, a, k = len(off) - 1, SYMBOLS, len(model.langs)
+    n, a, k = len(off) - 1, model.symbols, len(model.langs)
     total, flatbits = np.zeros((n, k)), model.bits.reshape(-1, k)
     pad = int(model.symbol[32])
     for lo in range(0, len(data), flat.CHUNK_BYTES):
@@ -143,7 +152,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model([], np.zeros(256, np.int32), np.zeros(SYMBOLS**ORDER, np.int32), np.zeros((1, SYMBOLS, 0), np.float32))
+        return Model([], np.zeros(256, np.int32), np.zeros(1, np.int32), np.zeros((1, 1, 0), np.float32))
     share = F.create_map(*[F.lit(v) for lang, n in sorted(sizes.items()) for v in (lang, min(1.0, docs_per_lang / n))])
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
 

@@ -147,7 +147,20 @@ def test_ppm_code_lengths_equal_a_naive_walk():
                     g[s[i]] += 1
         for t, text in enumerate(texts):
             s = [int(model.symbol[32])] * 3 + [int(model.symbol[b]) for b in text.encode()]
-            assert abs(sum(naive_bits(grams, langid.SYMBOLS, tuple(s[i - 3 : i]), s[i]) for i in range(3, len(s))) - got[t, x]) < 1e-3
+            assert abs(sum(naive_bits(grams, model.symbols, tuple(s[i - 3 : i]), s[i]) for i in range(3, len(s))) - got[t, x]) < 1e-3
+
+
+def test_ppm_tells_scripts_and_refuses_models_without_bound(monkeypatch):
+    train = {"bg": "те са тук и там ", "ru": "они здесь и там ", "el": "είναι εδώ και εκεί ", "hi": "वे यहाँ और वहाँ हैं ", "en": "they are here and there "}
+    counted = [langid.count_grams(*flat.buffers(pa.array([train[x] * 5]))) for x in sorted(train)]
+    parts = [k.astype(np.int64) for k, _ in counted], [c.astype(float) for _, c in counted]
+    model = langid.build(sorted(train), *parts)
+    assert model.symbols == len(set("".join(train.values()).encode())) + 1
+    texts = list(train.values())
+    assert [model.langs[k] for k in langid.code_lengths(model, *flat.buffers(pa.array(texts))).argmin(1)] == list(train)
+    monkeypatch.setattr(langid, "MODEL_BYTES", 1000)
+    with pytest.raises(ValueError):
+        langid.build(sorted(train), *parts)
 
 
 def bag(s):
