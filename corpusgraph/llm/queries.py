@@ -105,9 +105,48 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def base_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op2's base spans, which SQL can express."""
+    return op2_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op8 and its base rules, which SQL can express."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", *quality.COUNTS, "base_failed")
+
+
+#: Weighted Jaccard similarity of all pairs of texts that share a window, and classes by a closure.
+NEAR_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x09-\x0D\x20]+'), lambda x: x != '') AS w FROM documents),
+k AS (SELECT w, min(doc_id) AS rep FROM d WHERE len(w) > 0 GROUP BY w),
+s AS (SELECT rep, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM k),
+c AS (SELECT rep, hash(array_to_string(w[i:i + 4], ' ')) AS g, count(*) AS n FROM s GROUP BY ALL),
+t AS (SELECT rep, sum(n) AS n FROM c GROUP BY rep),
+p AS (SELECT x.rep AS a, y.rep AS b, sum(least(x.n, y.n)) AS shared FROM c x JOIN c y ON x.g = y.g AND x.rep < y.rep GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN t x ON x.rep = a JOIN t y ON y.rep = b WHERE shared::DOUBLE / (x.n + y.n - shared)::DOUBLE >= 0.8),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a AS rep, least(a, min(b)) AS root FROM r GROUP BY a)
+SELECT doc_id, coalesce(root, rep, doc_id) AS class_id FROM d LEFT JOIN k USING (w) LEFT JOIN m USING (rep)"""
+
+WARC_SQL = r"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+x AS (SELECT page_id, first, strlen(h)::BIGINT AS n, list_transform(range(0, 8), lambda k: ('0x' || substring(sha1(h), (5 * k + 1)::INTEGER, 5))::INTEGER) AS v FROM p JOIN f USING (h))
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(flatten(list_transform(v, lambda y: [y // 32768, y // 1024 % 32, y // 32 % 32, y % 32])), lambda y: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (y + 1)::INTEGER, 1)), '') AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != first THEN first END AS refers_to FROM x"""
+
+SECRET_SQL = r"""SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12))::BIGINT AS n_assign,
+len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18))::BIGINT AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16))::BIGINT AS n_hex FROM documents"""
+
+QUALITY_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x != '') AS w FROM documents),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x09-\x0D\x20]')) AS ls FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM d)), again AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+cover AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM again) GROUP BY doc_id),
+c AS (SELECT l.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM l LEFT JOIN cover USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_near_duplicates, op4_license_scan, op5_html_extract, op6_warc_roundtrip, op7_toxicity, op8_quality_rules, op9_decontaminate, op10_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_near_duplicates, op4_license_scan, op5_html_extract, op6_warc_roundtrip, op7_toxicity, op8_quality_rules, op9_decontaminate, op10_bpe, pipeline, base_secret_counts, base_quality_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.oracle()}
+    return {"op3_near_duplicates": NEAR_SQL, "op4_license_scan": licenses.oracle(), "op6_warc_roundtrip": WARC_SQL, "base_secret_counts": SECRET_SQL, "base_quality_counts": QUALITY_SQL}
