@@ -323,3 +323,43 @@ def test_toxicity_folding_and_exceptions():
     assert m.features("the trash can") == (0.0, 0.0) and m.features(None) == (0.0, 0.0)
     assert m.features("you 1D1OTIC trash") == (5 / 3**0.5, 5 / 3)
     assert m.features("xidiot entrash") == (0.0, 0.0)
+
+
+def naive_toxicity(weights, exceptions, text):
+    """Every entry at every place: the largest weight of each place, but inside exception phrases."""
+    folded, best = toxicity.fold(text or ""), {}
+    excused = [(at, at + len(toxicity.fold(p)) - 1) for p in exceptions for at in range(len(folded)) if folded.startswith(toxicity.fold(p), at)]
+    for term, w in weights.items():
+        at = folded.find(term)
+        while at >= 0:
+            if not any(a <= at < b for a, b in excused):
+                best[at] = max(w, best.get(at, 0.0))
+            at = folded.find(term, at + 1)
+    n = max(1, len(folded.split()))
+    return sum(best.values()) / n**0.5, sum(best.values()) / n
+
+
+def test_toxicity_matching_equals_a_naive_search():
+    rng = random.Random(8)
+    parts = ["trash", "can", "the", "idiot", "1d10t", "scum", "pond", "idio", "clown", "fish", "x"]
+    weights = {" trash ": 3.0, " idio": 2.0, " idiot ": 2.5, " scum ": 1.5, " clow": 1.0, " clown ": 0.5}
+    match = toxicity.Matcher(weights, toxicity.EXCEPTIONS)
+    for _ in range(500):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", ", ", "", "!"]) for _ in range(rng.randint(0, 20)))
+        assert np.allclose(match.features(text), naive_toxicity(weights, toxicity.EXCEPTIONS, text))
+
+
+def test_tree_scores_equal_a_naive_walk():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4))
+    model = gbt.fit(x, (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float), [0, 0, 1, -1])
+
+    def walk(row):
+        total = model.base
+        for node in model.roots:
+            while model.left[node] != node:
+                node = model.left[node] if row[model.feature[node]] <= model.threshold[node] else model.right[node]
+            total += model.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(model.score(x), [walk(r) for r in x])

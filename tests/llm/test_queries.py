@@ -310,6 +310,31 @@ def test_op9_finds_every_exact_item(sp, docs):
     assert got == brute_leaks(docs, pq.read_table(f"{SF}/benchmark.parquet").to_pylist())
 
 
+def test_op9_equals_brute_force_with_edits(sp):
+    """Every item of the small table against every whole text, with no piece to guide the search; some items edited."""
+    small = "/root/testdata/sf0.001"
+    docs, items = (pq.read_table(f"{small}/{t}.parquet").to_pylist() for t in ("documents", "benchmark"))
+    rng = random.Random(6)
+    for k, d in enumerate(docs[:40]):
+        s = list(items[k % len(items)]["text"])
+        for at in rng.sample(range(len(s)), min(len(s), rng.randint(0, int(0.08 * len(s)) + 1))):
+            s[at] = rng.choice(["", "#", s[at] + "z"])
+        d["text"] = f"{d['text'][:200]} {''.join(s)} {d['text'][200:]}"
+    found = decontam.find(sp.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id long, text string"), sp.read.parquet(f"{small}/benchmark.parquet")).collect()
+    got = {}
+    for r in found:
+        got[r["doc_id"], r["item_id"]] = min(r["distance"], got.get((r["doc_id"], r["item_id"]), 99))
+    want = {}
+    for d in docs:
+        text = decontam.normal(d["text"])
+        for i in items:
+            s = decontam.normal(i["text"])
+            hit = decontam.myers(s, text, int(decontam.RATE * len(s))) if s else None
+            if hit:
+                want[d["doc_id"], i["item_id"]] = hit[1]
+    assert got == want and len(want) > 30
+
+
 def test_op10_equals_the_library(sp, docs):
     import struct
 
@@ -345,6 +370,23 @@ def test_pipeline_equals_its_parts(sp, docs):
             assert got[d["doc_id"]]["ids_sha256"] == hashlib.sha256(ids).hexdigest()
 
 
+def test_pipeline_stages_take_clashing_names(sp, tmp_path):
+    import corpus_pipeline
+
+    extra = ["id", "rest", "spans", "text2", "class_id", "n", "kept", "letter", "decoded", "ids", "rep", "d1", "item_id", "start"]
+    rows = [(k, f"this is the text of number {k} and it is in english, with more of it and a token = 'f3ef4d6b2755a36d7d9c25bd72c4d5f6'", "en", "s", 0, *(f"{c}{k}" for c in extra)) for k in range(6)]
+    sp.createDataFrame([(1, "no such item in any of them at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = sp.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(sp, docs, str(tmp_path))
+        if name != "bpe":
+            assert out.columns == docs.columns
+            got = [r.asDict() for r in out.collect()]
+            assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in extra)
+        else:
+            assert out.count() == 6
+
+
 def test_pipeline_stages_take_odd_tables(sp, tmp_path):
     import corpus_pipeline
 
