@@ -6,7 +6,8 @@
 4. secret scan: secrets are replaced by a mark in the text; no document goes.
 5. BPE: tokens of the cleaned texts, encoded and decoded, as digests.
 
-All but the last return the columns of ``documents``. Rows with a null id pass stages 2 and 3 unchanged. Empty tables and
+All but the last return the columns of ``documents``, whatever further columns there are. ``doc_id`` names a document: rows that
+share it are one, and the row that is kept of them is any. Rows with a null id pass stages 2 and 3 unchanged. Empty tables and
 null or empty texts give empty results or are rejected in stage 1.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.llm import dartminhash, decontam, langid, queries, secrets
-from corpusgraph.session import materialise, ship, table
+from corpusgraph.session import discard, materialise, ship, table
 
 #: DuckDB SQL for run()'s rows; the stages can't be expressed in SQL, so they are tested against brute force.
 ORACLE_SQL = None
@@ -67,8 +68,9 @@ STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamin
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder, read again, and deleted after the next one."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        done, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        discard(done)
     return docs
