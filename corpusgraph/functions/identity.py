@@ -21,3 +21,22 @@ def set_key(ids: Column) -> Column:
 
 def query_key(text: Column) -> Column:
     return F.sha2(F.lower(F.trim(text)), 256)
+
+
+def boundary_key(text: Column, version: str, model: str, least: int, most: int) -> Column:
+    """Key of a text's cached boundaries: the settings and the text's digest."""
+    return F.concat(F.lit(f"{version}:{model}:{least}:{most}:"), F.sha2(text, 256))
+
+
+def summary_key(text: Column, model: str, longest: int, temperature: float) -> Column:
+    """Key of a document's cached summary."""
+    return F.concat(F.lit(f"doc-summary-v1:{model}:{longest}:{temperature}:"), F.sha2(text, 256))
+
+
+def profile_hash(*fields: str) -> Column:
+    """Digest of a profile's fields as JSON with sorted keys."""
+    return F.sha2(F.to_json(F.struct(*sorted(fields))), 256)
+
+
+def rollback_token(kind: str, key: Column, at: str) -> Column:
+    return F.sha2(F.concat(F.lit(f"{kind}:"), key.cast("string"), F.lit(f":{at}")), 256)

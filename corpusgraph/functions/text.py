@@ -23,6 +23,11 @@ MAIL = [
 ]
 SIGNATURES = [(rf"(?is)\n\s*{x}.*", "") for x in ("best regards", "kind regards", "regards,", "mit freundlichen", "-- ", "sincerely")]
 SCANNED = [(r"[^A-Za-zÀ-ÿ0-9\s.,;:!?()\[\]/%&@#+'\"-]", " "), (r"\bl\b", "I"), (r"\bO\b", "0"), (r"[\x09-\x0D\x20]+", " "), (r"(?i)page\s+[0-9]+", " ")]
+#: Words that are no keywords.
+STOPWORDS = "about across after again analysis and are based before between case cases data deep for from have into note notes over that this with work".split()
+#: Words that make a text positive or negative.
+POSITIVE = "improve success good benefit positive increase support agree effective".split()
+NEGATIVE = "fail bad risk negative decrease harm oppose ineffective issue".split()
 #: Mis-decoded UTF-8.
 MOJIBAKE = "Ã¼|Ã¶|Ã¤|�|â€™|â€œ|â€"
 
@@ -55,7 +60,8 @@ def sentences(text: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    s = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^a-z0-9_\s-]", ""), r"\s+", "_")
+    """Letters and digits of any script, hyphens and underscores; white space becomes one underscore."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^\p{L}\p{N}_\s-]", ""), r"\s+", "_")
     s = F.regexp_replace(s, "^_+|_+$", "")
     return F.when(s == "", F.lit("unknown")).otherwise(F.coalesce(s, F.lit("unknown")))
 

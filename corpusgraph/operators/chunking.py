@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Where a text is cut, the coarsest first.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
@@ -47,18 +48,19 @@ def _pack(pieces: list[str], size: int, overlap: int) -> list[str]:
     return out
 
 
-def assemble(text: str, boundaries: list[int], least: int = 100, most: int = 1000) -> list[str]:
-    """Segments between boundaries: short neighbours are joined, long ones split."""
+def assemble(text: str, boundaries: list[int], least: int = 100, most: int = 1000, strip: bool = False) -> list[str]:
+    """Segments between boundaries: short neighbours are joined, long ones split. With ``strip`` the blanks around segments go first."""
     cuts = [0, *sorted({b for b in boundaries if 0 < b < len(text)}), len(text)]
     merged: list[str] = []
     for part in (text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)):
+        part = part.strip() if strip else part
         if not part.strip():
             continue
         if merged and (len(merged[-1]) < least or len(part) < least):
             merged[-1] += part
         else:
             merged.append(part)
-    return [c for m in merged for c in (split_recursive(m, most, 0) if len(m) > most else [m.strip()])]
+    return [c for m in merged for c in (split_recursive(m) if len(m) > most else [m])]
 
 
 def spans(text: str, chunks: list[str], overlap: int) -> list[tuple[int, int]] | None:
@@ -107,24 +109,36 @@ def _sentence_vectors(sentences: list[str], size: int = 64):
 
 
 def split_by_similarity(text: str, threshold: float = 0.78, least: int = 100, most: int = 1000, embed=_sentence_vectors) -> list[str]:
-    """Sentences joined until a chunk would be too long, or is long enough and the next sentence differs."""
+    """Chunks that end where a sentence differs from the one before, once they are long enough, or where they would be too long.
+
+    Short texts and single sentences are one chunk; if the embedding fails, the recursive split stands in.
+    """
     import numpy as np
 
-    found = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
-    if not found:
+    if not text or not text.strip():
         return []
-    v = embed(found)
+    if len(text) <= least:
+        return [text]
+    found, cursor = [], 0
+    for s in re.split(r"(?<=[.!?])\s+", text.strip()):
+        if s.strip() and (at := text.find(s, cursor)) >= 0:
+            cursor = at + len(s)
+            found.append((at, cursor))
+    if len(found) < 2:
+        return [text.strip()]
+    try:
+        v = np.asarray(embed([text[a:b] for a, b in found]), float)
+    except Exception:  # a service that fails must not lose the document
+        return split_recursive(text)
     n = np.linalg.norm(v, axis=1)
-    out, held = [], [found[0]]
-    for k in range(1, len(found)):
-        cos = float(v[k] @ v[k - 1] / (n[k] * n[k - 1])) if n[k] * n[k - 1] else 0.0
-        size = len(" ".join(held))
-        if size + 1 + len(found[k]) > most or size >= least and cos < threshold:
-            out.append(" ".join(held))
-            held = []
-        held.append(found[k])
-    out.append(" ".join(held))
-    return [c for m in out for c in (split_recursive(m, most, 0) if len(m) > most else [m])]
+    size = n[1:] * n[:-1]
+    cos = np.where(size > 0, (v[1:] * v[:-1]).sum(1) / np.where(size > 0, size, 1), 0.0)
+    cuts, begin = [], found[0][0]
+    for (a, b), near in zip(found[1:], cos, strict=True):
+        if b - begin > most or b - begin >= least and near < threshold:
+            cuts.append(a)
+            begin = a
+    return assemble(text, cuts, least, most, strip=True)
 
 
 def by_similarity(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.78, least: int = 100, most: int = 1000) -> DataFrame:

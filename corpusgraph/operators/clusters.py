@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import vectors as V
 from corpusgraph.operators.ranking import top_per_group
+from corpusgraph.operators.search import BLOCK, by_blocks, small_side
+from corpusgraph.session import materialise
 
 
 def centroid_dims(vecs: DataFrame, group: str, vector: str) -> DataFrame:
@@ -25,28 +27,44 @@ def centroids(vecs: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def representatives(vecs: DataFrame, group: str, vector: str, key: str, k: int = 5) -> DataFrame:
-    """The k members nearest to each centroid: (group, rank, key, distance). Centroids are broadcast: one row a cluster."""
-    near = vecs.join(F.broadcast(centroids(vecs, group, vector).select(group, "centroid")), group)
+    """The k members nearest to each centroid: (group, rank, key, distance). Centroids are broadcast where they are few by count."""
+    near = vecs.join(small_side(centroids(vecs, group, vector).select(group, "centroid")), group)
     near = near.select(group, key, F.round(1 - V.cosine(V.as_double(F.col(vector)), F.col("centroid")), 6).alias("distance"))
     return top_per_group(near, [group], [F.col("distance"), F.col(key)], k, [key])
 
 
 def assign(vecs: DataFrame, cents: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, cluster, distance2): nearest centroid; ties to the smaller id. All centroids travel as one broadcast row."""
-    one = cents.agg(F.collect_list(F.struct("cluster", "centroid")).alias("cents"))
+    """(key, vector, cluster, distance2): nearest centroid; ties to the smaller id. Centroids travel in blocks of one row each."""
     square = lambda c: F.aggregate(F.zip_with(V.as_double(F.col(vector)), c["centroid"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    scored = vecs.crossJoin(F.broadcast(one)).select(key, vector, F.array_min(F.transform("cents", lambda c: F.struct(F.round(square(c), 6).alias("distance2"), c["cluster"].alias("cluster")))).alias("best"))
-    return scored.select(key, vector, F.col("best.cluster").alias("cluster"), F.col("best.distance2").alias("distance2"))
+
+    def nearest(block: DataFrame) -> DataFrame:
+        one = block.agg(F.collect_list(F.struct("cluster", "centroid")).alias("cents"))
+        return vecs.crossJoin(F.broadcast(one)).select(key, vector, F.array_min(F.transform("cents", lambda c: F.struct(F.round(square(c), 6).alias("distance2"), c["cluster"].alias("cluster")))).alias("best"))
+
+    best = by_blocks(cents, "cluster", nearest)
+    if cents.count() > BLOCK:
+        best = best.groupBy(key).agg(F.min("best").alias("best"), F.first(vector).alias(vector))
+    return best.select(key, vector, F.col("best.cluster").alias("cluster"), F.col("best.distance2").alias("distance2"))
 
 
 def lloyd(vecs: DataFrame, key: str, vector: str, k: int, steps: int) -> DataFrame:
-    """k-means from the first k vectors by key, a fixed number of steps: (key, cluster, distance2)."""
+    """k-means from the first k vectors by key, a fixed number of steps: (key, cluster, distance2). k is capped by the rows.
+
+    The centroids of each step are written and read again, so that plans don't nest.
+    """
+    if k < 1:
+        raise ValueError("k must be 1 or more")
     start = vecs.orderBy(key).limit(k).select(F.col(key).cast("long").alias("cluster"), V.as_double(F.col(vector)).alias("centroid"))
     for _ in range(steps - 1):
-        start = centroids(assign(vecs, start, key, vector), "cluster", vector).select("cluster", "centroid")
+        start = materialise(centroids(assign(vecs, start, key, vector), "cluster", vector).select("cluster", "centroid"), "centroids")
     return assign(vecs, start, key, vector).drop(vector)
 
 
+def replace_centroids(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored centroids (cluster_id, size, ...) after a run: those of clusters (ids from 0 on) are replaced by the new ones with members."""
+    return stored.where("cluster_id < 0").unionByName(new.where("cluster_id >= 0 and size > 0").select(*stored.columns))
+
+
 def pairwise_cosine(vecs: DataFrame, vector: str) -> DataFrame:
     """(n, mean, deviation) of the cosines of all pairs, without pairs: from the sum and the Gram matrix of unit vectors.
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.functions import projects as P
+from corpusgraph.operators.gatekeeper import DIRECT
+
 
 def sync_action(now: Column, last_synced: Column, exists: Column, dry_run: bool = False, cooldown: str = "INTERVAL 30 SECONDS") -> Column:
     """What writing a project's note does: nothing within the cooldown, else create or update (or would, in a dry run)."""
@@ -89,3 +92,48 @@ def outbox_step(status: Column, attempts: Column, event: Column, wants_answer: C
         .when((status == "awaiting_response") & (event == "response"), pair(F.lit("delivered"), attempts)).when((status == "failed") & (event == "requeue"), pair(F.lit("pending"), 0 * attempts))
         .otherwise(pair(status, attempts))
     )
+
+
+def record_escalations(proposals: DataFrame, new: DataFrame) -> DataFrame:
+    """Proposals (discovery_id, status, confidence) after new intents (message_id, context_id): escalated, with the confidence at which they were rejected."""
+    ids = new.select(F.regexp_replace("context_id", "^discovery:", "").alias("_id")).distinct()
+    both = proposals.withColumn("_id", F.col("discovery_id").cast("string")).join(ids.withColumn("_new", F.lit(True)), "_id", "left")
+    return both.select("discovery_id", F.when(F.col("_new"), "escalated").otherwise(F.col("status")).alias("status"), "confidence", F.when(F.col("_new"), F.col("confidence")).alias("rejected_confidence"))
+
+
+def delta_counts(outcomes: DataFrame, cache: DataFrame, result: str = "result_json") -> DataFrame:
+    """One row of counts of a delta sync's outcomes (cluster_id, outcome); an updated cluster's cached answers (cluster_id, result) go.
+
+    The cache's rows are joined by the cluster that they were stored for; the JSON decides whether they mention it.
+    """
+    n = lambda *kinds: F.count_if(F.col("outcome").isin(*kinds))
+    counts = outcomes.agg(
+        F.count("*").alias("total"), F.count_if(F.col("outcome") != "unchanged").alias("changed"), n("updated").alias("processed"), n("skipped").alias("skipped"),
+        n("updated").alias("profile_updates"), n("updated").alias("graph_updates"), n("failed").alias("failed"),
+    )
+    gone = outcomes.where("outcome = 'updated'").select("cluster_id").join(cache, "cluster_id").where(F.get_json_object(result, "$.cluster_id") == F.col("cluster_id"))
+    return counts.crossJoin(gone.agg(F.count("*").alias("cache_invalidations")))
+
+
+def files_to_projects(files: DataFrame, projects: DataFrame, now: Column, strategy: str = "manual") -> tuple[DataFrame, DataFrame]:
+    """(projects, outcomes) after notes (file, note, changed_at) are read back into rows (id, ..., updated_at, synced_at).
+
+    A note without an id, or of an unknown project, is unreadable; a note of a row that changed as well is a conflict; of the
+    others the fields that a user may set and that are given are taken over.
+    """
+    read = files.withColumn("_m", P.parse(F.col("note"))).withColumn("id", F.col("_m")["id"].try_cast(projects.schema["id"].dataType))
+    both = read.join(projects.select("id", F.col("updated_at").alias("_row"), F.col("synced_at").alias("_last"), F.lit(True).alias("_known")), "id", "left")
+    winner = sync_conflict(F.col("_last"), F.col("_row"), F.col("changed_at"), strategy)
+    outcomes = both.withColumn("outcome", F.when(F.col("_known").isNull(), "unreadable").when(winner == "conflict", "conflict").when(winner == "file", "updated").otherwise("skipped"))
+    given = outcomes.where("outcome = 'updated'").select("id", F.col("_m").alias("_new"))
+    fields = [c for c in DIRECT if c in projects.columns]
+    after = projects.join(given, "id", "left")
+    new = {c: F.coalesce(F.col("_new")[c].try_cast(projects.schema[c].dataType), F.col(c)) for c in fields}
+    new["updated_at"] = F.when(F.col("_new").isNotNull(), now).otherwise(F.col("updated_at"))
+    return after.withColumns(new).select(*projects.columns), outcomes.select("file", "id", "outcome")
+
+
+def copy_back(shadow: DataFrame, source: DataFrame) -> DataFrame:
+    """(key, action) of shadow files (key, digest, approved): copied to their source once approved, waiting until then, or the same."""
+    both = shadow.join(source.select("key", F.col("digest").alias("_own")), "key", "left")
+    return both.select("key", F.when(F.col("digest").eqNullSafe(F.col("_own")), "same").when(F.col("approved"), "copied").otherwise("waiting").alias("action"))

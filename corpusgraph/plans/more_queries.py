@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import identity as I
 from corpusgraph.functions import text as T
-from corpusgraph.operators import chunking
+from corpusgraph.operators import chunking, detect, retrieval, search
 from corpusgraph.operators.ranking import top_per_group
 from corpusgraph.plans import query
 from corpusgraph.session import ship, table
+from corpusgraph.streaming import debounce
+from corpusgraph.streaming.loops import run_stream
 
 
 def _nested(text: str, steps: list[tuple[str, str]]) -> str:
@@ -80,27 +82,34 @@ def hybrid_chunks(spark, sf_dir):
     """Whole sections of threads, long ones cut by similarity."""
     ship(spark)
     part = F.concat(F.lit("## "), "role", F.lit("\n"), "text")
-    sections = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 10_000 + F.col("turn")).alias("section"), part.alias("text"))
+    sections = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("section"), part.alias("text"))
     short = sections.where(F.length("text") < 1000).select("section", F.lit(0).alias("chunk"), "text")
     return short.unionByName(chunking.by_similarity(sections.where(F.length("text") >= 1000), "section", "text"))
 
 
-@query("SELECT event_type, count(*)::BIGINT AS dropped FROM events WHERE user_id IN (3, 7, 11) AND json_valid(props) GROUP BY event_type")
+@query("SELECT event_id FROM events WHERE NOT (user_id IN (3, 7, 11) AND event_id % 5 < 3 OR event_id % 5 = 1 AND event_type = '11')")
 def cache_invalidate_by_cluster(spark, sf_dir):
-    """Entries whose JSON is readable and that mention one of the clusters."""
-    return table(spark, sf_dir, "events").where(F.col("user_id").isin(3, 7, 11) & F.try_parse_json("props").isNotNull()).groupBy("event_type").agg(F.count("*").alias("dropped"))
+    """Entries that stay: those whose JSON can't be read or mentions none of the clusters (in any of its three forms)."""
+    n, u = F.col("event_id") % 5, F.col("user_id").cast("string")
+    result = (
+        F.when(n == 0, F.concat(F.lit('{"cluster_id": '), u, F.lit("}"))).when(n == 1, F.concat(F.lit('{"cluster_ids": ["'), "event_type", F.lit('", '), u, F.lit("]}")))
+        .when(n == 2, F.concat(F.lit('{"clusters": [{"x": 3}, {"cluster_id": "'), u, F.lit('"}]}'))).when(n == 3, F.concat(F.lit('{"cluster": '), u, F.lit("}"))).otherwise(F.concat(F.lit('{"cluster_id": '), u))
+    )
+    entries = table(spark, sf_dir, "events").select("event_id", result.alias("result_json"))
+    return retrieval.invalidate(entries, "result_json", ["3", "7", "11"]).select("event_id")
 
 
 _WORDS = "list_distinct(string_split_regex(lower({}), '[\\x09-\\x0D\\x20]+'))"
 
 
-@query(f"""WITH q AS (SELECT item_id, {_WORDS.format("text")} AS qs FROM benchmark WHERE item_id < 10), s AS (SELECT item_id, doc_id, len(list_intersect(qs, {_WORDS.format("d.text")}))::BIGINT AS overlap FROM q, documents d),
+@query(f"""WITH q AS (SELECT item_id, {_WORDS.format("text")} AS qs FROM benchmark WHERE item_id % 20 = 0), s AS (SELECT item_id, doc_id, len(list_intersect(qs, {_WORDS.format("d.text")}))::BIGINT AS overlap FROM q, documents d),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id)::BIGINT AS rank FROM s) SELECT item_id, rank, doc_id, overlap FROM k WHERE rank <= 5""")
 def keyword_overlap_retriever(spark, sf_dir):
-    """A stated query set of ten items against all documents."""
+    """The stated query set (ids divisible by 20) against all documents, in blocks."""
     words = lambda c: F.array_distinct(F.split(F.lower(c), r"[\x09-\x0D\x20]+"))
-    asked = table(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id", words(F.col("text")).alias("qs"))
-    scored = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("ws")).crossJoin(F.broadcast(asked)).select("item_id", "doc_id", F.size(F.array_intersect("qs", "ws")).cast("long").alias("overlap"))
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select("item_id", words(F.col("text")).alias("qs"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("ws"))
+    scored = search.by_blocks(asked, "item_id", lambda block: docs.crossJoin(block).select("item_id", "doc_id", F.size(F.array_intersect("qs", "ws")).cast("long").alias("overlap")))
     return top_per_group(scored, ["item_id"], [F.desc("overlap"), F.col("doc_id")], 5, ["doc_id"]).select("item_id", "rank", "doc_id", "overlap")
 
 
@@ -125,36 +134,17 @@ def discovery_identity(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy("o_custkey").agg(I.set_key(F.collect_list(F.col("o_orderkey").cast("string"))).alias("set_key"))
 
 
-@query(None)
+@query("""WITH RECURSIVE f AS (SELECT p_brand AS pattern, p_size AS job, list_sort(list_distinct(list(p_type))) AS clusters, round(avg(p_retailprice), 2) AS confidence FROM part GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY confidence DESC, job) AS i FROM f),
+r AS (SELECT pattern, job, clusters, confidence, i, [clusters] AS kept, true AS keep FROM o WHERE i = 1 UNION ALL
+SELECT o.pattern, o.job, o.clusters, o.confidence, o.i, CASE WHEN k THEN list_append(kept, o.clusters) ELSE kept END, k FROM (SELECT o.*, r.kept, len(list_filter(r.kept, lambda s: len(list_intersect(s, o.clusters)) / len(list_distinct(list_concat(s, o.clusters)))::DOUBLE >= 0.8)) = 0 AS k FROM r JOIN o ON o.pattern = r.pattern AND o.i = r.i + 1) o)
+SELECT pattern, job, array_to_string(clusters, ',') AS clusters, confidence FROM r WHERE keep""")
 def discovery_dedup_greedy(spark, sf_dir):
-    """Detections (sets of clusters) in order of confidence; one that overlaps a kept one of its type by 0.8 or more goes.
-
-    The order makes it sequential within a type; a type's detections are few (one row a pattern, found over clusters).
-    """
-    import pandas as pd
-
+    """Detections (sets of clusters) in order of confidence; one that overlaps a kept one of its type by 0.8 or more goes."""
+    ship(spark)
     found = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.array_sort(F.collect_set("p_type")).alias("clusters"), F.round(F.avg("p_retailprice"), 2).alias("confidence"))
     found = found.select(F.col("p_brand").alias("pattern"), F.col("p_size").alias("job"), "clusters", "confidence")
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
-        for r in rows.sort_values(["confidence", "job"], ascending=[False, True]).itertuples():
-            s = set(r.clusters)
-            if not any((len(s & k) / len(s | k) if s | k else 1.0) >= 0.8 for k in kept):
-                kept.append(s)
-                out.append(r.Index)
-        return rows.loc[out]
-
-    return found.groupBy("pattern").applyInPandas(keep, found.schema)
-
-
-@query("""WITH e(s, t) AS (SELECT DISTINCT n_regionkey, n_nationkey + 100 FROM nation) SELECT s AS node, t AS other, 'child' AS kind FROM e UNION ALL SELECT t, s, 'parent' FROM e UNION ALL SELECT a.t, b.t, 'sibling' FROM e a JOIN e b ON a.s = b.s AND a.t != b.t""")
-def graph_relations(spark, sf_dir):
-    """Children, parents and siblings in the graph of regions and nations."""
-    e = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("s"), (F.col("n_nationkey") + 100).alias("t")).distinct()
-    row = lambda df, a, b, kind: df.select(F.col(a).alias("node"), F.col(b).alias("other"), F.lit(kind).alias("kind"))
-    pair = e.join(e.withColumnRenamed("t", "u"), "s").where("t != u")
-    return row(e, "s", "t", "child").unionByName(row(e, "t", "s", "parent")).unionByName(row(pair, "t", "u", "sibling"))
+    return detect.greedy_distinct(found, "pattern", "clusters", [("confidence", False), ("job", True)]).withColumn("clusters", F.array_join("clusters", ","))
 
 
 _REPLY = "CASE o_orderkey % 6 WHEN 0 THEN ' Approve ' WHEN 1 THEN 'no' WHEN 2 THEN '4' WHEN 3 THEN 'in 3 weeks' WHEN 4 THEN 'none' ELSE '2 days' END"
@@ -170,21 +160,9 @@ def reply_and_deadline_parse(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", decision.alias("decision"), F.coalesce(r.try_cast("int"), F.lit(-1)).alias("number"), F.when(r.rlike("^(in )?[0-9]+ ?(day|week|month)"), F.col("o_orderdate") + F.make_dt_interval(days=n)).alias("deadline"))
 
 
-@query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+@query("SELECT DISTINCT user_id FROM events")
 def stream_first_seen(spark, sf_dir):
-    """The first event of each user, kept by a stream over the table and written in micro-batches to the shared folder."""
-    import uuid
-
-    from corpusgraph.session import shared_dir
-
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "*").parquet(f"{sf_dir}/events.parquet*")
-    first = source.groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-
-    def save(batch, k: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/batch={k}")
-
-    q = first.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{base}-state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress)
-    return spark.read.parquet(f"{base}/batch={last}")
+    """Users of a stream over the table, each taken in once: appended to the shared folder as they come."""
+    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
+    events = source.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return run_stream(debounce.first_seen(events, "user_id", "ts", "60 days").select("user_id"), "first-seen")

@@ -36,12 +36,11 @@ def counter_upsert(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("access_count"), F.max("ts").alias("last_accessed"))
 
 
-@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
+@query("SELECT user_id, event_type, coalesce(min(event_id) FILTER (event_id % 2 = 0), min(event_id)) AS event_id FROM events GROUP BY ALL")
 def insert_if_absent(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
     none = e.where("event_id % 2 = 0").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-    odd = S.insert_absent(none, e.where("event_id % 2 = 1"), ["user_id", "event_type"], ["event_id"])
-    return odd.unionByName(e).groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    return S.insert_absent(none, e.where("event_id % 2 = 1"), ["user_id", "event_type"], ["event_id"])
 
 
 @query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id")
@@ -49,10 +48,10 @@ def checkpoint_latest(spark, sf_dir):
     return latest_per_key(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"])
 
 
-@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS step FROM events WHERE user_id < 20")
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS step FROM events")
 def checkpoint_history(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").where("user_id < 20").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("step"))
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("step"))
 
 
 @query("SELECT event_type, count(*)::BIGINT AS kept FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY event_type")
@@ -163,7 +162,8 @@ def reply_single_pending(spark, sf_dir):
     return waiting.groupBy("user_id").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n")).where("n = 1").select("user_id", "event_id")
 
 
-@query(None)
+@query("""WITH RECURSIVE n AS (SELECT e.event_id, arg_min(f.event_id, (f.ts, f.event_id)) AS next FROM events e JOIN events f ON f.user_id = e.user_id AND f.ts >= e.ts + INTERVAL 1 HOUR GROUP BY e.event_id),
+r AS (SELECT arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id UNION ALL SELECT n.next FROM r JOIN n USING (event_id)) SELECT user_id, ts, event_id FROM r JOIN events USING (event_id)""")
 def debounce_events(spark, sf_dir):
     """Events that are processed when each user's next must come an hour or more after the last one processed."""
     from corpusgraph.streaming.debounce import debounce_batch

@@ -48,7 +48,7 @@ def assembled_chunks(spark, sf_dir):
     return chunking.assembled(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-_NOTE = """'---' || chr(10) || 'id: ' || doc_id || chr(10) || '---' || chr(10) || '# Note [[target|alias]] [[plain]] ![[embed]]' || chr(10) || 'key:: value' || chr(10) || '<div>' || lang || '</div>  📌 ' || substring(text, 1, 300)"""
+_NOTE = """'---' || chr(10) || 'id: ' || doc_id || chr(10) || '---' || chr(10) || '# Note [[target|alias]] [[plain]] ![[embed]]' || chr(10) || 'key:: value' || chr(10) || '<div>' || lang || '</div>  📌 ' || text"""
 
 
 @query(f"""WITH n AS (SELECT doc_id, {_NOTE} AS t FROM documents), s AS (SELECT doc_id,
@@ -57,7 +57,7 @@ regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
 '<[^>]+>', '', 'g'), '\\b[A-Za-zÀ-ÿ0-9_]+::[^\\n]+', '', 'g'), '[📌🎯💡⚡]', '', 'g'), ' +', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM n)
 SELECT doc_id, md5(regexp_replace(t, '^[\\x09-\\x0D\\x20]+|[\\x09-\\x0D\\x20]+$', '', 'g')) AS digest FROM s""")
 def markdown_clean(spark, sf_dir):
-    note = F.expr(r"""'---\nid: ' || doc_id || '\n---\n# Note [[target|alias]] [[plain]] ![[embed]]\nkey:: value\n<div>' || lang || '</div>  📌 ' || substring(text, 1, 300)""")
+    note = F.expr(r"""'---\nid: ' || doc_id || '\n---\n# Note [[target|alias]] [[plain]] ![[embed]]\nkey:: value\n<div>' || lang || '</div>  📌 ' || text""")
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.markdown_clean(note)).alias("digest"))
 
 

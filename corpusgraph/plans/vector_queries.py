@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
 from corpusgraph.functions import vectors as V
-from corpusgraph.operators import clusters
+from corpusgraph.operators import clusters, retrieval, search
 from corpusgraph.operators.ranking import top_per_group
 from corpusgraph.plans import query
 from corpusgraph.session import ship, table
@@ -30,13 +30,16 @@ def cluster_centroids(spark, sf_dir):
     return clusters.centroid_dims(table(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("mean", F.round("mean", 6))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS distance FROM embeddings q JOIN embeddings e ON e.vec_id != q.vec_id WHERE q.vec_id < 5),
+def _asked(vecs, *keep):
+    """The stated query set: rows whose id is divisible by 20."""
+    return vecs.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), V.as_double(F.col("embedding")).alias("q"), *keep)
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS distance FROM embeddings q JOIN embeddings e ON e.vec_id != q.vec_id WHERE q.vec_id % 20 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::BIGINT AS rank FROM s) SELECT query_id, rank, vec_id, distance FROM k WHERE rank <= 10""")
 def vector_topk_search(spark, sf_dir):
     vecs = table(spark, sf_dir, "embeddings")
-    asked = vecs.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), V.as_double(F.col("embedding")).alias("q"))
-    scored = vecs.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(1 - V.cosine(F.col("q"), V.as_double(F.col("embedding"))), 6).alias("distance"))
-    return top_per_group(scored, ["query_id"], [F.col("distance"), F.col("vec_id")], 10, ["vec_id"]).select("query_id", "rank", "vec_id", "distance")
+    return search.top_k(vecs, _asked(vecs), "vec_id", "embedding", 10)
 
 
 @query(f"""WITH {_DIMS}, s AS (SELECT d.vec_id, c.label AS cluster, round(sum((d.x - c.centroid[d.dim + 1]) ^ 2), 6) AS distance2 FROM d JOIN c ON true GROUP BY ALL),
@@ -165,83 +168,25 @@ def taxonomy_parent_edges(spark, sf_dir):
     return top_per_group(fit, ["b"], [F.desc("overlap"), F.col("a")], 2, ["a"]).select(F.col("a").alias("parent"), F.col("b").alias("child"), "overlap", "rank")
 
 
-def break_cycles(edges):
-    """(source, target, kind): the weakest edge (score, overlap, ends) of each cycle found becomes a neighbour edge.
-
-    The graph of clusters is small by its nature: more than 100,000 edges are refused rather than collected.
-    """
-    rows = edges.limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("too many edges for the driver")
-    live = {(r["source"], r["target"]): (r["score"], r["overlap"]) for r in rows}
-    lost = set()
-    while True:
-        out: dict = {}
-        for s, t in sorted(live):
-            out.setdefault(s, []).append(t)
-        state, found = {}, None
-        for root in sorted(out):
-            stack = [] if state.get(root) else [(root, iter(out[root]))]
-            path = [root] if stack else []
-            state.setdefault(root, 1)
-            while stack and not found:
-                node, rest = stack[-1]
-                for t in rest:
-                    if state.get(t) == 1:
-                        ring = path[path.index(t) :] + [t]
-                        found = list(zip(ring, ring[1:], strict=False))
-                        break
-                    if t not in state:
-                        state[t] = 1
-                        stack.append((t, iter(out.get(t, ()))))
-                        path.append(t)
-                        break
-                else:
-                    state[node] = 2
-                    stack.pop()
-                    path.pop()
-            if found:
-                break
-        if not found:
-            break
-        weakest = min(found, key=lambda e: (*live[e], e))
-        lost.add(weakest)
-        del live[weakest]
-    return edges.sparkSession.createDataFrame(sorted([(*e, "PARENT_OF") for e in live] + [(*e, "NEIGHBOR") for e in lost]), "source string, target string, kind string")
-
-
-@query("SELECT * FROM (VALUES ('a', 'b', 'PARENT_OF'), ('b', 'c', 'PARENT_OF'), ('c', 'a', 'NEIGHBOR'), ('c', 'd', 'PARENT_OF')) t(source, target, kind)")
-def taxonomy_cycle_resolution(spark, sf_dir):
-    rows = [("a", "b", 0.9, 0.5), ("b", "c", 0.8, 0.5), ("c", "a", 0.7, 0.5), ("c", "d", 0.6, 0.1)]
-    return break_cycles(spark.createDataFrame(rows, "source string, target string, score double, overlap double"))
-
-
 @query("""WITH r AS (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6), e.vec_id) AS rank, q.label = e.label AS rel, count(*) FILTER (WHERE q.label = e.label) OVER (PARTITION BY q.vec_id) AS n_rel
-FROM embeddings q JOIN embeddings e ON e.vec_id != q.vec_id WHERE q.vec_id < 20)
-SELECT query_id, round(sum(CASE WHEN rel THEN 1.0 ELSE 0.0 END) FILTER (WHERE rank <= 5) / max(n_rel), 6) AS recall5,
-round(coalesce(sum(CASE WHEN rel THEN 1 / log2(rank + 1) END) FILTER (WHERE rank <= 5), 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 6) t(i)), 6) AS ndcg5, round(coalesce(1.0 / min(rank) FILTER (WHERE rel), 0), 6) AS rr FROM r GROUP BY query_id""")
+FROM embeddings q JOIN embeddings e ON e.vec_id != q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, round(CASE WHEN max(n_rel) = 0 THEN 0.0 ELSE sum(CASE WHEN rel THEN 1.0 ELSE 0.0 END) FILTER (WHERE rank <= 5) / max(n_rel) END, 6) AS recall5,
+round(CASE WHEN max(n_rel) = 0 THEN 0.0 ELSE coalesce(sum(CASE WHEN rel THEN 1 / log2(rank + 1) END) FILTER (WHERE rank <= 5), 0) / list_sum(list_transform(range(1, least(max(n_rel), 5) + 1), lambda i: 1 / log2(i + 1))) END, 6) AS ndcg5, round(coalesce(1.0 / min(rank) FILTER (WHERE rel), 0), 6) AS rr FROM r GROUP BY query_id""")
 def retrieval_recall_ndcg_mrr(spark, sf_dir):
-    """Relevant: the other members of the query's cluster (more than five, so the ideal has five)."""
+    """Relevant: the other members of the query's cluster."""
     vecs = table(spark, sf_dir, "embeddings")
-    asked = F.broadcast(vecs.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), V.as_double(F.col("embedding")).alias("q")))
-    scored = vecs.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", (F.col("own") == F.col("label")).alias("rel"), F.round(1 - V.cosine(F.col("q"), V.as_double(F.col("embedding"))), 6).alias("distance"))
-    # the first relevant row's rank is one more than the number of rows before it; one aggregate, no rank over all rows
-    best = scored.where("rel").groupBy("query_id").agg(F.min(F.struct("distance", "vec_id")).alias("best"), F.count("*").alias("n_rel"))
-    before = scored.join(F.broadcast(best), "query_id").groupBy("query_id").agg(F.count(F.when(F.struct("distance", "vec_id") < F.col("best"), 1)).alias("before"), F.max("n_rel").alias("n_rel"))
-    top = top_per_group(scored, ["query_id"], [F.col("distance"), F.col("vec_id")], 5, ["vec_id"])
-    gain = top.groupBy("query_id").agg(F.sum(F.when(F.col("rel"), 1.0).otherwise(0.0)).alias("hits"), F.sum(F.when(F.col("rel"), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"))
-    ideal = sum(1 / F.log2(F.lit(i + 1.0)) for i in range(1, 6))
-    return before.join(gain, "query_id").select("query_id", F.round(F.col("hits") / F.col("n_rel"), 6).alias("recall5"), F.round(F.col("dcg") / ideal, 6).alias("ndcg5"), F.round(1 / (F.col("before") + 1), 6).alias("rr"))
-
-
-@query("""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS cached_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings c ON c.vec_id % 2 = 0 AND c.vec_id < 100 WHERE q.vec_id % 2 = 1),
+    found = search.scored(vecs, _asked(vecs, F.col("label").alias("own")), "vec_id", "embedding", [(F.col("own") == F.col("label")).alias("rel")])
+    return retrieval.measures(found, "query_id", "vec_id", "distance", "rel", 5).select("query_id", F.col("recall").alias("recall5"), F.col("ndcg").alias("ndcg5"), "rr")
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS cached_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings c ON c.vec_id % 2 = 0 WHERE q.vec_id % 2 = 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, cached_id) AS rn FROM s) SELECT query_id, cached_id, similarity, similarity >= 0.95 AS hit FROM k WHERE rn = 1""")
 def semantic_cache_lookup(spark, sf_dir):
-    """The cache (ids below 100) is broadcast: a cache has a bound by its nature."""
+    """Odd ids ask, all even ids are the cache, which is searched in blocks."""
     vecs = table(spark, sf_dir, "embeddings")
-    cache = F.broadcast(vecs.where("vec_id % 2 = 0 and vec_id < 100").select(F.col("vec_id").alias("cached_id"), V.as_double(F.col("embedding")).alias("c")))
-    scored = vecs.where("vec_id % 2 = 1").crossJoin(cache).select(F.col("vec_id").alias("query_id"), F.struct(F.round(V.cosine(V.as_double(F.col("embedding")), F.col("c")), 6).alias("s"), (-F.col("cached_id")).alias("k")).alias("x"))
-    return scored.groupBy("query_id").agg(F.max("x").alias("x")).select("query_id", (-F.col("x.k")).alias("cached_id"), F.col("x.s").alias("similarity"), (F.col("x.s") >= 0.95).alias("hit"))
+    cache = vecs.where("vec_id % 2 = 0").select(F.col("vec_id").alias("cached_id"), V.as_double(F.col("embedding")).alias("c"))
+    asked = vecs.where("vec_id % 2 = 1").select(F.col("vec_id").alias("query_id"), V.as_double(F.col("embedding")).alias("q"))
+    return retrieval.cache_lookup(asked, cache, "query_id", "q").select("query_id", "cached_id", "similarity", "hit")
 
 
 @query("""WITH pos AS (SELECT embedding::DOUBLE[] AS p FROM embeddings WHERE vec_id <= 5), neg AS (SELECT embedding::DOUBLE[] AS p FROM embeddings WHERE vec_id BETWEEN 6 AND 10)
@@ -278,11 +223,13 @@ def contradictions(spark, sf_dir):
     return pairs.select("a", "b", F.round(F.least(F.lit(1.0), F.col("similarity") * F.abs(F.col("pa") - F.col("pb"))), 6).alias("confidence"), F.round(F.aggregate(V.midpoint(F.col("va"), F.col("vb")), F.lit(0.0), lambda s, x: s + x), 5).alias("middle"))
 
 
-@query("""WITH w AS (SELECT label, regexp_extract_all(lower(text), '[a-z][a-z0-9-]+') AS ws FROM embeddings JOIN documents ON doc_id = vec_id), t AS (SELECT label, unnest(ws) AS term FROM w), c AS (SELECT label, term, count(*)::BIGINT AS n FROM t WHERE length(term) > 3 AND term NOT IN ('that', 'this', 'with', 'from', 'have') GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, term)::BIGINT AS rank FROM c) SELECT label, term, n, rank FROM k WHERE rank <= 5""")
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+@query(f"""WITH w AS (SELECT label, vec_id, regexp_extract_all(lower(text), '[a-z][a-z0-9-]+') AS ws FROM embeddings JOIN documents ON doc_id = vec_id), t AS (SELECT label, vec_id, unnest(ws) AS term, generate_subscripts(ws, 1) - 1 AS pos FROM w),
+c AS (SELECT label, term, count(*)::BIGINT AS n, min(vec_id * 100000000 + pos) AS first FROM t WHERE length(term) > 3 AND term NOT IN ({_STOP}) GROUP BY ALL),
+k AS (SELECT label, term, n, row_number() OVER (PARTITION BY label ORDER BY n DESC, first)::BIGINT AS rank FROM c) SELECT label, term, n, rank FROM k WHERE rank <= 5""")
 def keyword_top5(spark, sf_dir):
-    """Ties go to the term that comes first in the alphabet (a total order whatever the row order)."""
+    """The notes of a cluster are read in the order of their ids."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text").join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
-    terms = docs.select("label", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z0-9-]+"), 0)).alias("term"))
-    counted = terms.where((F.length("term") > 3) & ~F.col("term").isin("that", "this", "with", "from", "have")).groupBy("label", "term").agg(F.count("*").alias("n"))
-    return top_per_group(counted, ["label"], [F.desc("n"), F.col("term")], 5, ["term"])
+    return retrieval.keywords(docs, "label", "vec_id", "text", 5)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusgraph.functions import identity as I
 from corpusgraph.functions import notes as N
 from corpusgraph.operators import clusters, structure, workflow
 from corpusgraph.plans import query
@@ -158,13 +159,11 @@ def notification_preferences(spark, sf_dir):
     return workflow.with_defaults(users, known, "c_custkey", {"daily_limit": 5, "reminders": "on"})
 
 
-@query("""SELECT doc_id, sha256('v1:m:100:1000:' || sha256(text)) AS chunk_key, sha256('{"lang":"' || lang || '","source":"' || source || '"}') AS profile_hash, sha256('project:' || doc_id || ':2024-01-31') AS rollback_token FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL""")
+@query("""SELECT doc_id, 'v1:m:100:1000:' || sha256(text) AS chunk_key, 'doc-summary-v1:m:300:0.2:' || sha256(text) AS summary_key, sha256('{"lang":"' || lang || '","source":"' || source || '"}') AS profile_hash, sha256('project:' || doc_id || ':2024-01-31') AS rollback_token FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL""")
 def state_keys(spark, sf_dir):
     """Keys of cached boundaries, digests of profiles (JSON with sorted keys) and tokens."""
     d = table(spark, sf_dir, "documents").where("text is not null and lang is not null and source is not null")
-    key = F.sha2(F.concat(F.lit("v1:m:100:1000:"), F.sha2("text", 256)), 256)
-    token = F.sha2(F.concat(F.lit("project:"), F.col("doc_id").cast("string"), F.lit(":2024-01-31")), 256)
-    return d.select("doc_id", key.alias("chunk_key"), F.sha2(F.to_json(F.struct("lang", "source")), 256).alias("profile_hash"), token.alias("rollback_token"))
+    return d.select("doc_id", I.boundary_key(F.col("text"), "v1", "m", 100, 1000).alias("chunk_key"), I.summary_key(F.col("text"), "m", 300, 0.2).alias("summary_key"), I.profile_hash("source", "lang").alias("profile_hash"), I.rollback_token("project", F.col("doc_id"), "2024-01-31").alias("rollback_token"))
 
 
 _NEAR = """WITH dims AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS cen FROM dims GROUP BY 1),
@@ -266,7 +265,14 @@ def outbox_steps(spark, sf_dir):
     return table(spark, sf_dir, "events").select(step.alias("s")).groupBy("s.status", "s.attempts").agg(F.count("*").alias("n"))
 
 
-@query(None)
+def _lloyd_sql(rest: int, k: int) -> str:
+    return f"""(WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 2 = {rest}), d AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM v), c0 AS (SELECT vec_id AS cluster, embedding::DOUBLE[] AS c FROM v ORDER BY vec_id LIMIT {k}),
+s0 AS (SELECT d.vec_id, cluster, round(sum((x - c[dim]) ^ 2), 6) AS q FROM d, c0 GROUP BY ALL), a0 AS (SELECT vec_id, cluster FROM s0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY q, cluster) = 1),
+m1 AS (SELECT cluster, dim, avg(x) AS mean FROM d JOIN a0 USING (vec_id) GROUP BY ALL), c1 AS (SELECT cluster, list(mean ORDER BY dim) AS c FROM m1 GROUP BY cluster),
+s1 AS (SELECT d.vec_id, cluster, round(sum((x - c[dim]) ^ 2), 6) AS q FROM d, c1 GROUP BY ALL), a1 AS (SELECT vec_id, cluster FROM s1 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY q, cluster) = 1) SELECT cluster, count(*)::BIGINT AS n FROM a1 GROUP BY cluster)"""
+
+
+@query(f"SELECT 'notes' AS collection, cluster, n FROM {_lloyd_sql(0, 3)} UNION ALL SELECT 'mail', cluster, n FROM {_lloyd_sql(1, 5)}")
 def dual_collection_clusters(spark, sf_dir):
     """Two collections (even and odd ids), each clustered with its own k; sizes by collection and cluster."""
     vecs, out = table(spark, sf_dir, "embeddings"), None
