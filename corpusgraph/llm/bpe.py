@@ -32,8 +32,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of each cache of a worker (entries); a full cache is emptied between batches.
-CACHE_WORDS = 250_000
+from corpusgraph.llm import flat
+
+#: Bound of each cache of a worker (entries); of a full cache only what the last batch found in it stays.
+CACHE_WORDS = 160_000
 #: Longest words (in symbols) that are encoded in lockstep, and about how many symbols go at once.
 LOCKSTEP, SYMBOLS_AT_ONCE = 64, 1 << 20
 _NEVER = 1 << 60
@@ -321,18 +323,17 @@ class Tokenizer:
 
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for cache in (self.words, self.runs):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
         cut = [self._pieces(t) for t in texts]
-        fresh = {c for pieces in cut for p in pieces if isinstance(p, list) for c in p} - self.runs.keys()
+        used = {c for pieces in cut for p in pieces if isinstance(p, list) for c in p}
+        fresh = used - self.runs.keys()
         self._learn(fresh)
         get = self.runs.__getitem__
         out = [b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in pieces]) for pieces in cut]
-        for cache, some in ((self.runs, fresh), (self.words, list(self.words) if any(len(c) > LOCKSTEP for c in fresh) else ())):
-            for c in some:
-                if len(c) > LOCKSTEP:
-                    del cache[c]
+        if len(self.runs) > CACHE_WORDS:  # what came back stays
+            self.runs = {c: self.runs[c] for c in used - fresh if len(c) <= LOCKSTEP}
+            self.words = {c: self.words[c] for c in self.runs if c in self.words}
+        elif any(len(c) > LOCKSTEP for c in fresh):
+            self.runs, self.words = ({c: x for c, x in cache.items() if len(c) <= LOCKSTEP} for cache in (self.runs, self.words))
         return out
 
     def decode_all(self, ids: pa.Array) -> pa.Array:
@@ -340,8 +341,8 @@ class Tokenizer:
         ids = ids.cast(pa.large_binary()).fill_null(b"")
         _, offsets, data = ids.buffers()
         off = np.frombuffer(offsets, np.int64)[ids.offset : ids.offset + len(ids) + 1]
-        flat = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
-        labels = self.labels.take(pa.array(np.frombuffer(flat.tobytes(), "<u4")))
+        raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+        labels = self.labels.take(pa.array(np.frombuffer(raw.tobytes(), "<u4")))
         return pc.binary_join(pa.ListArray.from_arrays(pa.array((off - off[0]) // 4, pa.int32()), labels), " ")
 
 
@@ -369,7 +370,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(path)
-        for batch in batches:
+        for batch in flat.tidy(batches):
             ids = tok.encode_all(batch.column(1).to_pylist())
             lo, held = 0, 0
             for k, x in enumerate(ids):

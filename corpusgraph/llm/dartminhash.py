@@ -111,7 +111,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int,
     source = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in flat.tidy(batches):
             data, off = flat.buffers(batch.column(1))
             for lo, hi in flat.groups(off):
                 n = hi - lo
@@ -152,7 +152,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) ->
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in flat.tidy(batches):
             s = similarity(batch.column(2), batch.column(3), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(s, 6))], names=["a", "b", "similarity"]).filter(pa.array(s >= threshold))
 
@@ -164,7 +164,7 @@ def marks(texts: DataFrame, words: int, k: int) -> DataFrame:
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in flat.tidy(batches):
             data, off = flat.buffers(batch.column(1))
             for lo, hi in flat.groups(off):
                 n = hi - lo
@@ -228,7 +228,7 @@ def across(members: DataFrame, hubs: DataFrame, roots: DataFrame, texts: DataFra
     blocks = side(queries, True).unionByName(side(searched, False)).groupBy("key", "q", "s").agg(F.collect_list("m").alias("m")).select("m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in flat.tidy(batches):
             for block in batch.column(0):
                 m = block.values
                 joined = lambda name, kind: np.frombuffer(b"".join(m.field(name).to_pylist()), kind)  # noqa: E731, B023

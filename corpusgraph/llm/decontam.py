@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.llm import flat
+
 RATE, BLOCK_CHARS = 0.06, 4_000_000
 _SPACES = {c: 32 for c in (9, 10, 11, 12, 13, 0x85, 0xA0, 0x2028, 0x2029)}
 
@@ -149,7 +151,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(shared.value, rate)
-            for batch in batches:
+            for batch in flat.tidy(batches):
                 hits = [(r, *h) for r, t in enumerate(batch.column(1)) for h in searcher.search(t.as_py())]
                 kind = batch.column(0).type
                 yield pa.RecordBatch.from_arrays(

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.llm import flat
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.DOTALL)
 RAW = frozenset("script style title textarea noscript iframe template noembed noframes xmp svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -257,7 +259,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     source = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html"), F.struct(*[F.col(c) for c in keep]).alias("rest") if keep else F.lit(True).alias("rest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in flat.tidy(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([content(x.as_py()) for x in batch.column(1)], pa.string())], names=["id", "rest", "text"])
 
     out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, rest {source.schema['rest'].dataType.simpleString()}, text string")

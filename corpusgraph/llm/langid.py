@@ -157,7 +157,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in flat.tidy(batches):
             langs = np.array(batch.column(0).to_pylist(), object)
             data, off = flat.buffers(batch.column(1))
             for lo, hi in flat.groups(off):
@@ -195,7 +195,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in flat.tidy(batches):
             lang, p, bits = _guess(shared.value, batch.column(1), batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(p), pa.array(bits)], names=["id", "lang_pred", "score", "bits"])
 
@@ -210,7 +210,7 @@ def predict_into(docs: DataFrame, model: Model, text_col: str = "text", lang_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in flat.tidy(batches):
             lang, _, _ = _guess(shared.value, batch.column(1), batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string())], names=["rest", "text", "lang"])
 

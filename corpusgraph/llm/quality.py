@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in flat.tidy(batches):
             for lo, hi, _, x in _in_batches(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -115,7 +115,7 @@ def score(docs: DataFrame, trees: gbt.Trees, id_col: str = "doc_id", text_col: s
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in flat.tidy(batches):
             for lo, hi, c, x in _in_batches(batch.column(1)):
                 failed = (c[:, 0] < min_words) | (100 * c[:, 4] > max_repeat_percent * c[:, 0])
                 p = np.round(model.value.score(x), 6)

@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.llm import flat
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -241,7 +243,7 @@ def _spans(docs: DataFrame, text_col: str, kept: Column, vocab_path: str | None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = dictionary(vocab_path)
-        for batch in batches:
+        for batch in flat.tidy(batches):
             likely = pc.fill_null(pc.match_substring_regex(batch.column(0), SCREEN), False).to_pylist()
             spans = [[dict(zip(("kind", "start", "end", "log10_guesses"), s, strict=True)) for s in scan(batch.column(0)[k].as_py(), words, min_log10)] if hit else [] for k, hit in enumerate(likely)]
             yield pa.RecordBatch.from_arrays([pa.array(spans, span), batch.column(0), batch.column(1)], names=["spans", "text", "kept"])

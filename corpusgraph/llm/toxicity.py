@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.llm import flat
 from corpusgraph.session import discard, materialise
 
 #: Words that count as toxic before anything is learned, and phrases in which they don't.
@@ -157,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(seeds)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in flat.tidy(batches):
             got = {(y, h): (Counter(), Counter()) for y in (0, 1) for h in (0, 1)}
             for t, y, h in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 matches, n = terms(t)
@@ -181,7 +182,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = [Matcher(w, EXCEPTIONS) for w in halves]
-        for batch in batches:
+        for batch in flat.tidy(batches):
             f = [match[1 - h].features(t) for t, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64())], names=["y", "s", "r"])
 
@@ -198,7 +199,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         match = Matcher(m.weights, m.exceptions)
-        for batch in batches:
+        for batch in flat.tidy(batches):
             x = np.array([match.features(t.as_py()) for t in batch.column(1)], float).reshape(-1, 2)
             p = np.round(1 / (1 + np.exp(-np.clip(m.curve[0] + x @ np.array(m.curve[1:]), -40, 40))), 6)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgraph.llm import flat
 from corpusgraph.session import discard, materialise
 
 #: Largest table of duplicate digests that is broadcast (rows of a digest and an id).
@@ -135,7 +136,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in flat.tidy(batches):
             for k in range(batch.num_rows):
                 key, url, payload, sha, length, refers = (batch.column(c)[k].as_py() for c in range(6))
                 held.append(record(key or "", url, payload or b"", base64.b32encode(bytes.fromhex(sha)).decode(), refers, length))
@@ -162,7 +163,7 @@ def read_archives(archives: DataFrame, content_col: str = "content") -> DataFram
 
         names = ["key", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
         kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        for batch in batches:
+        for batch in flat.tidy(batches):
             for content in batch.column(0):
                 rows, size = [], 0
                 for head, payload in read(io.BytesIO(content.as_py() or b"")):
