@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -17,7 +18,8 @@ def split_recursive(text: str, size: int = 400, overlap: int = 100, separators:
     """Chunks of at most ``size`` characters where the separators allow it, neighbours sharing up to ``overlap``."""
     at = next((k for k, s in enumerate(separators) if s in text), len(separators) - 1)
     mark, finer = separators[at], separators[at + 1 :]
-    pieces = [x for x in (re.split(f"(?={re.escape(mark)})", text) if mark else list(text)) if x]
+    cuts = [m.start() for m in re.finditer(re.escape(mark), text)] if mark else range(len(text))
+    pieces = [x for a, b in itertools.pairwise([0, *cuts, len(text)]) if (x := text[a:b])]
     out: list[str] = []
     held: list[str] = []
     for piece in pieces:

@@ -60,6 +60,21 @@ def lloyd(vecs: DataFrame, key: str, vector: str, k: int, steps: int) -> DataFra
     return assign(vecs, start, key, vector).drop(vector)
 
 
+def kmeans(vecs: DataFrame, key: str, vector: str, k: int, seed: int = 42, steps: int = 20) -> DataFrame:
+    """(key, cluster) by k-means from seeded starts; k is capped by the number of vectors, and less than 1 is an error. Rows without a vector are left out."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    rows = vecs.where(F.col(vector).isNotNull()).select(key, array_to_vector(V.as_double(F.col(vector))).alias("features"))
+    n = rows.count()
+    if n < 2:
+        return rows.select(key, F.lit(0).alias("cluster"))
+    model = KMeans(k=min(k, n), seed=seed, maxIter=steps).fit(rows) if min(k, n) > 1 else None
+    return model.transform(rows).select(key, F.col("prediction").alias("cluster")) if model else rows.select(key, F.lit(0).alias("cluster"))
+
+
 def replace_centroids(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Stored centroids (cluster_id, size, ...) after a run: those of clusters (ids from 0 on) are replaced by the new ones with members."""
     return stored.where("cluster_id < 0").unionByName(new.where("cluster_id >= 0 and size > 0").select(*stored.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import identity as I
@@ -39,17 +40,17 @@ def pdf_text_clean(spark, sf_dir):
 c AS (SELECT conv_id, unnest(range(0, length(note), 300)) AS pos, turns, list_transform(range(1, len(sizes) + 1), lambda i: coalesce(list_sum(sizes[1:i - 1]), 0)) AS starts FROM t)
 SELECT conv_id, pos, turns[len(list_filter(starts, lambda x: x <= pos))] AS turn FROM c""")
 def chunk_heading_asof(spark, sf_dir):
-    """The heading in force where each 300-character piece of a thread begins: the last one that starts at or before it.
+    """The heading in force where each 300-character piece of a thread begins.
 
-    Pieces and headings of a thread are walked as arrays, so there is no range join.
+    Each section lists the pieces that begin inside it, so there is neither a range join nor an array of a whole thread; the sum
+    of lengths before a section is a window over the thread, whose turns are bounded by what people write.
     """
     part = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), "text", F.lit("\n"))
-    heads = F.array_sort(F.collect_list(F.struct("turn", F.length(part).cast("long").alias("n"))))
-    notes = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(heads.alias("heads"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,turn:bigint>>").alias("seen"))
-    placed = F.aggregate("heads", zero, lambda s, h: F.struct((s["at"] + h["n"]).alias("at"), F.concat(s["seen"], F.array(F.struct(s["at"].alias("start"), h["turn"].cast("long").alias("turn")))).alias("seen")))
-    pieces = notes.select("conv_id", placed.alias("p")).select("conv_id", "p.seen", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("p.at") - 1, F.lit(0)), F.lit(300).cast("long"))).alias("pos"))
-    return pieces.select("conv_id", "pos", F.element_at(F.filter("seen", lambda h: h["start"] <= F.col("pos")), -1)["turn"].alias("turn"))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    sections = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(part).cast("long").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    first = (F.ceil(F.col("start") / 300) * 300).cast("long")
+    inside = sections.where(first < F.col("start") + F.col("n"))
+    return inside.select("conv_id", F.explode(F.sequence(first, F.col("start") + F.col("n") - 1, F.lit(300).cast("long"))).alias("pos"), F.col("turn").cast("long").alias("turn"))
 
 
 @query(None)

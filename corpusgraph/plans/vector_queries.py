@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
 from corpusgraph.functions import vectors as V
-from corpusgraph.operators import clusters, retrieval, search
+from corpusgraph.operators import clusters, retrieval, search, taxonomy
 from corpusgraph.operators.ranking import top_per_group
 from corpusgraph.plans import query
 from corpusgraph.session import ship, table
@@ -62,12 +62,7 @@ def kmeans_fixed_lloyd(spark, sf_dir):
 
 @query(None)
 def kmeans_mllib(spark, sf_dir):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    vecs = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(V.as_double(F.col("embedding"))).alias("features"))
-    model = KMeans(k=10, seed=42, maxIter=20).fit(vecs)
-    return model.transform(vecs).select("vec_id", F.col("prediction").alias("cluster"))
+    return clusters.kmeans(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
 
 
 @query("""WITH p AS (SELECT list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
@@ -148,24 +143,23 @@ _JACCARD = f"""{_TERMS}, i AS (SELECT a.p_size AS a, b.p_size AS b, count(*) AS
 j AS (SELECT i.a, i.b, round(shared / (x.terms + y.terms - shared)::DOUBLE, 6) AS overlap FROM i JOIN g x ON x.p_size = i.a JOIN g y ON y.p_size = i.b)"""
 
 
-def _overlaps(terms, sizes):
-    both = terms.select(F.col("p_size").alias("a"), "term").join(terms.select(F.col("p_size").alias("b"), "term"), "term").where("a != b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    x, y = (sizes.select(F.col("p_size").alias(k), F.col("terms").alias(f"n{k}"), F.col("generality").alias(f"g{k}")) for k in "ab")
-    return both.join(F.broadcast(x), "a").join(F.broadcast(y), "b").withColumn("overlap", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6))
+def _clusters(terms):
+    return terms.withColumnRenamed("p_size", "cluster_id")
 
 
-@query(f"WITH {_JACCARD} SELECT a, b, overlap FROM j WHERE a < b")
+@query(f"WITH {_JACCARD} SELECT a, b, overlap FROM j WHERE a < b AND overlap >= 0.25")
 def jaccard_pairs(spark, sf_dir):
-    terms = _terms(spark, sf_dir)
-    return _overlaps(terms, _generality(terms)).where("a < b").select("a", "b", "overlap")
+    return taxonomy.overlaps(_clusters(_terms(spark, sf_dir)), 0.25)
 
 
-@query(f"""WITH {_JACCARD}, e AS (SELECT j.*, row_number() OVER (PARTITION BY b ORDER BY overlap DESC, a)::BIGINT AS rank FROM j JOIN g x ON x.p_size = a JOIN g y ON y.p_size = b WHERE overlap >= 0.4 AND y.terms >= 3 AND y.generality - x.generality >= 0.01)
+@query(f"""WITH {_JACCARD}, e AS (SELECT j.*, row_number() OVER (PARTITION BY b ORDER BY overlap DESC, a)::BIGINT AS rank FROM j JOIN g x ON x.p_size = a JOIN g y ON y.p_size = b WHERE overlap >= 0.4 AND y.terms >= 3 AND round(y.generality - x.generality, 6) >= 0.01)
 SELECT a AS parent, b AS child, overlap, rank FROM e WHERE rank <= 2""")
 def taxonomy_parent_edges(spark, sf_dir):
-    terms = _terms(spark, sf_dir)
-    fit = _overlaps(terms, _generality(terms)).where("overlap >= 0.4 and nb >= 3 and gb - ga >= 0.01")
-    return top_per_group(fit, ["b"], [F.desc("overlap"), F.col("a")], 2, ["a"]).select(F.col("a").alias("parent"), F.col("b").alias("child"), "overlap", "rank")
+    """Parents by terms alone: all clusters count as similar; the gap is small as terms are few."""
+    terms = _clusters(_terms(spark, sf_dir))
+    pairs = taxonomy.overlaps(terms, 0.4)
+    edges = taxonomy.parents(pairs, pairs.select("a", "b", F.lit(1.0).alias("similarity")), taxonomy.generality(terms), gap=0.01)
+    return edges.select(F.col("source").alias("parent"), F.col("target").alias("child"), "overlap", "rank")
 
 
 @query("""WITH r AS (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6), e.vec_id) AS rank, q.label = e.label AS rel, count(*) FILTER (WHERE q.label = e.label) OVER (PARTITION BY q.vec_id) AS n_rel

@@ -12,10 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _note_files(spark: SparkSession, path: str) -> DataFrame:
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(path)
+    return found.select("path", F.col("content").cast("string").alias("raw"), F.col("modificationTime").alias("modified_at"), F.col("length").alias("size"))
+
+
 def notes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, raw, modified_at) of all Markdown files below a folder that aren't blank."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("wholetext", True).text(path)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("modified_at")).where(F.trim("raw") != "")
+    """(path, raw, modified_at) of all Markdown files below a folder that are UTF-8 and aren't blank."""
+    return _note_files(spark, path).where(F.is_valid_utf8("raw") & (F.trim("raw") != "")).drop("size")
+
+
+def unreadable_notes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, modified_at) of the Markdown files that aren't UTF-8."""
+    return _note_files(spark, path).where(~F.is_valid_utf8("raw")).select("path", "size", "modified_at")
 
 
 def _body(message) -> str:
@@ -71,12 +80,6 @@ def mail(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, MAIL_SCHEMA)
 
 
-def pdf_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content, stable_id, modified, size, text): Latin-1 text is the fall-back where no text layer reader is installed."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(path)
-    return df.select("path", "content", F.sha2("path", 256).alias("stable_id"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.decode("content", "ISO-8859-1").alias("text"))
-
-
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """(id, query, relevant_docs) from a JSON file with a list of queries."""
     schema = "queries array<struct<id:string,query:string,relevant_docs:array<string>>>"

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.functions.config import SUMMARY
 from corpusgraph.operators import state
 
 
-def write_summary(df: DataFrame, path: str, columns: list[str]) -> None:
-    """A report table of few rows, in the columns' order; missing columns are null. Writes ``path``/json and ``path``/csv."""
+def write_summary(df: DataFrame, path: str, columns: list[str] = SUMMARY) -> None:
+    """A report table of few rows, in the columns' order (an experiment's by default); missing columns are null. Writes ``path``/json and ``path``/csv."""
     ordered = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]).coalesce(1)
     ordered.write.mode("overwrite").json(f"{path}/json")
     ordered.write.mode("overwrite").option("header", True).csv(f"{path}/csv")

@@ -31,7 +31,7 @@ def run_stream(stream: DataFrame, label: str, mode: str = "append") -> DataFrame
 
 def watch(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """(path, content, modified_at, size) of the files of a kind below a folder as they come or change; hidden and temporary ones are left out."""
-    found = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", WATCHED[kind][0]).load(path)
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", WATCHED[kind][0]).load(path)
     rows = found.select("path", "content", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size"))
     return rows.where(N.watched(F.col("path"))) if kind == "vault" else rows
 
