@@ -26,9 +26,16 @@ def centroids(vecs: DataFrame, group: str, vector: str) -> DataFrame:
     return dims.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("centroid"), F.max("size").alias("size"))
 
 
-def representatives(vecs: DataFrame, group: str, vector: str, key: str, k: int = 5) -> DataFrame:
-    """The k members nearest to each centroid: (group, rank, key, distance). Centroids are broadcast where they are few by count."""
-    near = vecs.join(small_side(centroids(vecs, group, vector).select(group, "centroid")), group)
+def representatives(vecs: DataFrame, group: str, vector: str, key: str, k: int = 5, known: DataFrame | None = None) -> DataFrame:
+    """The k members nearest to each centroid: (group, rank, key, distance). Centroids are broadcast where they are few by count.
+
+    Stored centroids (group, centroid) in ``known`` are used where there are any; those of other groups are worked out.
+    """
+    if known is None:
+        cents = centroids(vecs, group, vector).select(group, "centroid")
+    else:
+        cents = known.select(group, "centroid").unionByName(centroids(vecs.join(known.select(group), group, "left_anti"), group, vector).select(group, "centroid"))
+    near = vecs.join(small_side(cents), group)
     near = near.select(group, key, F.round(1 - V.cosine(V.as_double(F.col(vector)), F.col("centroid")), 6).alias("distance"))
     return top_per_group(near, [group], [F.col("distance"), F.col(key)], k, [key])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,11 @@ def enrichment_stage(importance: Column, urgency: Column, deadline: Column) -> C
 def backoff(attempts: Column, now: Column, base_seconds: int = 60, most: int = 3) -> Column:
     """Time of the next attempt after one more failure; null when there is none."""
     return F.when(attempts + 1 < most, now + F.make_dt_interval(secs=F.lit(base_seconds) * F.pow(F.lit(2), attempts)))
+
+
+def after_asking(state: DataFrame, asked: DataFrame, key: str, now: Column) -> DataFrame:
+    """The state (key, ask_count, asked_at) after a turn: every key asked about (asked) counts one more, new keys begin with one."""
+    said = asked.select(key).distinct().withColumn("_asked", F.lit(True))
+    both = state.join(said, key, "full")
+    count = F.coalesce("ask_count", F.lit(0)) + F.when(F.col("_asked"), 1).otherwise(0)
+    return both.select(key, count.cast("long").alias("ask_count"), F.when(F.col("_asked"), now).otherwise(F.col("asked_at")).alias("asked_at"))

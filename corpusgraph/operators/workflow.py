@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.functions import notes as N
 from corpusgraph.functions import projects as P
 from corpusgraph.operators.gatekeeper import DIRECT
 
@@ -137,3 +138,19 @@ def copy_back(shadow: DataFrame, source: DataFrame) -> DataFrame:
     """(key, action) of shadow files (key, digest, approved): copied to their source once approved, waiting until then, or the same."""
     both = shadow.join(source.select("key", F.col("digest").alias("_own")), "key", "left")
     return both.select("key", F.when(F.col("digest").eqNullSafe(F.col("_own")), "same").when(F.col("approved"), "copied").otherwise("waiting").alias("action"))
+
+
+def synthesize(rows: DataFrame, answers: list[Column], strict: bool = False) -> DataFrame:
+    """(cluster_id, status, theme_summary, topics) of clusters (cluster_id, notes, keywords) by a model's answers, the first readable one.
+
+    Without notes, or with no readable answer where it must be JSON (``strict``), a cluster fails; else its notes and keywords
+    stand in.
+    """
+    read = [N.lenient_json(a, "theme_summary string, dominant_topics array<string>") for a in answers]
+    good = F.coalesce(*[F.when(F.coalesce(r["theme_summary"], F.lit("")) != "", r) for r in read])
+    blank = F.coalesce(F.trim("notes"), F.lit("")) == ""
+    failed = blank | (F.lit(strict) & good.isNull())
+    return rows.select(
+        "cluster_id", F.when(failed, "failed").otherwise("success").alias("status"), F.when(~failed, F.coalesce(good["theme_summary"], N.summary(F.col("notes"), F.col("keywords")))).alias("theme_summary"),
+        F.when(~failed, F.coalesce(good["dominant_topics"], F.col("keywords"))).alias("topics"),
+    )

@@ -8,7 +8,7 @@ from corpusgraph.functions import identity as I
 from corpusgraph.functions import projects as P
 from corpusgraph.functions import text as T
 from corpusgraph.functions import vectors as V
-from corpusgraph.operators import clusters, detect, gatekeeper, ingest, outbox, retrieval, search, state, taxonomy
+from corpusgraph.operators import clusters, detect, gatekeeper, governance, ingest, outbox, retrieval, search, state, taxonomy, workflow
 from corpusgraph.plans import query
 from corpusgraph.plans.vector_queries import _DIMS, _asked
 from corpusgraph.session import ship, table
@@ -310,8 +310,6 @@ def chosen_profiles(spark, sf_dir):
 SELECT count(*)::BIGINT AS total, count(*) FILTER (o != 'unchanged')::BIGINT AS changed, count(*) FILTER (o = 'updated')::BIGINT AS processed, count(*) FILTER (o = 'skipped')::BIGINT AS skipped, count(*) FILTER (o = 'updated')::BIGINT AS profile_updates, count(*) FILTER (o = 'updated')::BIGINT AS graph_updates, count(*) FILTER (o = 'updated' AND user_id % 2 = 0)::BIGINT AS cache_invalidations, count(*) FILTER (o = 'failed')::BIGINT AS failed FROM o""")
 def delta_run(spark, sf_dir):
     """One run of the delta sync: what changed, was updated, and how many cached answers went; each even cluster has one."""
-    from corpusgraph.operators import workflow
-
     u = F.col("user_id")
     digest = F.sha2(u.cast("string"), 256)
     snapshots = table(spark, sf_dir, "events").groupBy("user_id").agg((F.round(F.sum("value"), 2) > 500).alias("changed"))
@@ -557,8 +555,6 @@ def allowed_fields(spark, sf_dir):
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'escalated' WHEN o_orderstatus = 'F' THEN 'rejected' ELSE 'open' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS rejected_confidence FROM orders WHERE o_orderkey % 3 != 0 OR o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'open', NULL FROM orders WHERE o_orderkey % 3 = 0 AND o_orderstatus != 'F'""")
 def escalations_recorded(spark, sf_dir):
     """Rejected proposals without an intent (every third) are marked and their rejection is recorded."""
-    from corpusgraph.operators import workflow
-
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     proposals = o.select(k.alias("discovery_id"), F.when(F.col("o_orderstatus") == "F", "rejected").otherwise("open").alias("status"), F.col("o_totalprice").alias("confidence"))
     known = o.where("o_orderkey % 3 != 0").select(F.concat(F.lit("proposal_escalation:"), k.cast("string")).alias("message_id"))
@@ -603,8 +599,6 @@ def project_notes_read(spark, sf_dir):
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'unreadable' WHEN c_custkey % 3 = 0 THEN 'conflict' ELSE 'updated' END AS outcome, CASE WHEN c_custkey % 3 != 0 AND c_custkey % 4 != 0 THEN (c_custkey % 5 + 1)::INTEGER ELSE 1 END AS importance FROM customer""")
 def notes_to_projects(spark, sf_dir):
     """Files to rows: a conflict is left, a note without an id is an error, the rest sets its allowed fields."""
-    from corpusgraph.operators import workflow
-
     k, at = F.col("c_custkey"), _at("2024-01-02")
     note = F.concat(F.lit("---\n"), F.when(k % 4 != 0, F.concat(F.lit("id: "), k.cast("string"), F.lit("\n"))).otherwise(""), F.lit("title: other\nimportance: "), (k % 5 + 1).cast("string"), F.lit("\n---\nbody"))
     rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.lit(1).alias("importance"), F.lit("t").alias("title"), F.when(k % 3 == 0, at).otherwise(_at("2023-12-01")).alias("updated_at"), _at("2024-01-01").alias("synced_at"))
@@ -621,8 +615,6 @@ def shown_values(spark, sf_dir):
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'copied' WHEN doc_id % 3 = 1 THEN 'waiting' ELSE 'same' END AS action FROM documents""")
 def approvals_copied(spark, sf_dir):
     """Shadow notes that differ from their source go back to it once they are approved."""
-    from corpusgraph.operators import workflow
-
     d, k = table(spark, sf_dir, "documents").where("doc_id is not null"), F.col("doc_id")
     return workflow.copy_back(d.select(k.alias("key"), F.when(k % 3 == 2, F.sha1("text")).otherwise(F.sha1(F.concat("text", F.lit("x")))).alias("digest"), (k % 3 == 0).alias("approved")), d.select(k.alias("key"), F.sha1("text").alias("digest"))).select(F.col("key").alias("doc_id"), "action")
 
@@ -716,3 +708,57 @@ SELECT query_id, arg_min(vec_id, (distance, vec_id)) AS vec_id, min(distance) AS
 def nearest_neighbor(spark, sf_dir):
     vecs = table(spark, sf_dir, "embeddings")
     return search.top_k(vecs, _asked(vecs), "vec_id", "embedding", 1).drop("rank")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 'failed' ELSE 'success' END AS status, CASE WHEN event_id % 5 IN (0, 1) THEN 'about ' || event_type WHEN event_id % 5 IN (2, 3) THEN 'Some ' || event_type || ' Key themes: zebra' END AS theme, CASE WHEN event_id % 5 = 0 THEN 'x' WHEN event_id % 5 != 4 THEN 'zebra' END AS topics FROM events""")
+def profiles_synthesized(spark, sf_dir):
+    """Answers that are JSON at once, at the second try, never, or lack the theme; every fifth cluster has no notes."""
+    k = F.col("event_id") % 5
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("event_id").alias("cluster_id"), F.when(k != 4, F.concat(F.lit("Some "), "event_type", F.lit(". More."))).alias("notes"), F.array(F.lit("zebra")).alias("keywords"))
+    said = lambda more: F.concat(F.lit('{"theme_summary": "about '), "event_type", F.lit('"' + more + "}"))
+    first = F.when(k == 0, said(', "dominant_topics": ["x"]')).when(k == 3, '{"theme_summary": ""}').otherwise("no JSON")
+    out = workflow.synthesize(rows, [first, F.when(k == 1, F.concat(F.lit("Here: "), said(""), F.lit(" done")))])
+    return out.select(F.col("cluster_id").alias("event_id"), "status", F.col("theme_summary").alias("theme"), F.array_join("topics", ",").alias("topics"))
+
+
+@query("""SELECT c_custkey, ((c_custkey % 4) * (c_custkey % 3 = 0)::INTEGER + (n IS NOT NULL)::INTEGER)::BIGINT AS ask_count FROM customer LEFT JOIN (SELECT DISTINCT o_custkey, 1 AS n FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey WHERE c_custkey % 3 = 0 OR n IS NOT NULL""")
+def asks_counted(spark, sf_dir):
+    """Known are every third customer; asked about are those with orders of status P."""
+    known = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select("c_custkey", (F.col("c_custkey") % 4).alias("ask_count"), _at("2024-01-01").alias("asked_at"))
+    asked = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return governance.after_asking(known, asked, "c_custkey", _at("2024-02-01")).join(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", "left_semi").select("c_custkey", "ask_count")
+
+
+@query(f"""WITH {_DIMS}, r AS (SELECT e.label, e.vec_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], CASE WHEN e.label % 2 = 0 THEN c.embedding::DOUBLE[] ELSE d.centroid END), 6) AS distance FROM embeddings e JOIN c d USING (label) LEFT JOIN (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) c USING (label))
+SELECT label, vec_id, distance, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id)::BIGINT AS rank FROM r QUALIFY rank <= 3""")
+def representatives_of_stored_centroids(spark, sf_dir):
+    """Even clusters have a stored centroid (their first vector)."""
+    v = table(spark, sf_dir, "embeddings")
+    known = v.where("label % 2 = 0").groupBy("label").agg(F.min_by("embedding", "vec_id").cast("array<double>").alias("centroid"))
+    return clusters.representatives(v, "label", "embedding", "vec_id", 3, known).select("label", "vec_id", "distance", "rank")
+
+
+@query("""WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 != 0 THEN TIMESTAMP '1995-01-01' END AS last, o_orderdate AS changed, CASE WHEN o_orderkey % 2 = 0 THEN TIMESTAMP '1996-01-01' ELSE TIMESTAMP '1994-01-01' END AS file FROM orders), w AS (SELECT CASE WHEN changed > last AND file > last THEN 'conflict' WHEN changed > last THEN 'row' WHEN file > last THEN 'file' ELSE 'none' END AS w FROM p)
+SELECT strategy, CASE WHEN w = 'conflict' THEN CASE strategy WHEN 'row_wins' THEN 'row' ELSE 'file' END ELSE w END AS winner, count(*)::BIGINT AS n FROM w, (VALUES ('row_wins'), ('file_wins')) s(strategy) GROUP BY ALL""")
+def sync_conflicts_settled(spark, sf_dir):
+    n, out = F.col("o_orderkey"), None
+    for strategy in ("row_wins", "file_wins"):
+        winner = workflow.sync_conflict(F.when(n % 5 != 0, _at("1995-01-01")), F.col("o_orderdate"), F.when(n % 2 == 0, _at("1996-01-01")).otherwise(_at("1994-01-01")), strategy)
+        part = table(spark, sf_dir, "orders").groupBy(winner.alias("winner")).agg(F.count("*").alias("n")).select(F.lit(strategy).alias("strategy"), "winner", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""WITH s AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?])[\\x09-\\x0D\\x20]+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM s) SELECT doc_id, len(list_filter(parts, lambda x: x != ''))::BIGINT AS n, list_sum(list_transform(parts, lambda x: length(x)))::BIGINT AS n_chars FROM p""")
+def sentence_places(spark, sf_dir):
+    """Places of sentences in whole texts: their number and how many characters they cover."""
+    import pyarrow as pa
+
+    ship(spark)
+
+    def run(batches):
+        for batch in batches:
+            found = [ingest.sentences(t.as_py() or "") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([sum(b - a for a, b in f) for f in found], pa.int64())], names=["doc_id", "n", "n_chars"])
+
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, n long, n_chars long")

@@ -83,14 +83,14 @@ def gatekeeper_decisions(spark, sf_dir):
 
 @query(f"""WITH d AS (SELECT o_orderkey, o_custkey, {_CONF} AS c FROM orders WHERE o_orderkey % 7 != 0),
 s AS (SELECT c_custkey, c_custkey % 5 AS asks, CASE WHEN c_custkey % 11 = 0 THEN 1 END AS archived, CASE WHEN c_custkey % 4 = 0 THEN TIMESTAMP '2024-01-31' - to_days((c_custkey % 30)::INTEGER) END AS rejected_at FROM customer WHERE c_custkey % 3 != 0)
-SELECT CASE WHEN s.c_custkey IS NULL THEN 'new' WHEN archived IS NOT NULL THEN 'archived' WHEN asks >= 3 THEN 'asked_out' WHEN rejected_at IS NOT NULL AND TIMESTAMP '2024-01-31' - rejected_at < INTERVAL 14 DAYS THEN 'cooldown' WHEN c < (CASE WHEN rejected_at IS NOT NULL THEN 0.5 END) + 0.15 THEN 'not_risen' ELSE 'ask' END AS reason, count(*)::BIGINT AS n
+SELECT CASE WHEN s.c_custkey IS NULL THEN 'new' WHEN archived IS NOT NULL THEN 'archived' WHEN asks >= 3 THEN 'asked_out' WHEN s.c_custkey % 13 = 0 THEN 'snoozed' WHEN rejected_at IS NOT NULL AND TIMESTAMP '2024-01-31' - rejected_at < INTERVAL 14 DAYS THEN 'cooldown' WHEN c < (CASE WHEN rejected_at IS NOT NULL THEN 0.5 END) + 0.15 THEN 'not_risen' ELSE 'ask' END AS reason, count(*)::BIGINT AS n
 FROM d LEFT JOIN s ON c_custkey = o_custkey GROUP BY 1""")
 def monitor_reconcile(spark, sf_dir):
     """Discoveries without a project (orders whose key isn't divisible by 7) against what was asked before; counts by reason."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), F.expr(_CONF).alias("c"))
     projects = orders.where("o_orderkey % 7 = 0").select("o_orderkey")
     state = table(spark, sf_dir, "customer").where("c_custkey % 3 != 0").select(
-        "c_custkey", F.lit(1).alias("known"), (F.col("c_custkey") % 5).alias("ask_count"), F.when(F.col("c_custkey") % 11 == 0, _at(NOW)).alias("archived_at"), F.lit(None).cast("timestamp_ntz").alias("snoozed_until"),
+        "c_custkey", F.lit(1).alias("known"), (F.col("c_custkey") % 5).alias("ask_count"), F.when(F.col("c_custkey") % 11 == 0, _at(NOW)).alias("archived_at"), F.when(F.col("c_custkey") % 13 == 0, _at("2024-02-05")).alias("snoozed_until"),
         F.when(F.col("c_custkey") % 4 == 0, _at(NOW) - F.make_dt_interval(days=(F.col("c_custkey") % 30).cast("int"))).alias("rejected_at"), F.when(F.col("c_custkey") % 4 == 0, 0.5).alias("rejected_confidence"),
     )
     both = orders.join(projects, "o_orderkey", "left_anti").join(state, "c_custkey", "left")

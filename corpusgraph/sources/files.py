@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from email import policy
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +85,14 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """(id, query, relevant_docs) from a JSON file with a list of queries."""
     schema = "queries array<struct<id:string,query:string,relevant_docs:array<string>>>"
     return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("queries").alias("q")).select("q.*")
+
+
+def kept_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a state file, a JSON list; none where there is no file or it can't be read."""
+    try:
+        whole = spark.read.option("wholetext", True).text(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    fields = ",".join(x.strip().replace(" ", ":", 1) for x in schema.split(","))
+    rows = F.from_json("value", f"array<struct<{fields}>>")
+    return whole.where(F.try_parse_json("value").isNotNull()).select(F.explode(rows).alias("r")).select("r.*")

@@ -355,3 +355,17 @@ def test_watch_and_outbox_streams(spark, tmp_path):
     new, known = loops.ingest_batches(rows, rows.limit(0).select("id"), "id", ["n"])
     again, after = loops.ingest_batches(rows.withColumn("id", F.concat("id", F.when(F.col("id") == "b", "2").otherwise(""))), known, "id", ["n"])
     assert sorted(map(tuple, new.collect())) == [("a", 1), ("b", 1)] and [r["id"] for r in again.collect()] == ["b2"] and after.count() == 3
+
+
+def test_state_files(spark, tmp_path):
+    (tmp_path / "good.json").write_text('[{"path": "a", "size": 3}, {"path": "b"}]')
+    (tmp_path / "bad.json").write_text("{not JSON")
+    read = lambda name: [tuple(r) for r in files.kept_state(spark, str(tmp_path / name), "path string, size long").collect()]
+    assert read("good.json") == [("a", 3), ("b", None)] and read("bad.json") == [] and read("none.json") == []
+
+
+def test_heading_quality_goldens(spark):
+    chunks = spark.createDataFrame([("d", "# A > ## B", 2), ("d", "# A", 2), ("e", "", 0)], "k string, heading_path string, heading_level int")
+    expected = spark.createDataFrame([("d", "A"), ("d", "B"), ("d", "C")], "k string, heading string")
+    got = {r["k"]: (r["preserved"], r["depth"]) for r in ingest.preservation(chunks, expected, "k").collect()}
+    assert got == {"d": (round(2 / 3, 6), 0.5), "e": (1.0, 1.0)}
