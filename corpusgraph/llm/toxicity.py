@@ -2,7 +2,7 @@
 
 Folding: lower case, letters of other scripts that look like Latin ones, digits that stand for letters, and symbols between
 letters; everything else that is no letter separates words. The lexicon holds whole words and word beginnings, weighted by
-their smoothed log odds among labelled training texts (how many toxic and clean texts hold them). A word counts with the
+their smoothed log odds in labelled training texts (among all words, or among texts, whichever are lower). A word counts with the
 largest weight among the entries that it matches; entries inside an exception phrase don't count. The sum, over the square
 root of the number of words, and the share of matched words go into a logistic curve fitted with weights from the other half
 of the sample, so that it isn't fitted to its own lexicon.
@@ -33,8 +33,8 @@ from corpusgraph.session import discard, materialise
 SEED_WORDS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "imbecile", "bastard")
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "stupid question of mine", "loser bracket", "pond scum")
 SHORTEST, LONGEST = 4, 8
-#: Per half of the sample: toxic texts that hold a term, its matches in toxic and in clean texts.
-COUNTED = ("d0", "t0", "c0", "d1", "t1", "c1")
+#: Per half of the sample: toxic and clean texts that hold a term, its matches in toxic and in clean texts.
+COUNTED = ("d0", "e0", "t0", "c0", "d1", "e1", "t1", "c1")
 
 _ALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ο": "o", "ι": "i", "ν": "v", "ρ": "p", "τ": "t", "κ": "k", "ı": "i", "０": "o", "１": "i"}
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
@@ -107,18 +107,21 @@ def terms(text: str | None) -> tuple[Counter, int]:
     return out, sum(words.values())
 
 
-def weights(rows: list, words: tuple[int, int], of: str, support: int, worth: float) -> dict[str, float]:
-    """Entries and their log odds; rows hold ``term`` and, for this part of the sample, texts and matches of both kinds.
+def weights(rows: list, whole, of: str, support: int, worth: float) -> dict[str, float]:
+    """Entries and their log odds; rows hold ``term`` and the counts of COUNTED, ``whole`` the counts of all words and texts.
 
-    An entry needs ``support`` toxic texts, odds of e at least and a worth (toxic texts times log odds) of at least
-    ``worth``. A longer beginning that says no more than a shorter one is left out.
+    The odds are those among all words or those among texts, whichever are lower, so that a text which repeats a word says no
+    more than another. An entry needs ``support`` toxic texts, odds of e at least and a worth (toxic texts times log odds) of
+    at least ``worth``. A longer beginning that says no more than a shorter one is left out.
     """
     out = {}
+    sum_of = lambda r, c: sum(r[f"{c}{h}"] for h in of)
     for r in rows:
-        texts = sum(r[f"d{h}"] for h in of)
+        texts = sum_of(r, "d")
         if texts >= support:
-            toxic, clean = sum(r[f"t{h}"] for h in of), sum(r[f"c{h}"] for h in of)
-            w = float(np.log((toxic + 0.2) / (words[1] + 1)) - np.log((clean + 0.5) / (words[0] + 1)))
+            by_word = np.log((sum_of(r, "t") + 0.2) / (sum_of(whole, "t") + 1)) - np.log((sum_of(r, "c") + 0.5) / (sum_of(whole, "c") + 1))
+            by_text = np.log((texts + 0.2) / (sum_of(whole, "d") + 1)) - np.log((sum_of(r, "e") + 0.5) / (sum_of(whole, "e") + 1))
+            w = float(min(by_word, by_text))
             if w > 1 and texts * w >= worth:
                 out[r["term"]] = round(w, 4)
     return {t: w for t, w in out.items() if not any(out.get(t[:k], 0) >= w - 0.05 for k in range(SHORTEST + 1, len(t)))}
@@ -165,20 +168,23 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 got[y, h][0].update(matches)
                 got[y, h][1].update(matches.keys())
                 got[y, h][0][""] += n
+                got[y, h][1][""] += 1
             for h in (0, 1):
                 for y in (0, 1):
                     c, d = got[y, h]
                     zero = pa.array(np.zeros(len(c), np.int64))
-                    n, texts = pa.array(list(c.values()), pa.int64()), pa.array([d[t] if y else 0 for t in c], pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string())] + [v for x in (0, 1) for v in ((texts, n if y else zero, zero if y else n) if x == h else (zero, zero, zero))], names=["term", *COUNTED])
+                    n, texts = pa.array(list(c.values()), pa.int64()), pa.array([d[t] for t in c], pa.int64())
+                    own = (texts, zero, n, zero) if y else (zero, texts, zero, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string())] + [v for x in (0, 1) for v in (own if x == h else (zero,) * 4)], names=["term", *COUNTED])
 
     table = sample.mapInArrow(count, "term string, " + ", ".join(f"{c} long" for c in COUNTED)).groupBy("term").agg(*(F.sum(c).alias(c) for c in COUNTED))
-    words = table.where("term = ''").first()
-    total = {of: (sum(words[f"c{h}"] for h in of), sum(words[f"t{h}"] for h in of)) for of in ("01", "0", "1")}
-    odds = F.log(F.expr("(t0 + t1 + 0.2)") / (total["01"][1] + 1)) - F.log(F.expr("(c0 + c1 + 0.5)") / (total["01"][0] + 1))
-    rows = table.where((F.expr("d0 + d1") >= support) & (odds > 0.5) & (F.col("term") != "")).orderBy(F.desc(F.expr("d0 + d1") * odds), "term").limit(max_terms).collect()
-    lexicon = seeds | weights(rows, total["01"], "01", support, worth)
-    halves = [seeds | weights(rows, total[h], h, max(2, support // 2), worth / 2) for h in "01"]
+    whole = table.where("term = ''").first()
+    total = {c: whole[f"{c}0"] + whole[f"{c}1"] for c in "detc"}
+    odds = lambda up, down, n, m: F.log((F.expr(up) + 0.2) / (n + 1)) - F.log((F.expr(down) + 0.5) / (m + 1))
+    least = F.least(odds("t0 + t1", "c0 + c1", total["t"], total["c"]), odds("d0 + d1", "e0 + e1", total["d"], total["e"]))
+    rows = table.where((F.expr("d0 + d1") >= support) & (least > 0.5) & (F.col("term") != "")).orderBy(F.desc(F.expr("d0 + d1") * least), "term").limit(max_terms).collect()
+    lexicon = seeds | weights(rows, whole, "01", support, worth)
+    halves = [seeds | weights(rows, whole, h, max(2, support // 2), worth / 2) for h in "01"]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = [Matcher(w, EXCEPTIONS) for w in halves]

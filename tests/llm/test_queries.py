@@ -290,6 +290,15 @@ def test_op7_held_out_accuracy(sp):
     assert all(r["predicted"] == (r["score"] >= 0.5) for r in got.values())
 
 
+def test_op7_recall_on_a_larger_table(sp):
+    """On sf0.1 about one toxic label in 25 stands on a text without any toxic wording, so 0.9 leaves little to be found."""
+    big = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{big}/labels.parquet").to_pylist()}
+    got = {r["doc_id"]: r["predicted"] for r in queries.op7_toxicity(sp, big).toPandas().to_dict("records")}
+    toxic, clean = ([d for d in labels if d in got and held(d, 5, 0) and labels[d] == y] for y in (1, 0))
+    assert sum(got[d] for d in toxic) / len(toxic) >= 0.9 and sum(got[d] for d in clean) / len(clean) < 0.01
+
+
 def test_op8_base_and_verdicts(sp, docs):
     labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{SF}/labels.parquet").to_pylist()}
     got = {r["doc_id"]: r for r in run(sp, "op8_quality_rules")}
