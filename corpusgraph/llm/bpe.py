@@ -36,8 +36,8 @@ from corpusgraph.llm import flat
 
 #: Bound of each cache of a worker (entries); of a full cache only what the last batch found in it stays.
 CACHE_WORDS = 160_000
-#: Longest words (in symbols) that are encoded in lockstep, and about how many symbols go at once.
-LOCKSTEP, SYMBOLS_AT_ONCE = 64, 1 << 20
+#: Longest words (in symbols) that are encoded in lockstep, and how many words go at once (their arrays take about 40 MB).
+LOCKSTEP, WORDS_AT_ONCE = 64, 16_384
 _NEVER = 1 << 60
 
 
@@ -264,9 +264,8 @@ class MergeAutomaton:
         """Ids of each word as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(words)
         short = [k for k, w in enumerate(words) if 0 < len(w) <= LOCKSTEP]
-        per = max(1, SYMBOLS_AT_ONCE // 16)
-        for lo in range(0, len(short), per):
-            some = short[lo : lo + per]
+        for lo in range(0, len(short), WORDS_AT_ONCE):
+            some = short[lo : lo + WORDS_AT_ONCE]
             off = np.concatenate([[0], np.cumsum([len(words[k]) for k in some])])
             ids, count = self.lockstep(np.frombuffer(b"".join([words[k] for k in some]), np.uint8), off)
             raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
