@@ -350,14 +350,9 @@ def _odd(s: str) -> bool:
     return "\x1c" in s or "\x1d" in s or "\x1e" in s or "\x1f" in s
 
 
-_loaded: dict[str, Tokenizer] = {}
-
-
 def load(path: str) -> Tokenizer:
-    """The tokenizer of a file, compiled once per worker."""
-    if path not in _loaded:
-        _loaded[path] = Tokenizer(path)
-    return _loaded[path]
+    """The tokenizer of a file, compiled once per worker and kept while its tasks are BPE's."""
+    return flat.kept(path, lambda: Tokenizer(path))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", out_bytes: int = 4 << 20) -> DataFrame:
@@ -369,7 +364,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(path)
-        for batch in flat.tidy(batches):
+        for batch in flat.tidy(batches, path):
             ids = tok.encode_all(batch.column(1).to_pylist())
             lo, held = 0, 0
             for k, x in enumerate(ids):

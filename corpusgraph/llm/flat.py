@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,32 @@ def _freer():
 _free = _freer()
 
 
-def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; after each, memory that its work has left free goes back, so that a worker's size doesn't add up over operators."""
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What an operator keeps from task to task, made once a worker; ``tidy`` lets it go when another operator's task begins."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def tidy(batches: Iterator[pa.RecordBatch], name: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches of an operator that keeps what it named, if anything.
+
+    What other operators kept goes first, and after each batch memory that its work has left free goes back, so that a worker's
+    size doesn't add up over operators.
+    """
+    if _kept.keys() - {name}:
+        for other in _kept.keys() - {name}:
+            del _kept[other]
+        gc.collect()
+        _free(0)
     for batch in batches:
         yield batch
         del batch
+        if len(_powers[0]) > CHUNK_BYTES + 1:  # grown for a long text
+            _powers[:] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
         pa.default_memory_pool().release_unused()
         _free(0)
 

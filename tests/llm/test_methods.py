@@ -363,3 +363,23 @@ def test_tree_scores_equal_a_naive_walk():
         return 1 / (1 + np.exp(-total))
 
     assert np.allclose(model.score(x), [walk(r) for r in x])
+
+
+def test_workers_keep_the_tables_of_one_operator():
+    made = []
+    make = lambda: made.append(1) or object()
+    first = flat.kept("one", make)
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["x"])
+    assert [b.num_rows for b in flat.tidy([batch], "one")] == [1] and flat.kept("one", make) is first and len(made) == 1
+    assert [b.num_rows for b in flat.tidy([batch, batch])] == [1, 1] and "one" not in flat._kept
+    assert flat.kept("one", make) is not first and len(made) == 2
+    assert list(flat.tidy([], "two")) == [] and not flat._kept
+
+
+def test_tables_that_grew_for_a_long_text_go():
+    long = np.full(flat.CHUNK_BYTES + 9, 97, np.uint8)
+    whole = flat.span_hash(flat.prefix_hash(long), np.array([5]), np.array([9]))
+    assert len(flat._powers[0]) > flat.CHUNK_BYTES + 1
+    list(flat.tidy([pa.RecordBatch.from_arrays([pa.array([1])], names=["x"])]))
+    assert len(flat._powers[0]) == 0
+    assert flat.span_hash(flat.prefix_hash(long[:20]), np.array([5]), np.array([9])) == whole
