@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import bpe, dartminhash, decontam, html_text, langid, licenses, quality, secrets, toxicity, warc
-from corpusgraph.session import ship, table
+from corpusgraph.llm import anagram, bpe, dartminhash, decontam, html_text, langid, lattice, licenses, mixing, quality, secrets, toxicity, warc
+from corpusgraph.session import discard, materialise, ship, table
 
 
 def vocabulary() -> str:
@@ -99,6 +99,24 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.audit(lattice.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.sizes(table(spark, sf_dir, "documents"))
+    goals = mixing.targets(sized)
+    placed = mixing.place(sized, goals)
+    out = materialise(mixing.taken(placed, mixing.mix(placed, mixing.slots(goals))).withColumnRenamed("id", "doc_id"), "mixed")
+    discard(sized, goals, placed)
+    return out
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return anagram.group(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -144,9 +162,46 @@ c AS (SELECT l.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c"""
 
 
+#: The filters one after another in each order, without edges.
+AUDIT_SQL = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents), w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+l AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT doc_id, part, concat(CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END, CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' END,
+CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 'E' END) AS fails FROM w),
+c AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(string_split('ABCDE', '')) AS x), o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step::INT AS step, filter_order[step] AS own, filter_order[1:step - 1] AS earlier FROM o, range(1, 6) r(step)),
+q AS (SELECT part, n, good, toxic, filter_order, step, own, contains(fails, own) AS bad, fails = own AS alone, len(list_intersect(string_split(fails, ''), string_split(earlier, ''))) - (fails = '' AND earlier = '')::INT > 0 AS gone FROM c, s),
+m AS (SELECT part, filter_order, step, any_value(own) AS own, sum(CASE WHEN NOT gone AND NOT bad THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN NOT gone AND bad THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN gone AND bad THEN n ELSE 0 END)::BIGINT AS redundant,
+sum(CASE WHEN alone THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN NOT gone AND bad THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN NOT gone AND bad THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM q GROUP BY ALL)
+SELECT * EXCLUDE own, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM m"""
+
+#: Positions in the sources' shuffled streams, taken round after round up to the target.
+MIX_SQL = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source), w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY 2 * n / w, source NULLS LAST) AS k FROM w),
+v AS (SELECT *, (1.5::DOUBLE * sum(n) OVER () - (2 * coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE) / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+g AS (SELECT source, n, CASE WHEN x.level * w > 2 * n THEN (2 * n)::DOUBLE ELSE x.level * w END AS target FROM v, (SELECT level FROM v WHERE level * w <= 2 * n ORDER BY k LIMIT 1) x),
+p AS (SELECT doc_id, size, n, target, sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start, least(round(target)::BIGINT, 2 * n) AS t FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, n AS source_size, target, (CASE WHEN size = 0 THEN 0 ELSE t // n * size + greatest(0, least(start + size, t % n) - start) END)::BIGINT AS taken FROM p"""
+
+#: Words that share a pattern with one place left open, or of which one is the other without a place; crc32 bit by bit over a table made here.
+VARIANT_SQL = r"""WITH RECURSIVE b(k, v, i) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i + 1 FROM b WHERE i < 8),
+crc AS (SELECT list(v ORDER BY k) AS c FROM b WHERE i = 8),
+o AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+g AS (SELECT doc_id, r, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) AS x FROM o WHERE length(r) >= 7 GROUP BY ALL),
+h AS (SELECT r, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda j: ('0x' || x[j:j + 1])::BIGINT)), lambda s, y: xor(s >> 8, c[(xor(s, y) & 255) + 1])), 4294967295) AS h FROM g, crc),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+e AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w), c AS (SELECT word, n, i, word[1:i - 1] AS a, word[i + 1:] AS z FROM e),
+p AS (SELECT x.word, y.word AS other, y.n AS m FROM c x JOIN c y USING (i, a, z) WHERE x.word != y.word UNION SELECT c.word, w.word, w.n FROM c JOIN w ON w.word = a || z UNION SELECT w.word, c.word, c.n FROM c JOIN w ON w.word = a || z),
+t AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS best, max(m) AS m FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 10 * w.n THEN best END AS form, CASE WHEN m >= 10 * w.n THEN m END::BIGINT AS form_n FROM w LEFT JOIN t USING (word)),
+u AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT u.word, f.word, f.form FROM u JOIN f ON f.word = u.next)
+SELECT word, f.form, u.root, n, n_near, form_n FROM f JOIN u USING (word) WHERE u.next IS NULL"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_near_duplicates, op4_license_scan, op5_html_extract, op6_warc_roundtrip, op7_toxicity, op8_quality_rules, op9_decontaminate, op10_bpe, pipeline, base_secret_counts, base_quality_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_near_duplicates, op4_license_scan, op5_html_extract, op6_warc_roundtrip, op7_toxicity, op8_quality_rules, op9_decontaminate, op10_bpe, op11_filter_audit, op12_source_mix, op13_spelling_variants, pipeline, base_secret_counts, base_quality_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_duplicates": NEAR_SQL, "op4_license_scan": licenses.oracle(), "op6_warc_roundtrip": WARC_SQL, "base_secret_counts": SECRET_SQL, "base_quality_counts": QUALITY_SQL}
+    return {"op3_near_duplicates": NEAR_SQL, "op4_license_scan": licenses.oracle(), "op6_warc_roundtrip": WARC_SQL, "op11_filter_audit": AUDIT_SQL, "op12_source_mix": MIX_SQL, "op13_spelling_variants": VARIANT_SQL, "base_secret_counts": SECRET_SQL, "base_quality_counts": QUALITY_SQL}
