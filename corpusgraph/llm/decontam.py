@@ -2,7 +2,8 @@
 
 A test item of m characters may differ from a passage by e = floor(rate * m) edits. It is cut into e + 1 pieces: at least one
 stands in the passage unchanged. The pieces of all items are found by an Aho-Corasick automaton, and around each hit Myers'
-bit-parallel algorithm decides whether the item occurs with at most e edits, and where.
+bit-parallel algorithm decides whether the item occurs with at most e edits, and where. Hits whose surroundings overlap are
+searched together, from the left.
 
 Texts and items are compared in lower case, with each white-space character as a space; positions are code points of the
 whole text. Items are taken in blocks of at most ``block_chars`` characters, each run against all documents, so what is sent
@@ -14,7 +15,6 @@ an item count once (the first, leftmost); repeated rows are each searched; extra
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -39,15 +39,23 @@ def normal(text: str | None) -> str:
     return s.translate(_SPACES) if not s.isprintable() else s
 
 
-def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
-    """(end, distance) of the first best occurrence of the pattern in the text with at most ``most`` edits; None without."""
-    m = len(pattern)
-    mask, top, masks = (1 << m) - 1, 1 << (m - 1), {}
+def masks(pattern: str) -> dict[str, int]:
+    """Per character the places in the pattern, as bits."""
+    out: dict[str, int] = {}
     for i, c in enumerate(pattern):
-        masks[c] = masks.get(c, 0) | 1 << i
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def best_end(at: dict[str, int], m: int, text: str, lo: int, hi: int, most: int, beyond: int | None = None) -> tuple[int, int] | None:
+    """(end, distance) of the first best occurrence within text[lo:hi] of a pattern of m characters with at most ``most`` edits.
+
+    With ``beyond``, ends more than so many characters after the first one aren't looked at.
+    """
+    mask, top = (1 << m) - 1, 1 << (m - 1)
     vp, vn, d, best = mask, 0, m, None
-    for k, c in enumerate(text):
-        eq = masks.get(c, 0)
+    for k in range(lo, hi):
+        eq = at.get(text[k], 0)
         xv = eq | vn
         xh = (((eq & vp) + vp) ^ vp) | eq
         hp = vn | ~(xh | vp) & mask
@@ -60,45 +68,49 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
         vp = hn | ~(xv | hp) & mask
         vn = hp & xv
         if d <= most and (best is None or d < best[1]):
+            if best is None and beyond is not None:
+                hi = min(hi, k + 1 + beyond)
             best = (k + 1, d)
-            if not d:
-                break
+        if best and (not best[1] or k + 1 >= hi):
+            break
     return best
 
 
-class Spans:
-    """Disjoint spans in order; each question and each addition takes a binary search."""
+def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
+    """(end, distance) of the first best occurrence of the pattern in the text with at most ``most`` edits; None without."""
+    return best_end(masks(pattern), len(pattern), text, 0, len(text), most)
 
-    def __init__(self):
-        self.starts: list[int] = []
-        self.ends: list[int] = []
 
-    def cover(self, a: int, b: int) -> bool:
-        """Whether one span holds all of [a, b)."""
-        k = bisect_right(self.starts, a) - 1
-        return k >= 0 and self.ends[k] >= b
+class Item:
+    """A test item with its budget; the bits of its characters are made when it is first looked for."""
 
-    def meet(self, a: int, b: int) -> bool:
-        """Whether a span shares a place with [a, b)."""
-        k = bisect_left(self.starts, b) - 1
-        return k >= 0 and self.ends[k] > a
+    def __init__(self, name, pattern: str, budget: int):
+        self.name, self.pattern, self.budget = name, pattern, budget
+        self._bits: tuple[dict[str, int], dict[str, int]] | None = None
 
-    def add(self, a: int, b: int) -> None:
-        """Adds [a, b), joined with the spans that overlap it."""
-        lo, hi = bisect_right(self.ends, a), bisect_left(self.starts, b)
-        if lo < hi:
-            a, b = min(a, self.starts[lo]), max(b, self.ends[hi - 1])
-        self.starts[lo:hi], self.ends[lo:hi] = [a], [b]
+    def occurrences(self, text: str, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+        """(start, end, distance) of each occurrence within text[lo:hi] that begins after the one before, from the left."""
+        m, e = len(self.pattern), self.budget
+        self._bits = self._bits or (masks(self.pattern), masks(self.pattern[::-1]))
+        while hi - lo >= m - e:
+            hit = best_end(self._bits[0], m, text, lo, hi, e, 2 * e)
+            if hit is None:
+                return
+            stop, d = hit
+            back = text[max(lo, stop - m - e) : stop][::-1]
+            found = best_end(self._bits[1], m, back, 0, len(back), d)
+            yield stop - found[0] if found else max(lo, stop - m), stop, d
+            lo = max(stop, lo + 1)
 
 
 class Searcher:
     def __init__(self, items: list[tuple], rate: float):
-        self.items = [(i, s, int(rate * len(s))) for i, t in items if (s := normal(t))]
+        self.items = [Item(i, s, int(rate * len(s))) for i, t in items if (s := normal(t))]
         found: dict[str, list[tuple[int, int]]] = {}
-        for n, (_, s, e) in enumerate(self.items):
-            cuts = [len(s) * k // (e + 1) for k in range(e + 2)]
+        for n, x in enumerate(self.items):
+            cuts = [len(x.pattern) * k // (x.budget + 1) for k in range(x.budget + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                found.setdefault(s[a:b], []).append((n, a))
+                found.setdefault(x.pattern[a:b], []).append((n, a))
         self.pieces = ahocorasick.Automaton()
         for piece, places in found.items():
             self.pieces.add_word(piece, (len(piece), places))
@@ -106,35 +118,34 @@ class Searcher:
             self.pieces.make_automaton()
 
     def search(self, text: str | None) -> list[tuple]:
-        """(item id, start, end, distance) of each occurrence, in order of item and place."""
+        """(item id, start, end, distance) of each occurrence, in order of item and place.
+
+        Around each hit of a piece lies a window in which the item may stand. Windows that overlap are one stretch, and a stretch
+        is searched as a whole in one sweep, so nothing between two windows is lost and no place is searched for each hit anew.
+        """
         s = normal(text)
         if not s or not self.items:
             return []
-        out, tried, found = [], {}, {}
+        stretches: dict[int, list[list[int]]] = {}
         for end, (length, places) in self.pieces.iter(s):
             for n, a in places:
-                item, pattern, e = self.items[n]
+                x = self.items[n]
                 at = end + 1 - length - a  # where the item would begin without edits
-                lo, hi = max(0, at - e), min(len(s), at + len(pattern) + e)
-                if hi - lo < len(pattern) - e:
-                    continue
-                done = tried.setdefault(n, Spans())
-                if done.cover(lo, hi):
-                    continue
-                hit = myers(pattern, s[lo:hi], e)
-                if hit is None:
-                    done.add(lo, hi)
-                    continue
-                stop = lo + hit[0]
-                back = myers(pattern[::-1], s[max(0, stop - len(pattern) - e) : stop][::-1], hit[1])
-                start = stop - back[0] if back else max(0, stop - len(pattern))
-                # pieces of this occurrence need no second look
-                done.add(start - 2 * e - 1, stop + 2 * e + 1)
-                held = found.setdefault(n, Spans())
-                if not held.meet(start, stop):
-                    held.add(start, stop)
-                    out.append((n, item, start, stop, hit[1]))
-        return [x[1:] for x in sorted(out, key=lambda x: (x[0], x[2]))]
+                lo, hi = max(0, at - x.budget), min(len(s), at + len(x.pattern) + x.budget)
+                known = stretches.setdefault(n, [])
+                if known and lo <= known[-1][1] and hi >= known[-1][0]:
+                    known[-1][0], known[-1][1] = min(lo, known[-1][0]), max(hi, known[-1][1])
+                else:
+                    known.append([lo, hi])
+        out = []
+        for n in sorted(stretches):
+            low, high = None, -1
+            for lo, hi in [*sorted(stretches[n]), [len(s) + 1, len(s) + 1]]:
+                if low is not None and lo > high:
+                    out += [(self.items[n].name, *hit) for hit in self.items[n].occurrences(s, low, high)]
+                    low = None
+                low, high = lo if low is None else low, max(hi, high)
+        return out
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
