@@ -5,8 +5,9 @@ marks of punctuation, each per block, are fused into one score. A path's score i
 it and beside its ancestors below the body, so that headings and short paragraphs of a text stay. A factor from 0.5 to 1.5 is
 the share of the page's text that lies in the same ``article`` or ``main``, elsewhere the mean share of the parts around it
 (text straight below the body is a part of its own); link text lowers a block's score by up to half. The scores are smoothed
-over the page in block order, and on every page the blocks that reach the threshold (the standard deviation, held between
-half the mean and the mean) are content. Parts that are never article text by their tag, role or a whole word of their class or
+over the page in block order, and on every page the paths whose blocks under one element reach the threshold in the mean (the
+standard deviation, held between half the mean and the mean) are content, together with the lists, tables, captions and short lines
+of the parts that hold such text. Parts that are never article text by their tag, role or a whole word of their class or
 id (menus, forms, adverts, comments ...) are left out before; parts whose names only contain such a word keep a tenth of
 their score, and names of paragraphs, headings and the like don't count so.
 
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from corpusgraph.llm import flat
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.DOTALL)
+#: A tag; every place can be taken in one way only, and a ``<`` outside quotes ends the attempt, so a failed one isn't repeated.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""")
 RAW = frozenset("script style title textarea noscript iframe template noembed noframes xmp svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -51,6 +53,9 @@ _SCOPE = frozenset("html body table ul ol dl article section div main td th".spl
 #: Elements that hold text rather than parts of a page: their names say little.
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote span em strong b i u a code cite q small caption figcaption summary".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold parts: text straight in one is a part of its own. Of those in _WHOLE, what they hold is one whole.
+_HOLDING = frozenset("html body article main section div".split())
+_WHOLE = frozenset("article main section blockquote figure details ul ol dl table thead tbody tfoot tr pre li dd td th".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。、！？]")
 #: What a block's score is multiplied by where the name of a part around it only contains such a word (as in ``menu-review``).
 NAMED = 0.1
@@ -77,16 +82,18 @@ def _judge(tag: str, attributes: str) -> tuple[bool, bool]:
 class Page:
     """A page's blocks and the tree of paths that they lie on.
 
-    ``parent`` and ``tag`` describe the nodes of the tree, the root first and every node after its parent; a block is (node, text,
-    share of link text, whether a part around it is named like one that isn't article text). The open elements are a stack; what
+    ``parent`` and ``tag`` describe the nodes of the tree, the root first and every node after its parent; ``around`` and ``path``
+    give the elements of the page in the same way: the element around each, and the node of its path. A block is (node, text,
+    share of link text, whether a part around it is named like one that isn't article text, element). The open elements are a stack; what
     is asked of it is kept as counts and as places by tag, so that a page takes time and memory in proportion to its length,
     however deep it nests.
     """
 
     def __init__(self, page: str):
         self.parent, self.tag, self.blocks = [-1], [""], []
+        self.around, self.path = [-1], [0]
         self._child: dict[tuple[int, str], int] = {}
-        self._stack: list[list] = []  # tag, node, never article text, named like such, a link, still open
+        self._stack: list[list] = []  # tag, node, never article text, named like such, a link, still open, element
         self._places: dict[str, list[int]] = {}
         self._count = [0, 0, 0]  # open elements that are never article text, are named like such, are links
         self._text: list[str] = []
@@ -94,7 +101,7 @@ class Page:
         self._read(page)
 
     def _open(self, tag: str, attributes: str) -> None:
-        node = self._stack[-1][1] if self._stack else 0
+        node, element = (self._stack[-1][1], self._stack[-1][6]) if self._stack else (0, 0)
         if tag in BLOCK:
             key = (node, tag)
             node = self._child.get(key, 0)
@@ -102,7 +109,10 @@ class Page:
                 node = self._child[key] = len(self.parent)
                 self.parent.append(key[0])
                 self.tag.append(tag)
-        entry = [tag, node, *_judge(tag, attributes), tag == "a" and "href" in attributes.lower(), True]
+            self.around.append(element)
+            self.path.append(node)
+            element = len(self.path) - 1
+        entry = [tag, node, *_judge(tag, attributes), tag == "a" and "href" in attributes.lower(), True, element]
         self._places.setdefault(tag, []).append(len(self._stack))
         self._stack.append(entry)
         for k in range(3):
@@ -129,10 +139,10 @@ class Page:
         if self._text:
             s = " ".join(html.unescape("".join(self._text)).split())
             if s and not self._count[0]:
-                node = self._stack[-1][1] if self._stack else 0
+                node, element = (self._stack[-1][1], self._stack[-1][6]) if self._stack else (0, 0)
                 inside = self._last("article") >= 0 or self._last("main") >= 0
                 if not self._places.get("header") or inside and self.tag[node] in _HEADINGS:
-                    self.blocks.append((node, s, self._linked / len(s), self._count[1] > 0))
+                    self.blocks.append((node, s, self._linked / len(s), self._count[1] > 0, element))
             self._text.clear()
         self._linked = 0
 
@@ -143,16 +153,28 @@ class Page:
                 self._linked += len(raw.strip())
 
     def _read(self, page: str) -> None:
-        at, n, unclosed = 0, len(page), set()
+        at, n, unclosed, last = 0, len(page), set(), page.rfind(">")
+        look = 0
         while at < n:
-            m = TOKEN.search(page, at)
-            if m is None:
+            lt = page.find("<", max(at, look))
+            if lt < 0:
                 self._add(page[at:])
                 break
-            self._add(page[at : m.start()])
-            at = m.end()
-            if not m[2]:
+            if page.startswith("<!--", lt):
+                self._add(page[at:lt])
+                end = page.find("-->", lt + 4)
+                at = n if end < 0 else end + 3
+                continue
+            if lt < last and page[lt + 1] in "!?":
+                self._add(page[at:lt])
+                at = page.find(">", lt) + 1
+                continue
+            m = TAG.match(page, lt) if lt < last else None
+            if m is None:
+                look = lt + 1  # text
                 continue
+            self._add(page[at:lt])
+            at = m.end()
             tag = m[2].lower()
             if m[1]:
                 if tag in BLOCK:
@@ -192,14 +214,14 @@ class Page:
         self._flush()
 
 
-_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE) for tag in RAW}
+_END = {tag: re.compile(rf"</{tag}\b[^<>]*+>", re.IGNORECASE) for tag in RAW}
 
 
 def fused(page: Page) -> dict[int, float]:
     """The score of each node that blocks lie on: ratios of its path, averaged along the paths, times the share of its part."""
     n = len(page.parent)
     chars, marks, count = np.zeros(n), np.zeros(n), np.zeros(n)
-    for node, s, _, _ in page.blocks:
+    for node, s, *_ in page.blocks:
         chars[node] += len(s)
         marks[node] += len(_PUNCTUATION.findall(s))
         count[node] += 1
@@ -239,19 +261,69 @@ def fused(page: Page) -> dict[int, float]:
     return out
 
 
+def _gathered(found: Page, groups: dict[tuple, list[int]], kept: set[tuple]) -> set[tuple]:
+    """The groups that go with kept ones: lists, tables, captions and short lines of a part whose text is content.
+
+    From the group outwards, the first part decides that has kept text: straight in it, or, where it is an article, a list, a table or
+    the like, in most of what it holds. Past such a part, and past a ``div`` into the body, nothing is taken along.
+    """
+    n = len(found.path)
+    direct, held, under = [0] * n, [0] * n, [0] * n
+    for key, members in groups.items():
+        size = sum(len(found.blocks[k][1]) for k in members)
+        under[key[0]] += size
+        if key in kept:
+            direct[key[0]] += size
+            held[key[0]] += size
+    for x in range(n - 1, 0, -1):
+        under[found.around[x]] += under[x]
+        held[found.around[x]] += held[x]
+    more = set()
+    for key, members in groups.items():
+        links = sum(found.blocks[k][2] * len(found.blocks[k][1]) for k in members) / sum(len(found.blocks[k][1]) for k in members)
+        if key in kept or key[2] or links >= 0.8:
+            continue
+        x, plain = key[0], True
+        while x > 0:
+            tag = found.tag[found.path[x]]
+            if tag in ("html", "body"):
+                if plain and direct[x] and links < 0.5 and tag == "body" and (key[0] != x or found.tag[key[1]] in _LEAF):
+                    more.add(key)
+                break
+            if direct[x] or held[x] and tag in _WHOLE and 2 * held[x] >= under[x]:
+                more.add(key)
+                break
+            if held[x] and tag not in _WHOLE:
+                break
+            plain = plain and tag in _WHOLE
+            x = found.around[x]
+    return more
+
+
 def content(page: str | None, width: float = 1.0) -> str:
-    """The main text: selected blocks, one line each."""
+    """The main text: the blocks of selected paths, one line each.
+
+    The paths below one element stay or go together: what decides is the mean of their smoothed scores, weighted by text.
+    """
     found = Page(page or "")
     if not found.blocks:
         return ""
     score = fused(found)
-    raw = np.array([score[node] * (1 - min(links, 1) / 2) * (NAMED if named else 1) for node, _, links, named in found.blocks])
+    raw = np.array([score[node] * (1 - min(links, 1) / 2) * (NAMED if named else 1) for node, _, links, named, _ in found.blocks])
     reach = np.arange(-2, 3)
     kernel = np.exp(-(reach**2) / (2 * width**2))
     weight = np.convolve(np.ones(len(raw)), kernel, "full")[2:-2]
     smooth = (np.convolve(raw, kernel, "full")[2:-2] / weight + raw) / 2
-    threshold = min(raw.mean(), max(raw.std(), 0.5 * raw.mean()))
-    return "\n".join([s for (_, s, _, _), x in zip(found.blocks, smooth, strict=True) if x >= threshold - 1e-9])
+    threshold = min(raw.mean(), max(raw.std(), 0.5 * raw.mean())) - 1e-9
+    groups: dict[tuple, list[int]] = {}
+    for k, (node, _, _, named, element) in enumerate(found.blocks):
+        own = found.path[element] == node and found.tag[node] not in _HOLDING
+        groups.setdefault((found.around[element] if own and element else element, node, named), []).append(k)
+    sizes = np.array([len(b[1]) for b in found.blocks])
+    kept = {key for key, m in groups.items() if (smooth[m] * sizes[m]).sum() >= threshold * sizes[m].sum()}
+    kept |= _gathered(found, groups, kept)
+    chosen = sorted(k for key in kept for k in groups[key])
+    return "\n".join(found.blocks[k][1] for k in chosen)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
