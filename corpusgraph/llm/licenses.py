@@ -4,6 +4,8 @@ A text is cut into pieces at line breaks and after ``. ; : ! ?`` with white spac
 characters than letters and digits, so comment leaders too, become one space; marks of list items go). A known sentence is a
 piece, or a run of pieces that follow each other: a single line break or a ``;`` or ``:`` may lie inside it, a blank line or
 an end of sentence may not. Names of holders inside a sentence count as the words that stand for them in the licence's text.
+Of known sentences that begin alike, the longest that is there counts. A notice may stand in a sentence such as "This project is
+licensed under ..., see ...", in simple markup, or be an expression of identifiers.
 
 The sequence of identifiers in a text is then matched against ordered rules: a rule holds if its sentences occur in its order,
 others between them or not. A rule takes the sentences that it matched from shorter rules which they contain (so a text with
@@ -100,7 +102,7 @@ RULES = (
 )
 #: How short notices call licences.
 CALLED = {
-    "MIT": ("the mit license", "an mit license"), "Apache-2.0": ("the apache license 2 0", "the apache license version 2 0", "apache 2 0"), "BSD-2-Clause": ("the bsd 2 clause license", "the 2 clause bsd license"),
+    "MIT": ("the mit license", "an mit license", "mit"), "Apache-2.0": ("the apache license 2 0", "the apache license version 2 0", "apache 2 0"), "BSD-2-Clause": ("the bsd 2 clause license", "the 2 clause bsd license"),
     "BSD-3-Clause": ("the bsd 3 clause license", "the 3 clause bsd license"), "ISC": ("the isc license",), "MPL-2.0": ("the mozilla public license 2 0", "the mozilla public license version 2 0"),
     "GPL-2.0-only": ("the gnu general public license version 2", "the gnu gpl v2"), "GPL-3.0-only": ("the gnu general public license version 3", "the gnu gpl v3"), "BSL-1.0": ("the boost software license version 1 0",),
     "AGPL-3.0-only": ("the gnu affero general public license version 3",), "Zlib": ("the zlib license",), "Unlicense": ("the unlicense",), "CC0-1.0": ("cc0 1 0",),
@@ -109,6 +111,9 @@ CALLED = {
 COMMONS = {"BY": "attribution", "BY-SA": "attribution sharealike", "BY-NC": "attribution noncommercial", "BY-ND": "attribution noderivatives", "BY-NC-SA": "attribution noncommercial sharealike", "BY-NC-ND": "attribution noncommercial noderivatives"}
 #: The words of a sentence before and after a holder's name, and what stands for the name in SENTENCES.
 HOLDERS = (("neither the name of", "the copyright holder", "nor the names of its contributors may"), ("to the extent possible under law", "the author", "has waived all copyright"), ("this software is provided by", "the copyright holders and contributors", "as is and any express"))
+#: What a notice calls the thing that it licenses, and how it says so.
+NOUNS = ("project", "software", "code", "source code", "library", "package", "file", "program", "module", "repository", "script", "plugin", "tool")
+VERBS = ("licensed", "released", "distributed")
 #: Each known sentence holds one of these inside a word, so that a text without any has none of them.
 ANCHORS = ("licens", "software", "copyright", "distribut", "warrant", "gpl", "cc0", "apache", "misrepresent")
 _JOINT = "||"
@@ -127,10 +132,11 @@ def _more() -> tuple[dict[str, str], tuple]:
         ident, said = f"{of.lower()}{version[0]}{version[2:].strip('0')}.either", version.removesuffix(".0").replace(".", " ")
         known[ident] = f"you can redistribute it and or modify it under the terms of the gnu {kind} general public license as published by the free software foundation either version {said} of the license or at your option any later version"
         rules += [(f"{of}-{version}-or-later", (free, ident)) for free in (("lgpl.free", "gpl.free") if of == "LGPL" else ())]
-    for verb in ("licensed", "released", "distributed"):
+    for verb in VERBS:
         for name, calls in CALLED.items():
-            for k, call in enumerate(calls):
-                add(name, f"{name.lower()}.{verb}{k}", f"{verb} under {call}")
+            for k, call in enumerate(dict.fromkeys((*calls, *(c.removeprefix("the ") for c in calls)))):
+                if any(a in f"{verb} {call}" for a in ANCHORS):
+                    add(name, f"{name.lower()}.{verb}{k}", f"{verb} under {call}")
     for short, long in COMMONS.items():
         for version, ported in (("4.0", "international"), ("3.0", "unported")):
             name, said = f"CC-{short}-{version}", version.replace(".", " ")
@@ -151,8 +157,12 @@ def _steps(gap: str) -> list[tuple[str, str]]:
     """The replacements that give the normalised pieces; ``gap`` is the pattern of what may lie between two words."""
     white = r"[\x09-\x0D\x20]"
     steps = [
+        (r"</?(?:p|div|li|ul|td|tr|h[1-6]|br|footer)(?:[\x09\x20][^<>\n]{0,200})?/?>", "\n\n"), (r"</?(?:a|b|i|em|strong|span|small|code)(?:[\x09\x20][^<>\n]{0,200})?>", ""),
+        *[(r"(spdx-license-identifier:\x20?)([^\n]*?)[\x20)]+(?:or|and)[\x20(]+", "$1$2\n\n$1")] * 3,
         (rf"\bv\.{white}+", "v "), (rf"([.!?]){white}+", "$1\n\n"), (r"[\x09\x0B-\x0D\x20]+\n", "\n"), (r"([;:])[\x09\x0B-\x0D\x20]+", "$1\n"),
         (r"(?m)^[\x09\x20]*(?:rem|dnl)[\x09\x20]+", ""), (r"(?m)^[^\p{L}\p{N}\n(]*\(?(?:[0-9]{1,2}|[a-z])\)[\x09\x20]+", ""), (r"[^\p{L}\p{N}\n]+", " "), (r" ?\n ?", "\n"),
+        (rf"(?m)^(?:this|the|our){gap}(?:{'|'.join(x.replace(' ', gap) for x in NOUNS)}){gap}(?:is|are){gap}(?:(?:also|hereby|currently){gap})?({'|'.join(VERBS)}){gap}under", "$1 under"),
+        (rf"(?m)^((?:{'|'.join(VERBS)}){gap}under(?:{gap}[^ \n]+){{1,8}}?){gap}(?:see|refer{gap}to|as{gap}found{gap}in)(?:{gap}[^ \n]+){{0,12}}?$", "$1"),
     ]
     return steps + [(gap.join(a.split()) + gap + r"(?:[^ \n]+" + gap + "){1,12}?" + gap.join(b.split()), f"{a} {holder} {b}") for a, holder, b in HOLDERS]
 
@@ -180,8 +190,8 @@ def pieces(text: Column) -> Column:
 
 
 def _either(known: dict[str, str], gap: str) -> str:
-    """The known sentences as one pattern; the shorter of two that begin alike comes first, so that a sentence on a line of its own is always itself."""
-    return "|".join(s.replace(" ", gap) for s in sorted(known.values(), key=len))
+    """The known sentences as one pattern; the longer of two that begin alike comes first, so a sentence that is wrapped where the shorter ends is still itself."""
+    return "|".join(s.replace(" ", gap) for s in sorted(known.values(), key=lambda s: (-len(s), s)))
 
 
 def identify(text: Column, known: dict[str, str]) -> Column:
@@ -221,7 +231,8 @@ def oracle(id_col: str = "doc_id", text_col: str = "text", table: str = "documen
     """The same in DuckDB's SQL, whose patterns can't look around: line feeds are doubled before the sentences are looked for."""
     text = f"lower(coalesce({text_col}, ''))"
     for pattern, to in _steps(r"[ \n]"):
-        text = f"regexp_replace({text}, '{_duck(pattern)}', '{to.replace('$1', chr(92) + '1')}', 'g')".replace("\n", "' || chr(10) || '") if "\n" in to else f"regexp_replace({text}, '{_duck(pattern)}', '{to}', 'g')"
+        said = to.replace("$", chr(92)).replace("\n", "' || chr(10) || '")
+        text = f"regexp_replace({text}, '{_duck(pattern)}', '{said}', 'g')"
     names, values = [f"'{s}'" for s in ALL.values()], [f"'{i}'" for i in ALL]
     held: dict[str, list[str]] = {}
     for name, need in ALL_RULES:
