@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusgraph.plans import REGISTRY, flow_queries, more_queries, ops_queries, text_queries, vector_queries, workflow_queries  # noqa: F401  (the modules register their queries)
+from corpusgraph.plans import REGISTRY, flow_queries, more_queries, ops_queries, store_queries, text_queries, vector_queries, workflow_queries  # noqa: F401  (the modules register their queries)
 
 
 def queries() -> dict:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusgraph.functions.html import to_text
+
 
 def _chain(text: Column, steps: list[tuple[str, str]]) -> Column:
     for pattern, to in steps:
@@ -12,36 +14,43 @@ def _chain(text: Column, steps: list[tuple[str, str]]) -> Column:
     return text
 
 
+#: White space of every kind, inside brackets of a pattern.
+SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: The steps of each cleaner in their order.
 MARKDOWN = [
     (r"(?sm)^---\n.*?\n---\n", ""), (r"(?s)```chatgpt[^`]*```", ""), (r"!\[\[[^\]]*\]\]", ""), (r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"),
     (r"\[\[([^\]]*)\]\]", "$1"), (r"<[^>]+>", ""), (r"\b[A-Za-zÀ-ÿ0-9_]+::[^\n]+", ""), ("[📌🎯💡⚡]", ""), (" +", " "), (r"\n{3,}", "\n\n"),
 ]
 MAIL = [
-    (r"<[^>]+>", "\n"), (r"https?://\S+", ""), (r"www\.\S+", ""), (r"\S+@\S+", ""), (r"\?\S+", ""), (r"utm_\S+", ""), (r"&[a-z]+;", " "), (r"&#[0-9]+;", " "),
-    (r"(?i)sent from my [^\n]+", ""), (r"[\x09-\x0D\x20]+", " "),
+    (rf"https?://[^{SPACE}]+", ""), (rf"www\.[^{SPACE}]+", ""), (rf"[^{SPACE}]+@[^{SPACE}]+", ""), (rf"\?[^{SPACE}]+", ""), (rf"utm_[^{SPACE}]+", ""), (r"&[a-z]+;", " "), (r"&#\p{Nd}+;", " "),
+    (r"(?isu)\n---\n.*", ""), (r"(?isu)\nBest regards,.*", ""), (r"(?isu)\nSent from my.*", ""), (r"(?isu)\nGesendet von meinem.*", ""), (r"(?isu)Best regards,.*", ""), (r"(?isu)Sent from my .*", ""),
+    ("Sent from my iPhone", ""), (r"(?iu)sent from my [^\n]+", ""), (rf"[{SPACE}]+", " "),
+]
+SCANNED = [
+    (rf"[^\p{{L}}\p{{N}}_{SPACE}.,!?;:()\-'\"€$%&/]", " "), (r"(?<![\p{L}\p{N}_])l(?![\p{L}\p{N}_])", "I"), (r"(?<![\p{L}\p{N}_])O(?![\p{L}\p{N}_])", "0"), (rf"[{SPACE}]+", " "),
+    (rf"(?iu)Page[{SPACE}]+\p{{Nd}}+", " "),
 ]
-SIGNATURES = [(rf"(?is)\n\s*{x}.*", "") for x in ("best regards", "kind regards", "regards,", "mit freundlichen", "-- ", "sincerely")]
-SCANNED = [(r"[^A-Za-zÀ-ÿ0-9\s.,;:!?()\[\]/%&@#+'\"-]", " "), (r"\bl\b", "I"), (r"\bO\b", "0"), (r"[\x09-\x0D\x20]+", " "), (r"(?i)page\s+[0-9]+", " ")]
 #: Words that are no keywords.
 STOPWORDS = "about across after again analysis and are based before between case cases data deep for from have into note notes over that this with work".split()
 #: Words that make a text positive or negative.
 POSITIVE = "improve success good benefit positive increase support agree effective".split()
 NEGATIVE = "fail bad risk negative decrease harm oppose ineffective issue".split()
 #: Mis-decoded UTF-8.
-MOJIBAKE = "Ã¼|Ã¶|Ã¤|�|â€™|â€œ|â€"
+MOJIBAKE = "Ã¼|Ã¶|Ã¤|�|â€™|â€œ|â€˜"
 
 
 def markdown_clean(text: Column) -> Column:
     return F.regexp_replace(_chain(text, MARKDOWN), r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", "")
 
 
-def mail_clean(text: Column, limit: int = 8000) -> Column:
-    return F.substring(F.trim(_chain(text, MAIL[:8] + SIGNATURES + MAIL[8:])), 1, limit)
+def mail_clean(html: Column, limit: int = 8000) -> Column:
+    """A mail's body: its text without addresses, tracking parts and signatures, in one line of at most ``limit`` characters."""
+    return F.substring(F.trim(_chain(to_text(html), MAIL)), 1, limit)
 
 
 def scan_clean(text: Column) -> Column:
-    return F.trim(_chain(text, SCANNED))
+    """Recognised text: other characters than letters, digits and usual marks go, lone l and O become I and 0, page numbers go."""
+    return F.trim(_chain(F.coalesce(text, F.lit("")), SCANNED))
 
 
 def is_mojibake(text: Column) -> Column:

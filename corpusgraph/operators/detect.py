@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import identity as I
 from corpusgraph.functions import vectors as V
+from corpusgraph.operators.rounds import first_independent, near_sets, ranked
 from corpusgraph.operators.search import by_blocks, small_side
+from corpusgraph.session import discard, materialise
 
 #: Columns of a detection.
 FOUND = ["concept_key", "pattern_type", "cluster_ids", "confidence", "signals"]
@@ -117,35 +116,30 @@ def cluster_set(raw: Column) -> Column:
 def greedy_distinct(found: DataFrame, group: str, members: str, order: list[tuple[str, bool]], threshold: float = 0.8, existing: DataFrame | None = None) -> DataFrame:
     """Rows whose set is no near copy (Jaccard similarity by ``threshold``) of one kept before it, or of an existing one, of their group.
 
-    Rows are taken in ``order`` ((column, ascending) pairs), which makes a group sequential; it holds the detections of one
-    pattern, some per cluster. Sets that could be near copies share one of their rarest members, so only such are compared.
+    Rows are taken in ``order`` ((column, ascending) pairs). Of equal sets only the first can be kept, so they are counted as one, and
+    so are existing ones; two empty sets are equal. The rest is a graph of near sets, in which the choice is made in rounds: a
+    group, however large, is never in one task. A null set counts as empty.
     """
-    schema = found.schema
-    names = [c for c, _ in order]
-    flagged = found.withColumn("_new", F.lit(True))
+    places = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]
+    as_set = lambda: F.array_sort(F.array_distinct(F.coalesce(F.col(members), F.array().cast(found.schema[members].dataType))))
+    rows = ranked(found.withColumn("_set", as_set()), *places, F.col(group), F.col("_set"), rank="_rank")
+    first = rows.groupBy(group, "_set").agg(F.min("_rank").alias("_rank"))
     if existing is not None:
-        flagged = flagged.unionByName(existing.withColumn("_new", F.lit(False)), allowMissingColumns=True)
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_new", *names], ascending=[True, *(up for _, up in order)], kind="stable")
-        sets = [frozenset(x) if x is not None else frozenset() for x in rows[members]]
-        common: dict = {}
-        for s in sets:
-            for x in s:
-                common[x] = common.get(x, 0) + 1
-        index: dict = {}
-        empty, out = False, []
-        for s, new in zip(sets, rows["_new"], strict=True):
-            rare = sorted(s, key=lambda x: (common[x], str(x)))[: len(s) - math.ceil(threshold * len(s)) + 1]
-            near = empty if not s else any(len(s & k) / len(s | k) >= threshold for k in {k for x in rare for k in index.get(x, ())})
-            out.append(bool(new) and not near)
-            if not (new and near):
-                empty = empty or not s
-                for x in rare:
-                    index.setdefault(x, []).append(s)
-        return rows[out].drop(columns="_new")[schema.names]
-
-    return flagged.groupBy(group).applyInPandas(keep, schema)
+        known = existing.select(F.col(group).alias("_group"), as_set().alias("_known")).distinct()
+        first = first.join(known, [F.col(group).eqNullSafe(F.col("_group")), F.col("_set") == F.col("_known")], "left_anti")
+    first = materialise(first, "first")
+    named = lambda ids, df: df.where(F.size("_set") > 0).select(ids.alias("id"), F.transform("_set", lambda x: F.struct(F.col(group).alias("g"), x.alias("x"))).alias("members"))
+    sets = named(F.col("_rank"), first)
+    if existing is not None:  # existing sets come before all rows
+        sets = sets.unionByName(named(-1 - F.shiftrightunsigned(F.xxhash64(group, "_set"), 1), known.select(F.col("_group").alias(group), F.col("_known").alias("_set"))))
+    edges = near_sets(sets, threshold)
+    by_old = edges.where("a < 0 and b >= 0").select(F.col("b").alias("node")).distinct()
+    left = edges.where("a >= 0").join(by_old, F.col("a") == F.col("node"), "left_anti").join(by_old, F.col("b") == F.col("node"), "left_anti")
+    dropped = first_independent(left)
+    kept = first.select("_rank").join(by_old.unionByName(dropped), F.col("_rank") == F.col("node"), "left_anti")
+    out = materialise(rows.join(kept, "_rank", "left_semi").select(*found.columns), "distinct")
+    discard(rows, first, edges, dropped)
+    return out
 
 
 def store(found: DataFrame, existing: DataFrame, run_id: str, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusgraph.functions import vectors as V
 from corpusgraph.operators import chunking, state
 from corpusgraph.operators.structure import outline
 
@@ -236,11 +237,25 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, strategy: str) -> DataFra
     return source.mapInArrow(run, f"_id {kind}, chunks {CHUNK}").select(F.col("_id").alias(id_col), F.explode("chunks").alias("c")).select(id_col, "c.*")
 
 
-def quality(docs: DataFrame, group: str, text: str) -> DataFrame:
-    """(group, n, mean, shortest, longest, boundary): sizes of a group's chunks and the share that ends a sentence."""
+def quality(docs: DataFrame, group: str, text: str, vector: str | None = None) -> DataFrame:
+    """(group, n, mean, deviation, shortest, longest, boundary, coherence): sizes of a group's chunks, the share that ends a sentence, and how alike they are.
+
+    Coherence is the mean cosine of all pairs of the group's vectors, from the sum of their unit vectors, so no pairs are made;
+    0 for fewer than two, or without ``vector``. Chunks without a vector don't count there.
+    """
     n = F.length(text)
     ends = F.avg(F.when(F.col(text).rlike(r"[.!?][\x09-\x0D\x20]*\z"), 1.0).otherwise(0.0))
-    return docs.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean"), F.min(n).cast("long").alias("shortest"), F.max(n).cast("long").alias("longest"), F.round(ends, 6).alias("boundary"))
+    out = docs.groupBy(group).agg(
+        F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean"), F.round(F.stddev_pop(n), 6).alias("deviation"), F.min(n).cast("long").alias("shortest"), F.max(n).cast("long").alias("longest"), F.round(ends, 6).alias("boundary")
+    )
+    if vector is None:
+        return out.withColumn("coherence", F.lit(0.0))
+    v = V.as_double(F.col(vector))
+    units = docs.where((F.size(v) > 0) & (V.norm(v) > 0)).select(group, F.posexplode(F.transform(v, lambda x: x / V.norm(v))).alias("dim", "x"))
+    square = units.groupBy(group, "dim").agg(F.sum("x").alias("s"), F.count("*").alias("m")).groupBy(group).agg(F.sum(F.col("s") * F.col("s")).alias("s2"), F.max("m").alias("m"))
+    mean = F.when(F.col("m") > 1, F.round((F.col("s2") - F.col("m")) / (F.col("m") * (F.col("m") - 1)), 6)).otherwise(0.0)
+    coherent = square.select(F.col(group).alias("_group"), mean.alias("coherence"))
+    return out.join(coherent, F.col(group).eqNullSafe(F.col("_group")), "left").withColumn("coherence", F.coalesce("coherence", F.lit(0.0))).drop("_group")
 
 
 def preservation(chunks: DataFrame, expected: DataFrame, key: str) -> DataFrame:

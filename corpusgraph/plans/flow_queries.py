@@ -144,9 +144,12 @@ def semantic_chunks(spark, sf_dir):
     return ingest.chunk(table(spark, sf_dir, "documents"), "doc_id", "text", "semantic").select("doc_id", "chunk", "text")
 
 
-@query("""SELECT lang, round(avg(length(text)), 6) AS mean, count(*)::BIGINT AS n, min(length(text))::BIGINT AS shortest, max(length(text))::BIGINT AS longest, round(avg(CASE WHEN regexp_matches(text, '[.!?][\\x09-\\x0D\\x20]*$') THEN 1.0 ELSE 0.0 END), 6) AS boundary FROM documents GROUP BY lang""")
+@query("""WITH d AS (SELECT lang, text, embedding::DOUBLE[] AS v FROM documents LEFT JOIN embeddings ON vec_id = doc_id), p AS (SELECT a.lang, avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS c FROM (SELECT lang, vec_id, embedding FROM documents JOIN embeddings ON vec_id = doc_id) a JOIN (SELECT lang, vec_id, embedding FROM documents JOIN embeddings ON vec_id = doc_id) b ON a.lang IS NOT DISTINCT FROM b.lang AND a.vec_id < b.vec_id GROUP BY 1)
+SELECT d.lang, round(avg(length(text)), 6) AS mean, count(*)::BIGINT AS n, round(stddev_pop(length(text)), 6) AS deviation, min(length(text))::BIGINT AS shortest, max(length(text))::BIGINT AS longest, round(avg(CASE WHEN regexp_matches(text, '[.!?][\\x09-\\x0D\\x20]*$') THEN 1.0 ELSE 0.0 END), 6) AS boundary, coalesce(round(any_value(c), 6), 0) AS coherence FROM d LEFT JOIN p ON p.lang IS NOT DISTINCT FROM d.lang GROUP BY d.lang""")
 def chunk_quality(spark, sf_dir):
-    return ingest.quality(table(spark, sf_dir, "documents"), "lang", "text")
+    """Documents are chunks, their languages groups; about half of them have a vector."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return ingest.quality(docs, "lang", "text", "embedding")
 
 
 @query("""WITH e AS (SELECT DISTINCT conv_id, role AS heading FROM conversations), f AS (SELECT DISTINCT conv_id, role AS heading FROM conversations WHERE turn % 2 = 0), p AS (SELECT e.conv_id, round(avg(CASE WHEN f.heading IS NULL THEN 0.0 ELSE 1.0 END), 6) AS preserved FROM e LEFT JOIN f USING (conv_id, heading) GROUP BY 1),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import identity as I
 from corpusgraph.functions import text as T
-from corpusgraph.operators import chunking, detect, retrieval, search
+from corpusgraph.functions import vectors as V
+from corpusgraph.operators import chunking, clusters, detect, ingest, retrieval, search
 from corpusgraph.operators.ranking import top_per_group
 from corpusgraph.plans import query
 from corpusgraph.session import ship, table
@@ -15,25 +16,21 @@ from corpusgraph.streaming import debounce
 from corpusgraph.streaming.loops import run_stream
 
 
-def _nested(text: str, steps: list[tuple[str, str]]) -> str:
-    """The same chain of replacements in DuckDB's SQL."""
-    for pattern, to in steps:
-        literal = (to.replace("$1", "\\1")).replace("\n", "' || chr(10) || '")
-        text = f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '{literal}', 'g')"
-    return text
-
-
-_MAIL = _nested("html", T.MAIL[:8] + T.SIGNATURES + T.MAIL[8:])
-
-
-@query(f"SELECT page_id, md5(substring(trim({_MAIL}), 1, 8000)) AS digest FROM pages")
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?(-->|$)', chr(10), 'g'), '(?is)<script\b[^>]*>.*?(</script>|$)', chr(10), 'g'), '(?is)<style\b[^>]*>.*?(</style>|$)', chr(10), 'g') AS t FROM pages),
+b AS (SELECT page_id, replace(replace(replace(replace(regexp_replace(t, '<[!/]?[A-Za-z][^<>]*>', chr(10), 'g') || ' ', '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, 'https?://\S+', '', 'g'), 'www\.\S+', '', 'g'), '\S+@\S+', '', 'g'), '\?\S+', '', 'g'), 'utm_\S+', '', 'g'), '&[a-z]+;', ' ', 'g'), '&#[0-9]+;', ' ', 'g') AS t FROM b),
+d AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?is)\n---\n.*', ''), '(?is)best regards,.*', ''), '(?is)\ngesendet von meinem.*', ''), '(?is)(\nsent from my|sent from my ).*', '') AS t FROM c)
+SELECT page_id, md5(substring(trim(regexp_replace(t, '\s+', ' ', 'g')), 1, 8000)) AS digest FROM d""")
 def html_body_clean(spark, sf_dir):
+    ship(spark)
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.mail_clean(F.col("html"))).alias("digest"))
 
 
-@query(f"""SELECT doc_id, md5(trim({_nested("text || ' l O Page 12 {§}'", T.SCANNED)})) AS digest FROM documents""")
+@query(r"""WITH a AS (SELECT doc_id, regexp_replace(coalesce(text, '') || ' l O Page 12 {§} l_ Łl £5 €5 a_b [x]@#+', '[^\pL\pN_\s.,!?;:()''"€$%&/-]', ' ', 'g') AS t FROM documents),
+b AS (SELECT doc_id, list_transform(regexp_extract_all(t, '[\pL\pN_]+|[^\pL\pN_]+'), lambda w: CASE w WHEN 'l' THEN 'I' WHEN 'O' THEN '0' ELSE w END) AS w FROM a)
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(array_to_string(w, ''), '\s+', ' ', 'g'), '(?i)page\s+[0-9]+', ' ', 'g'))) AS digest FROM b""")
 def pdf_text_clean(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.scan_clean(F.concat("text", F.lit(" l O Page 12 {§}")))).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.scan_clean(F.concat(F.coalesce("text", F.lit("")), F.lit(" l O Page 12 {§} l_ Łl £5 €5 a_b [x]@#+")))).alias("digest"))
 
 
 @query("""WITH s AS (SELECT conv_id, turn, '## ' || role || ' ' || turn || chr(10) || text || chr(10) AS part FROM conversations), t AS (SELECT conv_id, string_agg(part, '' ORDER BY turn) AS note, list(length(part) ORDER BY turn) AS sizes, list(turn ORDER BY turn) AS turns FROM s GROUP BY conv_id),
@@ -80,12 +77,11 @@ def cosine_chunks(spark, sf_dir):
 
 @query(None)
 def hybrid_chunks(spark, sf_dir):
-    """Whole sections of threads, long ones cut by similarity."""
+    """The hybrid strategy over threads as notes with a heading for each turn: short sections whole, long ones by the semantic splitter."""
     ship(spark)
-    part = F.concat(F.lit("## "), "role", F.lit("\n"), "text")
-    sections = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("section"), part.alias("text"))
-    short = sections.where(F.length("text") < 1000).select("section", F.lit(0).alias("chunk"), "text")
-    return short.unionByName(chunking.by_similarity(sections.where(F.length("text") >= 1000), "section", "text"))
+    part = F.concat(F.lit("## "), "role", F.lit("\n"), "text", F.lit("\n"))
+    notes = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", part.alias("part")))), lambda x: x["part"]), "").alias("note"))
+    return ingest.chunk(notes, "conv_id", "note", "hybrid").select("conv_id", "chunk", "text", "heading_path", "heading_level", "section_title")
 
 
 @query("SELECT event_id FROM events WHERE NOT (user_id IN (3, 7, 11) AND event_id % 5 < 3 OR event_id % 5 = 1 AND event_type = '11')")
@@ -122,6 +118,27 @@ def strategy_comparison(spark, sf_dir):
     return parts[0].unionByName(parts[1]).groupBy("size").agg(F.count("*").alias("chunks"), F.round(F.avg(F.length("t")), 6).alias("mean_length"), F.round(F.avg(F.when(F.col("t").rlike(r"[.!?]\z"), 1.0).otherwise(0.0)), 6).alias("boundary"))
 
 
+@query("""WITH s AS (SELECT unnest(['full', 'half']) AS strategy), v AS (SELECT strategy, vec_id, label, CASE WHEN strategy = 'full' THEN embedding ELSE embedding[1:len(embedding) // 2] END::DOUBLE[] AS x FROM s, embeddings),
+r AS (SELECT q.strategy, q.vec_id AS q, row_number() OVER (PARTITION BY q.strategy, q.vec_id ORDER BY round(1 - list_cosine_similarity(q.x, e.x), 6), e.vec_id) AS rank, q.label = e.label AS rel, count(*) FILTER (WHERE q.label = e.label) OVER (PARTITION BY q.strategy, q.vec_id) AS n FROM v q JOIN v e ON e.strategy = q.strategy AND e.vec_id != q.vec_id WHERE q.vec_id % 20 = 0),
+m AS (SELECT strategy, q, CASE WHEN max(n) = 0 THEN 0.0 ELSE round(count(*) FILTER (WHERE rel AND rank <= 5) / max(n), 6) END AS recall, CASE WHEN max(n) = 0 THEN 0.0 ELSE round(coalesce(sum(CASE WHEN rel THEN 1 / log2(rank + 1) END) FILTER (WHERE rank <= 5), 0) / list_sum(list_transform(range(1, least(max(n), 5) + 1), lambda i: 1 / log2(i + 1))), 6) END AS ndcg FROM r GROUP BY ALL),
+c AS (SELECT a.strategy, avg(list_cosine_similarity(a.x, b.x)) AS c FROM v a JOIN v b ON a.strategy = b.strategy AND a.vec_id < b.vec_id GROUP BY 1), b AS (SELECT avg(CASE WHEN regexp_matches(text, '[.!?][\\x09-\\x0D\\x20]*$') THEN 1.0 ELSE 0.0 END) AS b FROM documents JOIN embeddings ON vec_id = doc_id)
+SELECT strategy, round(avg(recall), 5) AS recall5, round(avg(ndcg), 5) AS ndcg5, round(any_value(b), 5) AS boundary, round(any_value(c), 5) AS coherence FROM m JOIN c USING (strategy), b GROUP BY strategy""")
+def strategy_retrieval(spark, sf_dir):
+    """Two strategies by what they retrieve: whole vectors and their first half. The stated queries ask for the members of their cluster."""
+    ship(spark)
+    vecs = table(spark, sf_dir, "embeddings")
+    texts = vecs.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    ends = texts.agg(F.round(F.avg(F.when(F.col("text").rlike(r"[.!?][\x09-\x0D\x20]*\z"), 1.0).otherwise(0.0)), 5).alias("boundary"))
+    out = []
+    for name, x in (("full", F.col("embedding")), ("half", F.slice("embedding", F.lit(1), F.expr("size(embedding) div 2")))):
+        cut = vecs.select("vec_id", "label", x.alias("x"))
+        asked = cut.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), V.as_double(F.col("x")).alias("q"), F.col("label").alias("own"))
+        found = search.scored(cut, asked, "vec_id", "x", [(F.col("own") == F.col("label")).alias("rel")])
+        means = retrieval.measures(found, "query_id", "vec_id", "distance", "rel", 5).agg(F.round(F.avg("recall"), 5).alias("recall5"), F.round(F.avg("ndcg"), 5).alias("ndcg5"))
+        out.append(means.crossJoin(clusters.pairwise_cosine(cut, "x").select(F.round("mean", 5).alias("coherence"))).select(F.lit(name).alias("strategy"), "recall5", "ndcg5", "coherence"))
+    return out[0].unionByName(out[1]).crossJoin(ends)
+
+
 @query("""WITH e AS (SELECT conv_id, list(DISTINCT role) AS expected, list(DISTINCT role) FILTER (WHERE turn > 0) AS found FROM conversations GROUP BY conv_id)
 SELECT conv_id, round(coalesce(len(list_intersect(expected, found)), 0) / len(expected)::DOUBLE, 6) AS score FROM e""")
 def structure_preservation(spark, sf_dir):
@@ -135,15 +152,16 @@ def discovery_identity(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy("o_custkey").agg(I.set_key(F.collect_list(F.col("o_orderkey").cast("string"))).alias("set_key"))
 
 
-@query("""WITH RECURSIVE f AS (SELECT p_brand AS pattern, p_size AS job, list_sort(list_distinct(list(p_type))) AS clusters, round(avg(p_retailprice), 2) AS confidence FROM part GROUP BY ALL),
+@query("""WITH RECURSIVE f AS (SELECT p_brand AS pattern, p_size AS job, list_sort(list_distinct(list(p_type))) AS clusters, ((2 * sum(round(p_retailprice * 100)::BIGINT) + count(*)) // (2 * count(*)))::DOUBLE / 100 AS confidence FROM part GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY confidence DESC, job) AS i FROM f),
 r AS (SELECT pattern, job, clusters, confidence, i, [clusters] AS kept, true AS keep FROM o WHERE i = 1 UNION ALL
 SELECT o.pattern, o.job, o.clusters, o.confidence, o.i, CASE WHEN k THEN list_append(kept, o.clusters) ELSE kept END, k FROM (SELECT o.*, r.kept, len(list_filter(r.kept, lambda s: len(list_intersect(s, o.clusters)) / len(list_distinct(list_concat(s, o.clusters)))::DOUBLE >= 0.8)) = 0 AS k FROM r JOIN o ON o.pattern = r.pattern AND o.i = r.i + 1) o)
 SELECT pattern, job, array_to_string(clusters, ',') AS clusters, confidence FROM r WHERE keep""")
 def discovery_dedup_greedy(spark, sf_dir):
     """Detections (sets of clusters) in order of confidence; one that overlaps a kept one of its type by 0.8 or more goes."""
-    ship(spark)
-    found = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.array_sort(F.collect_set("p_type")).alias("clusters"), F.round(F.avg("p_retailprice"), 2).alias("confidence"))
+    cents = F.sum(F.round(F.col("p_retailprice") * 100).cast("long"))
+    mean = F.floor((2 * cents + F.count("*")) / (2 * F.count("*"))).cast("double") / 100  # whole cents, so that halves round alike everywhere
+    found = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.array_sort(F.collect_set("p_type")).alias("clusters"), mean.alias("confidence"))
     found = found.select(F.col("p_brand").alias("pattern"), F.col("p_size").alias("job"), "clusters", "confidence")
     return detect.greedy_distinct(found, "pattern", "clusters", [("confidence", False), ("job", True)]).withColumn("clusters", F.array_join("clusters", ","))
 

@@ -118,9 +118,9 @@ def enrichment_queue(spark, sf_dir):
     return first.select("o_orderkey", "stage", "place")
 
 
-@query("SELECT o_orderkey, o_orderdate AS deadline FROM orders WHERE o_orderstatus = 'O' AND o_orderdate > TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-01-08'")
+@query("SELECT o_orderkey, o_orderdate AS deadline FROM orders WHERE o_orderstatus = 'O' AND o_orderdate > TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-01-08' ORDER BY o_orderdate, o_orderkey")
 def critical_deadlines(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "O") & (F.col("o_orderdate") > _at("1997-01-01")) & (F.col("o_orderdate") < _at("1997-01-08"))).select("o_orderkey", F.col("o_orderdate").alias("deadline"))
+    return table(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "O") & (F.col("o_orderdate") > _at("1997-01-01")) & (F.col("o_orderdate") < _at("1997-01-08"))).select("o_orderkey", F.col("o_orderdate").alias("deadline")).orderBy("deadline", "o_orderkey")
 
 
 _STATUS = {"signup": "pending", "view": "pending", "click": "awaiting_response", "error": "failed", "purchase": "delivered"}
@@ -172,6 +172,16 @@ def debounce_events(spark, sf_dir):
     return debounce_batch(table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", 3600.0)
 
 
+@query("""WITH RECURSIVE t AS (SELECT ts, min(event_id) AS event_id FROM events WHERE ts IS NOT NULL GROUP BY ts), n AS (SELECT a.event_id, b.event_id AS next FROM t a ASOF JOIN t b ON a.ts + INTERVAL 1 DAY <= b.ts),
+r AS (SELECT arg_min(event_id, ts) AS event_id FROM t UNION ALL SELECT n.next FROM r JOIN n USING (event_id)) SELECT event_id, ts FROM r JOIN t USING (event_id)""")
+def debounce_one_key(spark, sf_dir):
+    """All events are of one key, which is processed once a day at most; followed by links, not in one task."""
+    from corpusgraph.streaming.debounce import debounce_linked
+
+    e = table(spark, sf_dir, "events").select(F.lit("all").alias("key"), "ts", "event_id")
+    return debounce_linked(e, "key", "ts", "event_id", 86400.0).select("event_id", "ts")
+
+
 @query("SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
 def detections_by_type(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))

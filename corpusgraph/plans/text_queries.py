@@ -68,13 +68,14 @@ def shadow_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.note_normalise(text)).alias("digest"))
 
 
-@query("""WITH d AS (SELECT doc_id, sha256(text) AS h, CASE WHEN regexp_matches(text, 'Ã¼|Ã¶|Ã¤|�|â€™|â€œ|â€') OR length(trim(text)) < 20 THEN 'rejected' END AS s FROM documents), f AS (SELECT h, min(doc_id) AS first FROM d GROUP BY h)
-SELECT CASE WHEN s IS NOT NULL THEN s WHEN doc_id != first THEN 'duplicate' ELSE 'stored' END AS status, count(*)::BIGINT AS n FROM d JOIN f USING (h) GROUP BY 1""")
+@query("""WITH d AS (SELECT doc_id, sha256(text) AS h, CASE WHEN contains(text, 'Ã¼') OR contains(text, 'Ã¶') OR contains(text, 'Ã¤') OR contains(text, chr(65533)) OR contains(text, 'â€™') OR contains(text, 'â€œ') OR contains(text, 'â€˜') OR length(trim(text)) < 20 THEN 'rejected' END AS s FROM documents), f AS (SELECT h, min(doc_id) AS first FROM d GROUP BY h),
+x AS (SELECT CASE WHEN s IS NOT NULL THEN s WHEN doc_id != first THEN 'duplicates' ELSE 'stored' END AS status FROM d JOIN f USING (h)) SELECT status, count(*)::BIGINT AS n FROM x GROUP BY 1 UNION ALL SELECT 'loaded', count(*) FROM documents""")
 def ingest_triage_counts(spark, sf_dir):
+    """The four counters of a mail ingest; texts stand in for bodies."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"), (T.is_mojibake(F.col("text")) | (F.length(F.trim("text")) < 20)).alias("bad"))
     first = docs.groupBy("h").agg(F.min("doc_id").alias("first"))
-    status = F.when(F.col("bad"), "rejected").when(F.col("doc_id") != F.col("first"), "duplicate").otherwise("stored")
-    return docs.join(first, "h").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    status = F.when(F.col("bad"), "rejected").when(F.col("doc_id") != F.col("first"), "duplicates").otherwise("stored")
+    return docs.join(first, "h").groupBy(status.alias("status")).agg(F.count("*").alias("n")).unionByName(docs.agg(F.lit("loaded").alias("status"), F.count("*").alias("n")))
 
 
 @query("SELECT doc_id, 'hash-' || sha256(coalesce(source, '') || '|' || coalesce(lang, '') || '|' || '' || '|' || coalesce(substring(text, 1, 256), '')) AS mail_id FROM documents")

@@ -41,11 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialise(df: DataFrame, label: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors. ``by`` names columns that give folders."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

@@ -9,7 +9,7 @@ from email import policy
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -51,34 +51,47 @@ def parse_mail(raw: bytes, source: str) -> dict:
     return {**head, "body": body, "source_path": source, "unique_id": head["message_id"] or "hash-" + hashlib.sha256(key.encode()).hexdigest()}
 
 
-def _messages(raw: bytes, source: str) -> Iterator[dict]:
-    if source.lower().endswith(".mbox"):
-        lines, at, blocks = raw.splitlines(keepends=True), [], []
-        for k, line in enumerate(lines):
-            if line.startswith(b"From ") and (k == 0 or not lines[k - 1].strip()):
-                at.append(k)
-        for k, a in enumerate(at):
-            blocks.append(b"".join(lines[a + 1 : at[k + 1] if k + 1 < len(at) else len(lines)]))
-        for k, block in enumerate(blocks):
-            yield parse_mail(block, f"{source}:{k}")
-    else:
-        yield parse_mail(raw, source)
+MAIL_SCHEMA = "subject string, sender string, date string, message_id string, body string, source_path string, unique_id string"
 
 
-MAIL_SCHEMA = "subject string, sender string, date string, message_id string, body string, source_path string, unique_id string"
+#: The message lies between two lines that begin with this.
+_FROM = "From "
+
+
+def _archived(spark: SparkSession, path: str) -> DataFrame:
+    """(source_path, raw) of the messages of the .mbox files below a folder.
+
+    Spark splits a file by bytes, and its text source finds where messages begin: a message is a record that ends with a line
+    feed and ``From ``. A message's number in its file is its place in its split and the number of messages in the splits before.
+    """
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][bB][oO][xX]").option("lineSep", "\n" + _FROM).text(path)
+    rows = found.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("raw"), F.monotonically_increasing_id().alias("at"))
+    # a row for each split of a file
+    splits = rows.groupBy("file", "block").agg(F.min("at").alias("low"), F.count("*").alias("n"), F.min_by(F.substring("raw", 1, len(_FROM)), "at").alias("head"))
+    whole = Window.partitionBy("file").orderBy("block")
+    bare = F.max(F.when((F.col("block") == 0) & (F.col("head") != F.lit(_FROM).cast("binary")), 1).otherwise(0)).over(Window.partitionBy("file"))
+    splits = splits.select("file", "block", "low", (F.sum("n").over(whole) - F.col("n") - bare).alias("before"))
+    named = F.regexp_replace(F.try_url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")
+    placed = rows.join(splits, ["file", "block"]).withColumn("k", F.col("before") + F.col("at") - F.col("low")).where("k >= 0")
+    return placed.select(F.concat(named, F.lit(":"), F.col("k").cast("string")).alias("source_path"), "raw")
 
 
 def mail(spark: SparkSession, path: str) -> DataFrame:
-    """One row per message of the .eml and .mbox files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.lower("path").rlike(r"\.(eml|mbox)$")).select("path", "content")
+    """One row per message of the .eml and .mbox files below a folder; a message of an archive is named by the file and its number."""
+    single = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[eE][mM][lL]").load(path).select(F.col("path").alias("source_path"), F.col("content").alias("raw"), F.lit(False).alias("archived"))
+    both = single.unionByName(_archived(spark, path).withColumn("archived", F.lit(True)))
     names = [x.split()[0] for x in MAIL_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [m for p, c in zip(batch.column(0), batch.column(1), strict=True) for m in _messages(c.as_py(), p.as_py())]
+            rows = []
+            for source, raw, archived in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if archived:  # the rest of the line that begins with From
+                    raw = raw.partition(b"\n")[2]
+                rows.append(parse_mail(raw, source))
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], pa.string()) for n in names], names=names)
 
-    return files.mapInArrow(run, MAIL_SCHEMA)
+    return both.mapInArrow(run, MAIL_SCHEMA)
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
