@@ -162,7 +162,7 @@ def _steps(gap: str) -> list[tuple[str, str]]:
         (rf"\bv\.{white}+", "v "), (rf"([.!?]){white}+", "$1\n\n"), (r"[\x09\x0B-\x0D\x20]+\n", "\n"), (r"([;:])[\x09\x0B-\x0D\x20]+", "$1\n"),
         (r"(?m)^[\x09\x20]*(?:rem|dnl)[\x09\x20]+", ""), (r"(?m)^[^\p{L}\p{N}\n(]*\(?(?:[0-9]{1,2}|[a-z])\)[\x09\x20]+", ""), (r"[^\p{L}\p{N}\n]+", " "), (r" ?\n ?", "\n"),
         (rf"(?m)^(?:this|the|our){gap}(?:{'|'.join(x.replace(' ', gap) for x in NOUNS)}){gap}(?:is|are){gap}(?:(?:also|hereby|currently){gap})?({'|'.join(VERBS)}){gap}under", "$1 under"),
-        (rf"(?m)^((?:{'|'.join(VERBS)}){gap}under(?:{gap}[^ \n]+){{1,8}}?){gap}(?:see|refer{gap}to|as{gap}found{gap}in)(?:{gap}[^ \n]+){{0,12}}?$", "$1"),
+        (rf"(?m)^((?:{'|'.join(VERBS)}){gap}under(?:{gap}[^ \n]+){{1,8}}?){gap}(?:see|refer{gap}to|as{gap}found{gap}in)(?:{gap}[^ \n]+){{0,12}}? ?$", "$1"),
     ]
     return steps + [(gap.join(a.split()) + gap + r"(?:[^ \n]+" + gap + "){1,12}?" + gap.join(b.split()), f"{a} {holder} {b}") for a, holder, b in HOLDERS]
 
