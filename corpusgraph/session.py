@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
-_shipped: dict[str, str] = {}
+_shipped: dict[str, set[str]] = {}
 
 #: Bounds of the Arrow batches that pass between the JVM and Python workers: texts can be long, so few rows go at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
@@ -68,11 +68,12 @@ def ship(spark: SparkSession) -> None:
     for f in files:
         digest.update(f.relative_to(_PACKAGE.parent).as_posix().encode() + f.read_bytes())
     app, version = spark.sparkContext.applicationId, digest.hexdigest()[:16]
-    if _shipped.get(app) == version:
+    sent = _shipped.setdefault(app, set())
+    if version in sent:
         return
     target = os.path.join(tempfile.mkdtemp(), f"corpusgraph-{version}.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for f in files:
             z.write(f, f.relative_to(_PACKAGE.parent).as_posix())
     spark.sparkContext.addPyFile(target)
-    _shipped[app] = version
+    sent.add(version)
