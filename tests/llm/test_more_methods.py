@@ -232,3 +232,17 @@ def test_licences_are_found_at_every_width(sp):
         rows.append((len(rows), text))
     found = {r["doc_id"]: r["licenses"] for r in licenses.scan(sp.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k: (rows[k][1][:80], sorted(v.split())) for k, v in found.items()} == {k: (rows[k][1][:80], sorted(v.split())) for k, v in want.items()}
+
+
+def test_texts_under_one_id_are_documents_of_their_own(sp, tmp_path):
+    import corpus_pipeline
+
+    item = "which of the seven rivers of the north runs backwards in the spring of every leap year"
+    rows = [(1, "the first text of all with words in it", "en", "s", 9), (1, "quite another one that has nothing to do with that", "en", "s", 9), (1, "the first text of all with words in it", "en", "s", 9), (2, "the first text of all with words in it", "en", "s", 9), (3, item, "en", "s", 9), (3, "here is a clean text under a bad number", "en", "s", 9)]
+    for kind in ("long", "string"):
+        docs = sp.createDataFrame([(r[0] if kind == "long" else str(r[0]), *r[1:]) for r in rows], f"doc_id {kind}, text string, lang string, source string, n_chars long")
+        sp.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/{kind}/benchmark.parquet")
+        kept = corpus_pipeline.near_dedup(sp, docs, "")
+        assert sorted(r["text"] for r in kept.collect()) == sorted({r[1] for r in rows}) and kept.columns == docs.columns
+        clean = corpus_pipeline.decontaminate(sp, kept, f"{tmp_path}/{kind}")
+        assert sorted(r["text"] for r in clean.collect()) == sorted({r[1] for r in rows} - {item})
