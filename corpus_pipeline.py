@@ -6,8 +6,8 @@
 4. secret scan: secrets are replaced by a mark in the text; no document goes.
 5. BPE: tokens of the cleaned texts, encoded and decoded, as digests.
 
-All but the last return the columns of ``documents``, whatever further columns there are. ``doc_id`` names a document: rows that
-share it are one, and the row that is kept of them is any. Rows with a null id pass stages 2 and 3 unchanged. Empty tables and
+All but the last return the columns of ``documents``, whatever further columns there are. Rows that share a ``doc_id`` and a text
+are one document, and the row that is kept of them is any; other texts under the same id are documents of their own. Rows with a null id pass stages 2 and 3 unchanged. Empty tables and
 null or empty texts give empty results or are rejected in stage 1.
 """
 
@@ -30,22 +30,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang") != langid.UND).select(*docs.columns)
 
 
+def _named(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(docs with ``_key``, whether a key repeats): the document's id, but a key of its own for each further text under an id.
+
+    Where no id repeats, which is counted first, that is the id and nothing is written.
+    """
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = materialise(repeated, "repeated")
+    if repeated.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id")), False
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    first = docs.join(_small(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(digest).alias("_first"))
+    own = F.xxhash64("doc_id", digest).cast(docs.schema["doc_id"].dataType)
+    named = docs.join(first, "doc_id", "left").withColumn("_key", F.when(F.col("_first") != digest, own).otherwise(F.col("doc_id")))
+    return materialise(named.select(*docs.columns, "_key"), "named"), True
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    classes = dartminhash.near_duplicates(docs)
-    drop = materialise(classes.where("doc_id != class_id").select("doc_id").distinct(), "drop")
-    kept = docs.join(_small(drop), "doc_id", "left_anti").select(*docs.columns)
-    repeated = materialise(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(_small(repeated), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(_small(repeated), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    named, again = _named(docs)
+    drop = materialise(dartminhash.near_duplicates(named, id_col="_key").where("_key != class_id").select("_key").distinct(), "drop")
+    kept = named.join(_small(drop), "_key", "left_anti")
+    if not again:
+        return kept.select(*docs.columns)
+    repeated = materialise(kept.where("_key is not null").groupBy("_key").count().where("count > 1").select("_key"), "again")
+    once = kept.join(_small(repeated), "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.join(_small(repeated), "_key", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    bad = materialise(decontam.contaminated(docs, table(spark, sf_dir, "benchmark")), "leaks")
-    return docs.join(_small(bad), "doc_id", "left_anti").select(*docs.columns)
+    named, _ = _named(docs)
+    bad = materialise(decontam.contaminated(named, table(spark, sf_dir, "benchmark"), id_col="_key"), "leaks")
+    return named.join(_small(bad), "_key", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
