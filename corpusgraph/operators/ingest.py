@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from corpusgraph.functions import vectors as V
 from corpusgraph.operators import chunking, state
 from corpusgraph.operators.structure import outline
+from corpusgraph.session import materialise
 
 CHUNK = "array<struct<chunk:int,start:bigint,text:string,heading_path:string,heading_level:int,section_title:string>>"
 
@@ -237,6 +238,41 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, strategy: str) -> DataFra
     return source.mapInArrow(run, f"_id {kind}, chunks {CHUNK}").select(F.col("_id").alias(id_col), F.explode("chunks").alias("c")).select(id_col, "c.*")
 
 
+def semantic_cached(docs: DataFrame, cache: DataFrame, id_col: str, text_col: str, same: Callable[[str, str], bool] = _never, propose: Callable[[str], str | None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks (id, chunk, text), new rows of the cache): semantic chunks, with boundaries from a table (key, cuts) where it has them.
+
+    The key is a digest of the text. Only texts without a row are asked about, each distinct one once; their boundaries are the new
+    rows, written before use, so that a model is asked once however often the result is read. A text for which it fails has no row.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_key", F.sha2(F.coalesce("_text", F.lit("")), 256))
+    lacking = rows.where(F.length("_text") > 100).groupBy("_key").agg(F.first("_text").alias("_text")).join(cache.select(F.col("key").alias("_key")), "_key", "left_anti")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    found.append((key, semantic_boundaries(text, same, propose)))
+                except Exception:  # a model that fails must not lose the document
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.int32()))], names=["key", "cuts"])
+
+    new = materialise(lacking.mapInArrow(ask, "key string, cuts array<int>"), "boundaries")
+    known = cache.select(F.col("key").alias("_key"), F.col("cuts").cast("array<int>").alias("_cuts")).unionByName(new.select(F.col("key").alias("_key"), F.col("cuts").alias("_cuts")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                blank = not text or not text.strip()
+                out.append([] if blank else [text] if len(text) <= 100 else chunking.split_recursive(text) if cuts is None else chunking.assemble(text, cuts, 100, 1000))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["_id", "chunks"])
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    chunks = rows.join(known, "_key", "left").select("_id", "_text", "_cuts").mapInArrow(cut, f"_id {kind}, chunks array<string>")
+    return chunks.select(F.col("_id").alias(id_col), F.posexplode("chunks").alias("chunk", "text")), new
+
+
 def quality(docs: DataFrame, group: str, text: str, vector: str | None = None) -> DataFrame:
     """(group, n, mean, deviation, shortest, longest, boundary, coherence): sizes of a group's chunks, the share that ends a sentence, and how alike they are.
 

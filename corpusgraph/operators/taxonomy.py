@@ -50,11 +50,11 @@ def parents(overlap: DataFrame, similarity: DataFrame, general: DataFrame, min_t
     return best.select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("similarity").alias("score"), "overlap", "rank")
 
 
-def break_cycles(edges: DataFrame) -> DataFrame:
+def break_cycles(edges: DataFrame, most: int = 20_000) -> DataFrame:
     """(source, target, kind) of edges (source, target, score, overlap): the weakest edge (score, overlap, ends) of each cycle becomes a NEIGHBOR.
 
     Edges that lie on no cycle are set aside first, by taking off ends round by round. What is left is walked on the driver: its
-    size is bounded by the parents of each cluster (two) times the clusters of a scan (10,000).
+    size is bounded by the parents of each cluster (two) times the clusters of a scan (10,000); more than ``most`` edges are an error.
     """
     live = materialise(edges.select("source", "target", "score", "overlap"), "edges")
     n = live.count()
@@ -65,6 +65,8 @@ def break_cycles(edges: DataFrame) -> DataFrame:
         if (left := live.count()) == n:
             break
         n = left
+    if n > most:
+        raise ValueError(f"{n} edges lie on cycles; {most} can be walked")
     weight = {(r["source"], r["target"]): (r["score"], r["overlap"]) for r in live.collect()}
     discard(live)
     lost = []

@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from corpusgraph.functions import tables
 from corpusgraph.functions import vectors as V
-from corpusgraph.operators import delta, vector_index
+from corpusgraph.operators import delta, ingest, minibatch, vector_index
 from corpusgraph.plans import query
 from corpusgraph.session import discard, materialise, shared_dir, ship, table
 from corpusgraph.sources.store import Store, run_batches, take_files
@@ -198,3 +199,36 @@ def similar_vectors(spark, sf_dir):
     ship(spark)
     pairs, members = vector_index.similar_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.4)
     return vector_index.links(pairs, members).withColumnRenamed("key", "vec_id")
+
+
+@query(None)
+def minibatch_clusters(spark, sf_dir):
+    """Ten clusters by mini-batches."""
+    ship(spark)
+    return minibatch.kmeans(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10, batch=128, steps=6, starts=2)
+
+
+@query(None)
+def chunks_by_sql(spark, sf_dir):
+    """Recursive chunks with their places by SQL: the chunker is a table function, joined laterally."""
+    ship(spark)
+    tables.register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("corpusgraph_notes")
+    return spark.sql("SELECT doc_id, c.chunk, c.start, c.text FROM corpusgraph_notes, LATERAL chunks(text, 'recursive') c")
+
+
+@query("""SELECT doc_id, md5(coalesce(text, '')) AS digest, 0::BIGINT AS asked_again FROM documents WHERE length(text) > 100 AND regexp_matches(text, '\\S')""")
+def semantic_chunks_cached(spark, sf_dir):
+    """Semantic chunks twice, the second time by stored boundaries: nothing is asked again, and the chunks are the same."""
+    ship(spark)
+    docs, store = table(spark, sf_dir, "documents"), _store(spark, "boundaries")
+    store.ensure("cache", "key string, cuts array<int>", ["key"])
+    first, new = ingest.semantic_cached(docs, store.read("cache"), "doc_id", "text")
+    change = store.begin()
+    change.insert_absent("cache", new)
+    change.commit()
+    again, more = ingest.semantic_cached(docs, store.read("cache"), "doc_id", "text")
+    both = lambda c, name: c.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "").alias(name))
+    same = both(first, "a").join(both(again, "b"), "doc_id").where("a = b")
+    whole = docs.join(same, "doc_id").where(F.length("text") > 100)
+    return whole.select("doc_id", F.md5("text").alias("digest")).crossJoin(more.agg(F.count("*").alias("asked_again")))

@@ -315,3 +315,95 @@ def test_cleaners_follow_their_rules(sp):
         assert x == re.sub(r"Page\s+\d+", " ", t, flags=re.IGNORECASE).strip()
     bad = ["fÃ¼r", "x�", "itâ€™s", "â€œq", "â€˜q", "â€ alone", "fine", "Ã alone"]
     assert [r["x"] for r in sp.createDataFrame([(k, b) for k, b in enumerate(bad)], "k int, b string").select("k", T.is_mojibake(F.col("b")).alias("x")).orderBy("k").collect()] == [True] * 5 + [False] * 3
+
+
+def test_mini_batches_equal_numpy(sp):
+    from corpusgraph.operators import minibatch
+
+    rng = np.random.default_rng(4)
+    centres = 5 * rng.normal(size=(4, 3))
+    data = [(k, [float(x) for x in centres[k % 4] + rng.normal(size=3)]) for k in range(600)] + [(600, None), (601, [])]
+    df = sp.createDataFrame(data, "i long, v array<double>")
+    got = {r["i"]: (r["cluster"], r["distance2"]) for r in minibatch.kmeans(df, "i", "v", 4, batch=50, steps=5, starts=2, seed=7).collect()}
+    x = np.array([v for _, v in data[:600]])
+
+    def chances(*salt):
+        c = minibatch.chance("i", *salt)
+        return np.array([r[1] for r in df.where("i < 600").select("i", c.alias("c")).orderBy("i").collect()])
+
+    best = None
+    for start in range(2):
+        found = x[[int(np.lexsort((np.arange(600), chances(7, start)))[0])]]
+        for r in range(minibatch.ROUNDS):
+            d = np.round(((x[:, None] - found) ** 2).sum(2), 6).min(1)
+            drawn = x[chances(7, start, r) < 8.0 / d.sum() * d]
+            found = np.unique(np.concatenate([found, drawn]), axis=0)
+        weight = np.bincount(np.round(((x[:, None] - found) ** 2).sum(2), 6).argmin(1), minlength=len(found))
+        chosen = [int(weight.argmax())]
+        while len(chosen) < 4:
+            d = ((found[:, None] - found[chosen]) ** 2).sum(2).min(1)
+            chosen.append(int((d * np.maximum(weight, 1)).argmax()))
+        c, n = found[chosen], np.zeros(4)
+        step = np.floor(chances(7, start, -1) * 12).astype(int)
+        for s in range(5):
+            part = x[step == s]
+            at = np.round(((part[:, None] - c) ** 2).sum(2), 6).argmin(1)
+            for k in range(4):  # one after another
+                for p in part[at == k]:
+                    n[k] += 1
+                    c[k] = c[k] + (p - c[k]) / n[k]
+        d = np.round(((x[:, None] - c) ** 2).sum(2), 6)
+        if best is None or d.min(1).sum() < best[0]:
+            best = d.min(1).sum(), d
+    assert set(got) == set(range(600))
+    assert [got[k][0] for k in range(600)] == best[1].argmin(1).tolist() and np.allclose([got[k][1] for k in range(600)], best[1].min(1), atol=1e-5)
+    assert len({r["cluster"] for r in minibatch.kmeans(df.limit(3), "i", "v", 9, steps=1, starts=1).collect()}) == 3 and minibatch.kmeans(df.limit(0), "i", "v", 2).count() == 0
+    with pytest.raises(ValueError):
+        minibatch.kmeans(df, "i", "v", 0)
+
+
+def test_chunkers_as_table_functions(sp):
+    from corpusgraph.functions import tables
+    from corpusgraph.operators import ingest
+
+    tables.register(sp)
+    notes = [(1, "# A\n" + "one two three. " * 200 + "\n## B\nshort\n"), (2, ""), (3, None), (4, "a plain text. " * 120)]
+    sp.createDataFrame(notes, "id long, text string").createOrReplaceTempView("notes_here")
+    for strategy in ("hybrid", "recursive", "semantic"):
+        sql = sp.sql(f"SELECT id, c.chunk, c.start, c.text, c.heading_path, c.heading_level, c.section_title FROM notes_here, LATERAL chunks(text, '{strategy}') c")
+        frame = ingest.chunk(sp.table("notes_here"), "id", "text", strategy)
+        assert sorted(map(str, sql.collect())) == sorted(map(str, frame.select(*sql.columns).collect())) and sql.count() > 2
+    plain = sp.sql("SELECT c.* FROM notes_here, LATERAL chunks(text, 'plain_recursive') c")
+    assert plain.columns == ["chunk", "text"] and plain.count() > 2
+    found = sp.sql("SELECT substring(text, s.start + 1, s.end - s.start) AS x FROM notes_here, LATERAL sentences(text) s WHERE id = 4").collect()
+    assert len(found) == 120 and {r["x"] for r in found} == {"a plain text."}
+    with pytest.raises(Exception, match="unknown strategy"):
+        sp.sql("SELECT * FROM LATERAL chunks('x', 'nothing')").collect()
+
+
+def test_boundaries_are_asked_for_once(sp, tmp_path):
+    from corpusgraph.operators import ingest
+
+    text = "Cats purr. " * 20 + "Dogs bark. " * 20
+    docs = sp.createDataFrame([(1, text), (2, text), (3, None), (4, "short"), (5, "fails " * 40)], "id long, t string")
+    log = f"{tmp_path}/asked"
+
+    def same(held, sentence):
+        with open(log, "a") as f:
+            f.write("x")
+        return held.split()[0] == sentence.split()[0]
+
+    def propose(t):
+        if t.startswith("fails"):
+            raise RuntimeError("no model")
+
+    none = sp.createDataFrame([], "key string, cuts array<int>")
+    chunks, new = ingest.semantic_cached(docs, none, "id", "t", same, propose)
+    got = {}
+    for r in chunks.orderBy("id", "chunk").collect():
+        got.setdefault(r["id"], []).append(r["text"])
+    assert got[1] == got[2] == [text[:220], text[220:]] and got[4] == ["short"] and 3 not in got and "".join(got[5]).startswith("fails")
+    asked = len(open(log).read())
+    assert new.count() == 1 and 30 < asked < 50  # one of two equal texts, once
+    chunks, more = ingest.semantic_cached(docs, new, "id", "t", same, propose)
+    assert more.count() == 0 and [r["text"] for r in chunks.where("id = 2").orderBy("chunk").collect()] == got[2] and len(open(log).read()) == asked
