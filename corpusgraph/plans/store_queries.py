@@ -7,9 +7,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corpusgraph.functions import tables
+from corpusgraph.functions import config, models, tables
 from corpusgraph.functions import vectors as V
-from corpusgraph.operators import delta, ingest, minibatch, vector_index
+from corpusgraph.operators import delta, experiment, ingest, minibatch, vector_index
 from corpusgraph.plans import query
 from corpusgraph.session import discard, materialise, shared_dir, ship, table
 from corpusgraph.sources.store import Store, run_batches, take_files
@@ -232,3 +232,22 @@ def semantic_chunks_cached(spark, sf_dir):
     same = both(first, "a").join(both(again, "b"), "doc_id").where("a = b")
     whole = docs.join(same, "doc_id").where(F.length("text") > 100)
     return whole.select("doc_id", F.md5("text").alias("digest")).crossJoin(more.agg(F.count("*").alias("asked_again")))
+
+
+@query("""SELECT doc_id, md5(coalesce(md5('Summarize the document in 1-2 lines. Keep it under 300 characters. Return only the summary.' || chr(10) || chr(10) || 'Document:' || chr(10) || substring(text, 1, 4000) || chr(10)) || chr(10) || chr(10), '') || text) AS summarised,
+md5(text) AS late FROM documents WHERE text IS NOT NULL""")
+def augmented_texts(spark, sf_dir):
+    """What is embedded of a chunk under two augmentations; documents are their own chunks, and a digest of the prompt is the model's answer."""
+    docs, text = table(spark, sf_dir, "documents").where("text is not null"), F.col("text")
+    said = lambda kind: models.embed_text(kind, text, text, lambda prompt: F.md5(prompt.cast("binary")))
+    return docs.select("doc_id", F.md5(said("doc_summary")).alias("summarised"), F.md5(said("late")).alias("late"))
+
+
+@query(None)
+def experiment_matrix(spark, sf_dir):
+    """Two runs of an experiment over the documents as notes: recursive and hybrid chunks, five clusters each."""
+    ship(spark)
+    plan = config.run_plan({"PHASE_A_RUNS": "plain,mixed", "PHASE_A_RUN_mixed_CHUNKING_STRATEGY": "hybrid"})
+    notes = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_file"), F.coalesce("text", F.lit("")).alias("text"))
+    out = experiment.matrix(spark, lambda run: _store(spark, f"run-{run}"), notes, plan, n_clusters=5)
+    return out.select("run_name", "chunking_strategy", "file_count", "chunk_count", "cluster_count", "profile_count", "centroid_count")

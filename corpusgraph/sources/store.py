@@ -220,6 +220,10 @@ class Change:
         parts = _parts_of(keys, self.now["tables"][name])
         self._swap(name, parts, self._write(name, self._others(name, parts, keys)))
 
+    def clear(self, name: str) -> None:
+        """All rows go."""
+        self._swap(name, set(range(self.now["tables"][name]["parts"])))
+
     def upsert(self, name: str, rows: DataFrame, order: list[str] = [], update: dict[str, Column] | None = None) -> None:  # noqa: B006
         """One row a key: the last of ``rows`` in their order. Where the key is there already, the columns in ``update`` are worked
         out from ``old.*`` and ``new.*``; other columns become the new ones, and stay where ``rows`` lack them."""

@@ -407,3 +407,24 @@ def test_boundaries_are_asked_for_once(sp, tmp_path):
     assert new.count() == 1 and 30 < asked < 50  # one of two equal texts, once
     chunks, more = ingest.semantic_cached(docs, new, "id", "t", same, propose)
     assert more.count() == 0 and [r["text"] for r in chunks.where("id = 2").orderBy("chunk").collect()] == got[2] and len(open(log).read()) == asked
+
+
+def test_experiment_runs(sp, tmp_path):
+    from corpusgraph.functions import config
+    from corpusgraph.operators import experiment, ingest
+
+    notes = sp.createDataFrame([(f"n{k}", f"# Title {k}\n" + ("cats purr and sleep softly. " if k % 2 else "markets trade bonds daily. ") * 60) for k in range(12)], "source_file string, text string")
+    plan = config.run_plan({"PHASE_A_RUNS": "a,b", "PHASE_A_RUN_b_CHUNKING_STRATEGY": "hybrid", "PHASE_A_RUN_b_CHUNKING_AUGMENTATION": "doc_summary"})
+    stores = {r["run_id"]: Store(sp, f"file://{tmp_path}/{r['run_id']}") for r in plan}
+    got = {r["run_name"]: r for r in experiment.matrix(sp, stores.__getitem__, notes, plan, n_clusters=2, write=lambda p: F.lit("a summary")).collect()}
+    for name, strategy in (("a", "recursive"), ("b", "hybrid")):
+        assert got[name]["chunk_count"] == ingest.chunk(notes, "source_file", "text", strategy).count() and (got[name]["file_count"], got[name]["cluster_count"], got[name]["profile_count"], got[name]["centroid_count"]) == (12, 2, 2, 2)
+        words = {r["cluster_id"]: set(r["keywords"]) for r in stores[name].read("profiles").collect()}
+        assert sorted(("cats" in w, "markets" in w) for w in words.values()) == [(False, True), (True, False)]
+        assert stores[name].read("exports").count() == got[name]["chunk_count"] + 2
+    assert stores["b"].read("chunks").where("embed_text not like 'a summary%'").count() == 0 and stores["a"].read("chunks").where("embed_text != text").count() == 0
+    again = experiment.run(stores["a"], notes, plan[0], steps=("sample", "ingest"), share=0.5)
+    assert 0 < again["file_count"] < 12 and again["profile_count"] == 2
+    assert experiment.run(stores["a"], notes, plan[0], dry_run=True)["file_count"] == again["file_count"]
+    with pytest.raises(ValueError):
+        experiment.run(stores["a"], notes, plan[0], steps=("sing",))
