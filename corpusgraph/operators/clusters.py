@@ -35,7 +35,7 @@ def representatives(vecs: DataFrame, group: str, vector: str, key: str, k: int =
         cents = centroids(vecs, group, vector).select(group, "centroid")
     else:
         cents = known.select(group, "centroid").unionByName(centroids(vecs.join(known.select(group), group, "left_anti"), group, vector).select(group, "centroid"))
-    near = vecs.join(small_side(cents), group)
+    near = vecs.join(small_side(materialise(cents, "centroids")), group)  # worked out once, then counted
     near = near.select(group, key, F.round(1 - V.cosine(V.as_double(F.col(vector)), F.col("centroid")), 6).alias("distance"))
     return top_per_group(near, [group], [F.col("distance"), F.col(key)], k, [key])
 
@@ -48,6 +48,7 @@ def assign(vecs: DataFrame, cents: DataFrame, key: str, vector: str) -> DataFram
         one = block.agg(F.collect_list(F.struct("cluster", "centroid")).alias("cents"))
         return vecs.crossJoin(F.broadcast(one)).select(key, vector, F.array_min(F.transform("cents", lambda c: F.struct(F.round(square(c), 6).alias("distance2"), c["cluster"].alias("cluster")))).alias("best"))
 
+    cents = cents if "_written_to" in cents.__dict__ else materialise(cents, "centroids")  # worked out once, then counted
     best = by_blocks(cents, "cluster", nearest)
     if cents.count() > BLOCK:
         best = best.groupBy(key).agg(F.min("best").alias("best"), F.first(vector).alias(vector))

@@ -29,7 +29,7 @@ TABLES = {
 }
 
 
-def hashed_words(text: Column, size: int = 32) -> Column:
+def hashed_words(text: Column, size: int = 16) -> Column:
     """Counts of words by a hash of them, of unit length: a stand-in for an embedding service, as a column expression."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     at = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
@@ -51,7 +51,7 @@ def run(
         raise ValueError(f"unknown step {wrong[0]}; known are {', '.join(STEPS)}")
     began = clock()
     for name, (schema, key) in TABLES.items():
-        store.ensure(name, schema, key, 16)
+        store.ensure(name, schema, key, 4)
     work = {"sample": _sample, "ingest": _ingest, "cluster": _cluster, "profile": _profile, "export": _export}
     for s in [] if dry_run else [s.strip().lower() for s in steps]:
         change = store.begin()
@@ -87,7 +87,7 @@ def _ingest(change, settings, embed, write, **_) -> None:
 
 def _cluster(change, n_clusters, **_) -> None:
     chunks = change.read("chunks").select("chunk_id", "embedding")
-    found = materialise(minibatch.kmeans(chunks, "chunk_id", "embedding", n_clusters, steps=10, starts=1), "found")
+    found = materialise(minibatch.kmeans(chunks, "chunk_id", "embedding", n_clusters, steps=4, starts=1), "found")
     _whole(change, "members", found.select("chunk_id", F.col("cluster").alias("cluster_id"), F.col("distance2").alias("distance")))
     placed = chunks.join(found.select("chunk_id", F.col("cluster").alias("cluster_id")), "chunk_id")
     _whole(change, "centroids", clusters.centroids(placed, "cluster_id", "embedding").select("cluster_id", "centroid", "size"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corpusgraph.functions import vectors as V
 from corpusgraph.session import discard, materialise
 
-ROUNDS = 5
+ROUNDS = 3
 
 
 def chance(key: Column | str, *salt: int) -> Column:

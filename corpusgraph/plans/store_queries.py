@@ -205,7 +205,7 @@ def similar_vectors(spark, sf_dir):
 def minibatch_clusters(spark, sf_dir):
     """Ten clusters by mini-batches."""
     ship(spark)
-    return minibatch.kmeans(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10, batch=128, steps=6, starts=2)
+    return minibatch.kmeans(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10, batch=128, steps=4, starts=2)
 
 
 @query(None)
