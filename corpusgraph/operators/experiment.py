@@ -9,11 +9,14 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from corpusgraph.functions import config, models
-from corpusgraph.operators import clusters, ingest, minibatch, retrieval
+from corpusgraph.operators import chunking, clusters, ingest, minibatch, retrieval
 from corpusgraph.session import discard, materialise
 from corpusgraph.sources.store import Store
 
@@ -29,13 +32,14 @@ TABLES = {
 }
 
 
-def hashed_words(text: Column, size: int = 16) -> Column:
-    """Counts of words by a hash of them, of unit length: a stand-in for an embedding service, as a column expression."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    at = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(at, lambda x: x == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+def _vectors(texts: pd.Series) -> pd.Series:
+    x = chunking._sentence_vectors(texts.fillna("").tolist(), 32)
+    norm = np.sqrt((x * x).sum(1))
+    return pd.Series(list(x / np.where(norm == 0, 1, norm)[:, None]), index=texts.index, dtype=object)
+
+
+#: Counts of words by a hash of them, of unit length: a stand-in for an embedding service.
+hashed_words = F.pandas_udf(_vectors, ArrayType(DoubleType()))
 
 
 def run(

@@ -78,5 +78,5 @@ def update_direct(projects: DataFrame, changes: DataFrame, key: str, at: Column)
     has = lambda c: F.coalesce(F.map_contains_key("_m", F.lit(c)), F.lit(False))
     new = {c: F.when(has(c), F.col("_m")[c].cast(projects.schema[c].dataType)).otherwise(F.col(c)) for c in fields}
     new["updated_at"] = F.when(F.col("_m").isNotNull(), at).otherwise(F.col("updated_at"))
-    audit = _audit(both.where("_m is not null"), F.lit(None), "direct_update", None, F.lit(None), F.to_json(F.col("_m")), "telegram_user").withColumn("changes", F.col("changes"))
+    audit = _audit(both.where("_m is not null"), F.lit(None), "direct_update", None, F.lit(None), F.to_json(F.col("_m")), "telegram_user")
     return both.withColumns(new).select(*projects.columns), audit

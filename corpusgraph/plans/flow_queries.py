@@ -106,14 +106,14 @@ def commit_complete_files(spark, sf_dir):
     return out
 
 
-@query("""SELECT conv_id, pos, turn FROM (SELECT c.conv_id, c.pos, s.turn, row_number() OVER (PARTITION BY c.conv_id, c.pos ORDER BY s.start DESC) AS k FROM (SELECT conv_id, unnest(range(0, total, 250)) AS pos FROM (SELECT conv_id, sum(length(text) + length('## ' || turn) + 2)::BIGINT AS total FROM conversations GROUP BY conv_id)) c
-JOIN (SELECT conv_id, turn, coalesce(sum(length(text) + length('## ' || turn) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM conversations) s ON s.conv_id = c.conv_id AND s.start <= c.pos) WHERE k = 1""")
+@query("""SELECT conv_id, pos, turn FROM (SELECT c.conv_id, c.pos, s.turn, row_number() OVER (PARTITION BY c.conv_id, c.pos ORDER BY s.start DESC) AS k FROM (SELECT conv_id, unnest(range(0, total, 250)) AS pos FROM (SELECT conv_id, sum(length(text) + length(repeat('#', (1 + turn % 3)::INTEGER) || ' ' || turn) + 2)::BIGINT AS total FROM conversations GROUP BY conv_id)) c
+JOIN (SELECT conv_id, turn, coalesce(sum(length(text) + length(repeat('#', (1 + turn % 3)::INTEGER) || ' ' || turn) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM conversations) s ON s.conv_id = c.conv_id AND s.start <= c.pos) WHERE k = 1""")
 def chunk_heading_deepest(spark, sf_dir):
-    """The heading that holds each place of a note, found by search among the note's headings."""
+    """The heading that holds each place of a note, found by search among the note's headings, of three ranks."""
     import pyarrow as pa
 
     ship(spark)
-    part = F.concat(F.lit("## "), F.col("turn").cast("string"), F.lit("\n"), F.regexp_replace("text", "#", "_"), F.lit("\n"))
+    part = F.concat(F.repeat(F.lit("#"), (1 + F.col("turn") % 3).cast("int")), F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), F.regexp_replace("text", "#", "_"), F.lit("\n"))
     notes = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda s: s["p"]), "").alias("note"))
 
     def place(batches):

@@ -428,3 +428,42 @@ def test_experiment_runs(sp, tmp_path):
     assert experiment.run(stores["a"], notes, plan[0], dry_run=True)["file_count"] == again["file_count"]
     with pytest.raises(ValueError):
         experiment.run(stores["a"], notes, plan[0], steps=("sing",))
+
+
+def test_debounce_by_links_equals_one_pass(sp):
+    from corpusgraph.streaming.debounce import debounce_batch, debounce_linked
+
+    rng = random.Random(3)
+    data = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.randrange(4000) * 1_000_000 + rng.choice((0, 0, 500_000)), k) for k in range(500)]
+    df = sp.createDataFrame(data, "k string, us long, n int").withColumn("t", F.timestamp_micros("us")).withColumn("t", F.when(F.col("n") % 97 != 0, F.col("t")))
+    for seconds in (0.5, 60.0, 900.0, 1e6):
+        want = sorted(map(str, debounce_batch(df, "k", "t", "n", seconds).collect()))
+        assert sorted(map(str, debounce_linked(df, "k", "t", "n", seconds).collect())) == want
+    assert debounce_linked(df.limit(0), "k", "t", "n", 60.0).count() == 0
+
+
+def test_mail_archives_are_split_by_bytes(sp, tmp_path):
+    from corpusgraph.sources import files
+
+    mail = [f"Subject: s{k}\nMessage-ID: <{k}@x>\nFrom: a@b\n\n" + "\n".join(f"line {j} of {k} {'ä' * (j % 5)}" for j in range(k % 9)) + "\n>From the start\n" for k in range(200)]
+    (tmp_path / "in a+b%20").mkdir()
+    (tmp_path / "in a+b%20" / "one.mbox").write_bytes(("".join(f"From x@y Mon\n{m}\n" for m in mail)).encode())
+    (tmp_path / "in a+b%20" / "two.MBOX").write_bytes(b"a line before\n" + b"".join(f"From z\n{m}".encode() for m in mail[:7]))
+    (tmp_path / "in a+b%20" / "three.eml").write_bytes(mail[0].encode())
+    (tmp_path / "in a+b%20" / "four.mbox").write_bytes(b"")
+    seen = []
+    old = {c: sp.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "700b"):
+            sp.conf.set("spark.sql.files.maxPartitionBytes", size)
+            sp.conf.set("spark.sql.files.openCostInBytes", "1b")
+            df = files.mail(sp, str(tmp_path))
+            assert size != "700b" or df.rdd.getNumPartitions() > 20
+            seen.append(sorted(map(tuple, df.collect())))
+    finally:
+        for c, v in old.items():
+            sp.conf.set(c, v)
+    assert seen[0] == seen[1] and len(seen[0]) == 208
+    by = {r[5].rsplit("/", 1)[1]: r for r in seen[0]}
+    assert all(by[f"one.mbox:{k}"][0] == f"s{k}" and by[f"one.mbox:{k}"][3] == f"<{k}@x>" for k in range(200)) and all(by[f"two.MBOX:{k}"][0] == f"s{k}" for k in range(7)) and by["three.eml"][0] == "s0"
+    assert by["one.mbox:8"][4].startswith("line 0 of 8") and {r[5].rsplit("/", 1)[0] for r in seen[0]} == {f"file:{tmp_path}/in a+b%20"}
