@@ -172,7 +172,7 @@ def debounce_events(spark, sf_dir):
     return debounce_batch(table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", 3600.0)
 
 
-@query("""WITH RECURSIVE t AS (SELECT ts, min(event_id) AS event_id FROM events WHERE ts IS NOT NULL GROUP BY ts), n AS (SELECT a.event_id, b.event_id AS next FROM t a ASOF JOIN t b ON a.ts + INTERVAL 1 DAY <= b.ts),
+@query("""WITH RECURSIVE t AS (SELECT ts, min(event_id) AS event_id FROM events WHERE ts IS NOT NULL GROUP BY ts), b AS (SELECT ts AS at_, event_id, 1 AS p FROM t UNION ALL SELECT ts + INTERVAL 1 DAY, event_id, 0 FROM t), n AS (SELECT event_id, next FROM (SELECT p, event_id, first_value(CASE WHEN p = 1 THEN event_id END IGNORE NULLS) OVER (ORDER BY at_, p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next FROM b) WHERE p = 0 AND next IS NOT NULL),
 r AS (SELECT arg_min(event_id, ts) AS event_id FROM t UNION ALL SELECT n.next FROM r JOIN n USING (event_id)) SELECT event_id, ts FROM r JOIN t USING (event_id)""")
 def debounce_one_key(spark, sf_dir):
     """All events are of one key, which is processed once a day at most; followed by links, not in one task."""
