@@ -162,7 +162,7 @@ def near(counted: DataFrame) -> DataFrame:
     one = F.transform(F.concat(side("l", left, right), side("r", right, left)), lambda x: F.struct(x["key"], x["half"], x["side"], F.lit(False).alias("whole")))
     rows = keyed.select("word", "n", F.explode(F.concat(one, F.transform(more, lambda x: F.struct(x["key"], x["half"], x["side"], F.lit(True).alias("whole"))))).alias("x"))
     rows = rows.select("word", "n", "x.*")
-    a, b = rows.alias("a"), rows.alias("b")
+    a, b = rows.alias("a"), rows.hint("merge").alias("b")  # many rows for each word of a table that may look small: never a broadcast
     exchanged = ~F.col("a.whole") & (F.col("a.word") < F.col("b.word")) & (F.length("a.word") == F.length("b.word"))
     added = F.col("a.whole") & (F.length("a.word") + 1 == F.length("b.word"))
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.half") == F.col("b.half")) & (F.col("a.side") == F.col("b.side")) & ~F.col("b.whole") & (exchanged | added))

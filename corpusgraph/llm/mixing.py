@@ -135,7 +135,8 @@ def mix(placed: DataFrame, schedule: DataFrame, block: int = BLOCK) -> DataFrame
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     low = F.greatest(F.col("start"), F.col("block") * block)
     pieces = pieces.select("sid", "block", "id", "start", (low - F.col("block") * block).alias("offset"), (low - F.col("start")).alias("from_word"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - low).alias("n"))
-    met = pieces.join(schedule, ["sid", "block"]).withColumn("n", F.least("n", F.col("words") - F.col("offset"))).where("n > 0")
+    # slots are made from a small table of sources, so their number can't be told from its size: never a broadcast
+    met = pieces.join(schedule.hint("merge"), ["sid", "block"]).withColumn("n", F.least("n", F.col("words") - F.col("offset"))).where("n > 0")
     return met.select("slot", "offset", "sid", "start", "id", "epoch", "from_word", (F.col("from_word") + F.col("n")).alias("to_word"))
 
 
