@@ -60,7 +60,8 @@ def near_sets(sets: DataFrame, least: float) -> DataFrame:
     listed = materialise(listed.withColumn("n", F.size("terms")), "sets")
     rare = listed.select("id", "n", F.explode(F.slice("terms", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))).alias("term"))
     side = lambda k: rare.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), "term")
-    met = side("a").join(side("b"), "term").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    met = side("a").join(side("b").hint("merge"), "term")  # several rows for each set of a table that may look small
+    met = met.where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
     held = lambda k: listed.select(F.col("id").alias(k), F.col("terms").alias(f"t{k}"))
     both = met.join(held("a"), "a").join(held("b"), "b")
     out = materialise(both.where(F.size(F.array_intersect("ta", "tb")) >= least * F.size(F.array_union("ta", "tb")) - 1e-9).select("a", "b"), "near")
