@@ -47,11 +47,12 @@ def debounce_linked(events: DataFrame, key: str, at: str, order: str, seconds: f
     own = e.select("k", slab(F.col("_us")).alias("slab"), F.col("_us").alias("us"), F.lit(1).alias("kind"), F.col("_rank").alias("event"), F.lit(None).cast("long").alias("probe"))
     probes = e.select("k", (slab(F.col("_us")) + 1).alias("slab"), (F.col("_us") + wait).alias("us"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("event"), F.col("_rank").alias("probe"))
     both = own.unionByName(probes)
-    ahead = Window.partitionBy("k", "slab").orderBy("us", "kind", "event", "probe").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    near = both.withColumn("next", F.first("event", ignorenulls=True).over(ahead)).where("kind = 0").select("k", "slab", "probe", "next")
+    # from the last row backwards: a frame that begins at the current row is read anew for each row, which is quadratic
+    ahead = Window.partitionBy("k", "slab").orderBy(*[F.desc(c) for c in ("us", "kind", "event", "probe")]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("next", F.last("event", ignorenulls=True).over(ahead)).where("kind = 0").select("k", "slab", "probe", "next")
     # stretches of a key, in order: one row each, however many events they hold
-    later = Window.partitionBy("k").orderBy("slab").rowsBetween(1, Window.unboundedFollowing)
-    first = both.groupBy("k", "slab").agg(F.min("event").alias("first")).withColumn("after", F.first("first", ignorenulls=True).over(later))
+    later = Window.partitionBy("k").orderBy(F.desc("slab")).rowsBetween(Window.unboundedPreceding, -1)
+    first = both.groupBy("k", "slab").agg(F.min("event").alias("first")).withColumn("after", F.last("first", ignorenulls=True).over(later))
     links = near.join(first.select("k", "slab", "after"), ["k", "slab"]).select(F.col("probe").alias("a"), F.coalesce("next", "after").alias("b")).where("b is not null")
     jump, reached = materialise(links, "links"), materialise(e.groupBy("k").agg(F.min("_rank").alias("r")).select("r"), "reached")
     while not jump.isEmpty():
