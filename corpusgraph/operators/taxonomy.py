@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.operators.components import components
 from corpusgraph.operators.ranking import top_per_group
 from corpusgraph.operators.search import small_side
 from corpusgraph.session import discard, materialise
@@ -50,33 +54,80 @@ def parents(overlap: DataFrame, similarity: DataFrame, general: DataFrame, min_t
     return best.select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("similarity").alias("score"), "overlap", "rank")
 
 
-def break_cycles(edges: DataFrame, most: int = 20_000) -> DataFrame:
+def break_cycles(edges: DataFrame) -> DataFrame:
     """(source, target, kind) of edges (source, target, score, overlap): the weakest edge (score, overlap, ends) of each cycle becomes a NEIGHBOR.
 
-    Edges that lie on no cycle are set aside first, by taking off ends round by round. What is left is walked on the driver: its
-    size is bounded by the parents of each cluster (two) times the clusters of a scan (10,000); more than ``most`` edges are an error.
+    Cycles of different components don't meet. Where each node of a component points to one other, there is one ring, which is
+    found by doubling links, however long it is. Other components are walked, each in one task: which cycle is next depends on
+    the edges that went before.
+    """
+    known = edges.where("source is not null and target is not null").groupBy("source", "target").agg(F.max(F.struct("score", "overlap")).alias("w")).select("source", "target", "w.*")
+    known = materialise(known, "edges")
+    several = materialise(known.groupBy("source").agg(F.count("*").alias("n")).where("n > 1").select("source"), "several")
+    if several.isEmpty():
+        lost = _weakest_of_rings(known)
+    else:
+        roots = components(known.select(F.col("source").alias("a"), F.col("target").alias("b")))
+        placed = materialise(known.join(roots.withColumnRenamed("node", "source"), "source", "left").withColumn("root", F.coalesce("root", "source")), "placed")
+        hard = materialise(placed.join(several, "source", "left_semi").select("root").distinct(), "hard")
+        kind = edges.schema["source"].dataType.simpleString()
+
+        def walk(part: pd.DataFrame) -> pd.DataFrame:
+            found = _walked({(s, t): w for s, t, *w in zip(*(part[c].tolist() for c in ("source", "target", "score", "overlap")), strict=True)})
+            return pd.DataFrame(found, columns=["source", "target"])
+
+        walked = placed.join(hard, "root", "left_semi").groupBy("root").applyInPandas(walk, f"source {kind}, target {kind}")
+        lost = materialise(_weakest_of_rings(placed.join(hard, "root", "left_anti").select(*known.columns)).unionByName(walked), "lost")
+        discard(roots, placed, hard)
+    discard(known, several)
+    return edges.join(lost.withColumn("_lost", F.lit(True)), ["source", "target"], "left").select("source", "target", F.when(F.col("_lost"), "NEIGHBOR").otherwise("PARENT_OF").alias("kind"))
+
+
+def _weakest_of_rings(edges: DataFrame) -> DataFrame:
+    """(source, target) of the weakest edge of each ring, as a written table; each source has one edge.
+
+    Each node knows the node 1, 2, 4, ... steps ahead and the smallest on the way there. Once the steps are as many as the nodes that
+    still have one ahead, what lies ahead are the nodes of rings, and the smallest of a round names the ring.
     """
-    live = materialise(edges.select("source", "target", "score", "overlap"), "edges")
-    n = live.count()
-    while n:
-        inner = live.join(live.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(live.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        done, live = live, materialise(inner.select("source", "target", "score", "overlap"), "edges")
+    jump = materialise(edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.least("source", "target").alias("low")), "jump")
+    steps = 1
+    while steps < jump.count():
+        far = jump.alias("x").join(jump.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b", F.least("x.low", "y.low").alias("low"))
+        done, jump = jump, materialise(far, "jump")
         discard(done)
-        if (left := live.count()) == n:
-            break
-        n = left
-    if n > most:
-        raise ValueError(f"{n} edges lie on cycles; {most} can be walked")
-    weight = {(r["source"], r["target"]): (r["score"], r["overlap"]) for r in live.collect()}
-    discard(live)
+        steps *= 2
+    rings = jump.join(jump.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("source"), "low")
+    best = edges.join(rings, "source").groupBy("low").agg(F.min(F.struct("score", "overlap", "source", "target")).alias("x"))
+    out = materialise(best.select("x.source", "x.target"), "lost")
+    discard(jump)
+    return out
+
+
+def _walked(weight: dict) -> list[tuple]:
+    """The edges that go, of one component: the weakest of the first cycle, until there is none. What lies on no cycle is taken off first."""
+    after, before = defaultdict(set), defaultdict(set)
+    for s, t in weight:
+        after[s].add(t)
+        before[t].add(s)
+    ends = [k for k in {*after, *before} if not after[k] or not before[k]]
+    while ends:
+        k = ends.pop()
+        for t in after.pop(k, ()):
+            weight.pop((k, t), None)
+            before[t].discard(k)
+            if not before[t] and t in after:
+                ends.append(t)
+        for s in before.pop(k, ()):
+            weight.pop((s, k), None)
+            after[s].discard(k)
+            if not after[s] and s in before:
+                ends.append(s)
     lost = []
     while ring := _ring(weight):
         weakest = min(ring, key=lambda e: (*weight[e], e))
         lost.append(weakest)
         del weight[weakest]
-    kind = edges.schema["source"].dataType.simpleString()
-    demoted = edges.sparkSession.createDataFrame(lost, f"source {kind}, target {kind}").withColumn("_lost", F.lit(True))
-    return edges.join(F.broadcast(demoted), ["source", "target"], "left").select("source", "target", F.when(F.col("_lost"), "NEIGHBOR").otherwise("PARENT_OF").alias("kind"))
+    return lost
 
 
 def _ring(edges: dict) -> list[tuple] | None:

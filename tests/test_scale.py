@@ -13,3 +13,17 @@ def test_linked_debounce_of_one_crowded_stretch(spark):
     got = sorted(r["i"] for r in debounce_linked(events, "k", "t", "i", 3600.0).collect())
     assert got == [0, 36_000]
     assert time.time() - began < 90  # a frame read anew for each row took far longer
+
+
+def test_long_rings_and_branching_components(spark):
+    from corpusgraph.operators import taxonomy
+
+    n = 30_000
+    ring = spark.range(n).select("id", ((F.col("id") + 1) % n).alias("to"))
+    tail = spark.range(n, n + 50).select("id", (F.col("id") + 1 - 51).alias("to"))
+    fork = spark.createDataFrame([(n + 100, n + 101), (n + 101, n + 100), (n + 101, n + 102), (n + 102, n + 101), (n + 200, n + 200)], "id long, to long")
+    rows = lambda e: e.select(F.col("id").alias("source"), F.col("to").alias("target"), ((F.col("id") * 37 % 101) / 100).alias("score"), F.lit(0.5).alias("overlap"))
+    lost = lambda e: sorted((r["source"], r["target"]) for r in taxonomy.break_cycles(rows(e)).where("kind = 'NEIGHBOR'").collect())
+    assert lost(ring.unionByName(tail)) == [(0, 1)]
+    weak = lambda a, b: min([(a, b), (b, a)], key=lambda e: (e[0] * 37 % 101, e))
+    assert lost(ring.unionByName(tail).unionByName(fork)) == [(0, 1), *sorted([weak(n + 100, n + 101), weak(n + 101, n + 102), (n + 200, n + 200)])]
