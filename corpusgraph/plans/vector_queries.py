@@ -169,14 +169,14 @@ round(CASE WHEN max(n_rel) = 0 THEN 0.0 ELSE coalesce(sum(CASE WHEN rel THEN 1 /
 def retrieval_recall_ndcg_mrr(spark, sf_dir):
     """Relevant: the other members of the query's cluster."""
     vecs = table(spark, sf_dir, "embeddings")
-    found = search.scored(vecs, _asked(vecs, F.col("label").alias("own")), "vec_id", "embedding", [(F.col("own") == F.col("label")).alias("rel")])
-    return retrieval.measures(found, "query_id", "vec_id", "distance", "rel", 5).select("query_id", F.col("recall").alias("recall5"), F.col("ndcg").alias("ndcg5"), "rr")
+    found = retrieval.searched(vecs, _asked(vecs, F.col("label").alias("own")), "vec_id", "embedding", "label", 5)
+    return found.select("query_id", F.col("recall").alias("recall5"), F.col("ndcg").alias("ndcg5"), "rr")
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS cached_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings c ON c.vec_id % 2 = 0 WHERE q.vec_id % 2 = 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, cached_id) AS rn FROM s) SELECT query_id, cached_id, similarity, similarity >= 0.95 AS hit FROM k WHERE rn = 1""")
 def semantic_cache_lookup(spark, sf_dir):
-    """Odd ids ask, all even ids are the cache, which is searched in blocks."""
+    """Odd ids ask, all even ids are the cache; questions go in blocks."""
     vecs = table(spark, sf_dir, "embeddings")
     cache = vecs.where("vec_id % 2 = 0").select(F.col("vec_id").alias("cached_id"), V.as_double(F.col("embedding")).alias("c"))
     asked = vecs.where("vec_id % 2 = 1").select(F.col("vec_id").alias("query_id"), V.as_double(F.col("embedding")).alias("q"))

@@ -27,3 +27,66 @@ def test_long_rings_and_branching_components(spark):
     assert lost(ring.unionByName(tail)) == [(0, 1)]
     weak = lambda a, b: min([(a, b), (b, a)], key=lambda e: (e[0] * 37 % 101, e))
     assert lost(ring.unionByName(tail).unionByName(fork)) == [(0, 1), *sorted([weak(n + 100, n + 101), weak(n + 101, n + 102), (n + 200, n + 200)])]
+
+
+def _vectors(n, seed=0, d=8):
+    """Rows with copies, near ties, vectors without a direction and a repeated key."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d)).round(2)
+    x[: n // 3] = x[0]
+    x[n // 3 : n // 2] = x[n // 3] * rng.integers(1, 4, size=(n // 2 - n // 3, 1))
+    rows = [(int(i), [float(v) for v in r], int(i * 7 % 5)) for i, r in enumerate(x)]
+    rows[n - 1], rows[n - 2], rows[n - 3] = (n - 1, None, 1), (n - 2, [0.0] * d, 2), (n - 3, [], None)
+    return [*rows, (7, [1.0] * d, 99)]
+
+
+def _distance(a, b):
+    import numpy as np
+
+    a, b = np.array(a or [0.0]), np.array(b or [0.0])
+    s = np.sqrt((a * a).sum() * (b * b).sum())
+    return round(1 - float(a @ b / s), 6) + 0.0 if s else 1.0
+
+
+def test_products_equal_brute_force(spark):
+    from corpusgraph.operators import search
+
+    rows = _vectors(120)
+    table = spark.createDataFrame(rows, "i long, v array<double>, own int")
+    asked = [r for r in rows[:-1] if r[0] % 4 == 0 or r[0] > 116]
+    queries = spark.createDataFrame(asked, "query_id long, q array<double>, own int")
+    for k, own, itself in ((1, None, True), (3, None, False), (40, None, False), (2, "own", False)):
+        got = sorted(tuple(r) for r in search.nearest(table, queries, "i", "v", k, own, itself).collect())
+        want = []
+        for q, v, o in asked:
+            near = sorted((_distance(v, w), i) for i, w, p in rows if (itself or i != q) and (not own or (o is not None and o == p)))
+            want += [(q, n + 1, i, d) for n, (d, i) in enumerate(near[:k])]
+        assert got == sorted(want)
+    some = [r for r in rows[:-1]]
+    got = {r["i"]: (r["class"], r["links"]) for r in search.alike(spark.createDataFrame(some, table.schema), "i", "v", 0.5).collect()}
+    for i, v, _ in some:
+        bare = not v or not any(v)
+        assert got[i] == (i if bare else min(j for j, w, _ in some if w == v), 0 if bare else sum(j != i and _distance(v, w) <= 0.5 for j, w, _ in some))
+
+
+def test_measures_of_a_search_equal_those_of_all_rows(spark):
+    from corpusgraph.operators import retrieval
+
+    rows = _vectors(90, 1)[:-1]
+    asked = [r for r in rows if r[0] % 3 == 0]
+    table = spark.createDataFrame(rows, "i long, v array<double>, label int")
+    queries = spark.createDataFrame(asked, "query_id long, q array<double>, own int")
+    found = spark.createDataFrame([(q, i, _distance(v, w), o is not None and o == p) for q, v, o in asked for i, w, p in rows if i != q], "query_id long, i long, distance double, rel boolean")
+    want = sorted(tuple(r) for r in retrieval.measures(found, "query_id", "i", "distance", "rel", 2).collect())
+    assert sorted(tuple(r) for r in retrieval.searched(table, queries, "i", "v", "label", 2, look=2).collect()) == want
+
+
+def test_a_large_cache_is_searched_in_time(spark):
+    from corpusgraph.operators import retrieval
+
+    vecs = spark.range(24_000).select("id", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.sin(F.col("id") * (k + 1) * 0.37)).alias("v")).repartition(1)
+    began = time.time()
+    got = retrieval.cache_lookup(vecs.where("id % 2 = 1"), vecs.where("id % 2 = 0").select(F.col("id").alias("cached_id"), F.col("v").alias("c")), "id", "v").count()
+    assert got == 12_000 and time.time() - began < 60  # one task of row-by-row products took far longer
