@@ -133,8 +133,7 @@ def strategy_retrieval(spark, sf_dir):
     for name, x in (("full", F.col("embedding")), ("half", F.slice("embedding", F.lit(1), F.expr("size(embedding) div 2")))):
         cut = vecs.select("vec_id", "label", x.alias("x"))
         asked = cut.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), V.as_double(F.col("x")).alias("q"), F.col("label").alias("own"))
-        found = search.scored(cut, asked, "vec_id", "x", [(F.col("own") == F.col("label")).alias("rel")])
-        means = retrieval.measures(found, "query_id", "vec_id", "distance", "rel", 5).agg(F.round(F.avg("recall"), 5).alias("recall5"), F.round(F.avg("ndcg"), 5).alias("ndcg5"))
+        means = retrieval.searched(cut, asked, "vec_id", "x", "label", 5).agg(F.round(F.avg("recall"), 5).alias("recall5"), F.round(F.avg("ndcg"), 5).alias("ndcg5"))
         out.append(means.crossJoin(clusters.pairwise_cosine(cut, "x").select(F.round("mean", 5).alias("coherence"))).select(F.lit(name).alias("strategy"), "recall5", "ndcg5", "coherence"))
     return out[0].unionByName(out[1]).crossJoin(ends)
 
