@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,6 +69,11 @@ def note(row: dict[str, Column]) -> Column:
     )
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` where the value is worked out once, however often it is used: inside functions on arrays Spark shares nothing."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse(text: Column) -> Column:
     """A note's front matter as a map of texts: scalars without their quotes, items of lists joined by line breaks, null for null."""
     head = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
@@ -75,19 +82,21 @@ def parse(text: Column) -> Column:
     lines = F.filter(F.split(joined, "\n"), lambda x: x.rlike(r"(?s)^[A-Za-z_]\w*:(?: |\x01|$)"))
 
     def scalar(v: Column) -> Column:
-        s = F.trim(v)
-        single, double = s.rlike(r"^'.*'$") & (F.length(s) > 1), s.rlike(r'^".*"$') & (F.length(s) > 1)
-        inner = F.substring(s, F.lit(2), F.length(s) - 2)
-        return F.when(single, F.replace(inner, F.lit("''"), F.lit("'"))).when(double, inner).when(s.isin("null", "~", "", "[]"), F.lit(None)).otherwise(s)
+        def bare(s: Column) -> Column:
+            single, double = s.rlike(r"^'.*'$") & (F.length(s) > 1), s.rlike(r'^".*"$') & (F.length(s) > 1)
+            inner = F.substring(s, F.lit(2), F.length(s) - 2)
+            return F.when(single, F.replace(inner, F.lit("''"), F.lit("'"))).when(double, inner).when(s.isin("null", "~", "", "[]"), F.lit(None)).otherwise(s)
+
+        return once(F.trim(v), bare)
 
-    def value(line: Column) -> Column:
-        rest = F.regexp_replace(line, r"(?s)^\w+:", "")
+    def value(rest: Column) -> Column:
         items = F.slice(F.split(rest, "\u0001"), 2, 1 << 20)
         return F.when(F.contains(rest, F.lit("\u0001")), F.array_join(F.transform(items, scalar), "\n")).otherwise(scalar(rest))
 
-    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^(\w+):", 1).alias("key"), value(x).alias("value")))
-    first = F.filter(pairs, lambda e, k: ~F.exists(F.slice(pairs, 1, k), lambda p: p["key"] == e["key"]))
-    return F.map_from_entries(first)
+    # a key is what stands before the first colon
+    pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, ":", 1).alias("key"), once(F.regexp_replace(x, r"(?s)^\w+:", ""), value).alias("value")))
+    first = lambda p: once(p["key"], lambda keys: F.filter(p, lambda e, k: F.array_position(keys, e["key"]) == k + 1))
+    return once(pairs, lambda p: F.map_from_entries(first(p)))
 
 
 def with_tags(text: Column, tags: Column) -> Column:

@@ -11,7 +11,7 @@ from corpusgraph.functions import vectors as V
 from corpusgraph.operators import clusters, detect, gatekeeper, governance, ingest, outbox, retrieval, search, state, taxonomy, workflow
 from corpusgraph.plans import query
 from corpusgraph.plans.vector_queries import _DIMS, _asked
-from corpusgraph.session import ship, table
+from corpusgraph.session import dealt, ship, table
 from corpusgraph.streaming import loops
 
 
@@ -595,8 +595,10 @@ def project_notes_read(spark, sf_dir):
     """Notes are written and read back: lists, quoted texts, times and missing fields."""
     from corpusgraph.functions import notes as N
 
-    m = P.parse(P.note(_project(F.col("c_custkey"))))
-    return table(spark, sf_dir, "customer").select("c_custkey", m["title"].alias("title"), F.coalesce(m["importance"].cast("int"), F.lit(-1)).alias("importance"), F.replace(m["cluster_ids"], F.lit("\n"), F.lit(",")).alias("members"), N.instant(m["deadline"]).cast("timestamp_ntz").alias("deadline"))
+    m = F.col("m")
+    rows = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+    read = rows.select("c_custkey", P.parse(P.note(_project(F.col("c_custkey")))).alias("m"))
+    return read.select("c_custkey", m["title"].alias("title"), F.coalesce(m["importance"].cast("int"), F.lit(-1)).alias("importance"), F.replace(m["cluster_ids"], F.lit("\n"), F.lit(",")).alias("members"), N.instant(m["deadline"]).cast("timestamp_ntz").alias("deadline"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'unreadable' WHEN c_custkey % 3 = 0 THEN 'conflict' ELSE 'updated' END AS outcome, CASE WHEN c_custkey % 3 != 0 AND c_custkey % 4 != 0 THEN (c_custkey % 5 + 1)::INTEGER ELSE 1 END AS importance FROM customer""")

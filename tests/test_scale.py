@@ -90,3 +90,17 @@ def test_a_large_cache_is_searched_in_time(spark):
     began = time.time()
     got = retrieval.cache_lookup(vecs.where("id % 2 = 1"), vecs.where("id % 2 = 0").select(F.col("id").alias("cached_id"), F.col("v").alias("c")), "id", "v").count()
     assert got == 12_000 and time.time() - began < 60  # one task of row-by-row products took far longer
+
+
+def test_notes_are_parsed_once(spark):
+    from corpusgraph.functions import projects
+
+    text = "---\nid: 1\nid: 2\ntitle: 'it''s'\nlist:\n- a\n- 'b: c'\nnone: null\nempty: []\nlast: \"x\"\n---\nbody"
+    got = spark.createDataFrame([(text,), (None,), ("no",)], "t string").select(projects.parse(F.col("t")).alias("m")).collect()
+    assert got[0]["m"] == {"id": "1", "title": "it's", "list": "a\nb: c", "none": None, "empty": None, "last": "x"}
+    assert got[1]["m"] is None and got[2]["m"] == {}
+    many = "---\n" + "\n".join(f"k{k}: v{k}" for k in range(150)) + "\n---\n"
+    began = time.time()
+    rows = spark.range(2000).select(F.concat(F.lit(many), F.col("id").cast("string")).alias("t"))
+    assert rows.select(F.sum(F.size(projects.parse(F.col("t"))))).first()[0] == 2000 * 150
+    assert time.time() - began < 30  # keys compared with keys that are worked out again each time took far longer
