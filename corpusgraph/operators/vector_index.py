@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import vectors as V
+from corpusgraph.operators import search
 from corpusgraph.operators.ranking import top_per_group
 from corpusgraph.session import discard, materialise
 
@@ -217,6 +218,38 @@ def within(index: Index, queries: DataFrame, query: str, vector: str, least: flo
     return _compare(_needs(asked, index, F.lit(bound)), index, None, least).select(F.col("query").alias("query_id"), "key", "distance")
 
 
+def best_within(index: Index, queries: DataFrame, query: str, vector: str, least: float) -> DataFrame:
+    """(query_id, key, distance): the nearest row of each query, if its similarity is ``least`` (above 0) or more; ties to the smaller key.
+
+    Queries travel in blocks and rows stay in their lists, so nothing is dealt by list: a task meets the rows of a list with those queries
+    of a block that the list may hold something for, and one row a query leaves it. Keys and query ids are whole numbers.
+    """
+    if least <= 0:
+        raise ValueError("least must be above 0")
+    turn, none = math.acos(max(-1.0, least - ROUNDED)), np.iinfo(np.int64).max
+    radius = {r["list"]: r["radius"] for r in index.lists.select("list", "radius").collect()}  # one row a list
+    pivots = queries.sparkSession.sparkContext.broadcast(index.pivots)
+    asked = materialise(queries.select(F.col(query).cast("long").alias("code"), V.as_double(F.col(vector)).alias("v")), "asked")
+
+    def run(q: dict, tiles: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        best, p = search.Best(q["v"], None, 1), pivots.value
+        best.far[:], best.key[:] = round(1 - least, 6), none
+        for t in tiles:
+            lists, x, keys = t["list"].to_numpy(), search.units(t["unit"]), t["key"].to_numpy()
+            for k in np.unique(lists[lists != NOWHERE]):
+                here, x1 = lists == k, search.same_width(best.q, p.shape[1])
+                some = np.flatnonzero(_angles(x1 @ p[k]) - radius[int(k)] <= turn + MARGIN)
+                best.add(x[here], keys[here], some=some)
+        r, near, far = best.found()
+        r, near, far = r[near != none], near[near != none], far[near != none]
+        for j in range(0, len(r), 1 << 16):
+            at = slice(j, j + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(q["code"][r[at]]), pa.array(near[at]), pa.array(far[at])], names=["query_id", "key", "distance"])
+
+    found = search.by_products(index.rows.select("list", F.col("key").cast("long").alias("key"), "unit"), asked, run, "query_id long, key long, distance double", deal=False)
+    return found.groupBy("query_id").agg(F.min(F.struct("distance", "key")).alias("x")).select("query_id", "x.key", "x.distance")
+
+
 def read_share(index: Index, queries: DataFrame, query: str, vector: str, least: float) -> DataFrame:
     """One row: how many (query, row) pairs ``within`` looks at, of all of them."""
     needs = _needs(_asked(queries, index, query, vector), index, F.lit(math.acos(max(-1.0, least - ROUNDED))))

@@ -116,3 +116,15 @@ def test_keywords_of_a_group_with_ties_and_without_a_name(spark):
     # words are never aggregated by a sort but for the few that may be among the first
     many = spark.range(200).select(F.lit("g").alias("g"), F.col("id").alias("i"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda k: F.concat(F.lit("word"), (k % 7).cast("string")))).alias("t"))
     assert [r["n"] for r in retrieval.keywords(many, "g", "i", "t", 2).orderBy("rank").collect()] == [200 * 29, 200 * 29]
+
+
+def test_best_rows_of_an_index_equal_brute_force(spark):
+    from corpusgraph.operators import vector_index
+
+    rows = _vectors(150, 2)
+    index = vector_index.build(spark.createDataFrame(rows, "i long, v array<double>, own int"), "i", "v", lists=6)
+    asked = [(1000 + i, v) for i, v, _ in rows[::2]]
+    for least in (0.3, 0.9, 1.0):
+        got = sorted(tuple(r) for r in vector_index.best_within(index, spark.createDataFrame(asked, "q long, v array<double>"), "q", "v", least).collect())
+        best = [(q, *min((_distance(v, w), i) for i, w, _ in rows)[::-1]) for q, v in asked]
+        assert got == sorted(b for b in best if b[2] <= round(1 - least, 6))
