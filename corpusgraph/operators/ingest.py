@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from corpusgraph.functions import vectors as V
 from corpusgraph.operators import chunking, state
 from corpusgraph.operators.structure import outline
-from corpusgraph.session import materialise
+from corpusgraph.session import discard, materialise
 
 CHUNK = "array<struct<chunk:int,start:bigint,text:string,heading_path:string,heading_level:int,section_title:string>>"
 
@@ -245,7 +245,11 @@ def semantic_cached(docs: DataFrame, cache: DataFrame, id_col: str, text_col: st
     rows, written before use, so that a model is asked once however often the result is read. A text for which it fails has no row.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_key", F.sha2(F.coalesce("_text", F.lit("")), 256))
-    lacking = rows.where(F.length("_text") > 100).groupBy("_key").agg(F.first("_text").alias("_text")).join(cache.select(F.col("key").alias("_key")), "_key", "left_anti")
+    # keys first, so that texts go nowhere if the table has them all
+    asked = rows.where(F.length("_text") > 100)
+    keys = materialise(asked.select("_key").distinct().join(cache.select(F.col("key").alias("_key")), "_key", "left_anti"), "keys")
+    none = keys.isEmpty()
+    lacking = asked.limit(0).select("_key", "_text") if none else asked.groupBy("_key").agg(F.first("_text").alias("_text")).join(keys, "_key", "left_semi")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,6 +262,7 @@ def semantic_cached(docs: DataFrame, cache: DataFrame, id_col: str, text_col: st
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.int32()))], names=["key", "cuts"])
 
     new = materialise(lacking.mapInArrow(ask, "key string, cuts array<int>"), "boundaries")
+    discard(keys)
     known = cache.select(F.col("key").alias("_key"), F.col("cuts").cast("array<int>").alias("_cuts")).unionByName(new.select(F.col("key").alias("_key"), F.col("cuts").alias("_cuts")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
