@@ -2,6 +2,9 @@
 
 Every run has a store of its own, each step is one commit of it, and the summary counts what is stored there, so a run
 that died can be counted, or gone on with from the step that failed.
+
+No step shuffles texts: documents travel with their chunks where an augmentation needs them, tasks write the rows that they have,
+and words find their cluster by its centre, not by a join.
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from corpusgraph.functions import config, models
 from corpusgraph.operators import chunking, clusters, ingest, minibatch, retrieval
-from corpusgraph.session import discard, materialise
 from corpusgraph.sources.store import Store
 
 STEPS = ("sample", "ingest", "cluster", "profile", "export")
@@ -26,6 +28,7 @@ TABLES = {
     "notes": ("source_file string, text string", ["source_file"]),
     "chunks": ("chunk_id string, source_file string, chunk_index int, text string, embed_text string, heading_path string, embedding array<double>", ["source_file"]),
     "members": ("chunk_id string, cluster_id int, distance double", ["chunk_id"]),
+    "centres": ("cluster_id int, centre array<double>", ["cluster_id"]),
     "centroids": ("cluster_id int, centroid array<double>, size long", ["cluster_id"]),
     "profiles": ("cluster_id int, keywords array<string>, size long", ["cluster_id"]),
     "exports": ("kind string, json string", ["kind"]),
@@ -73,7 +76,7 @@ def run(
 def _whole(change, name: str, rows: DataFrame) -> None:
     """A table becomes these rows."""
     change.clear(name)
-    change.append(name, rows)
+    change.append(name, rows, deal=False)
 
 
 def _sample(change, notes, share, **_) -> None:
@@ -82,24 +85,40 @@ def _sample(change, notes, share, **_) -> None:
 
 def _ingest(change, settings, embed, write, **_) -> None:
     notes = change.read("notes")
-    chunks = ingest.chunk(notes, "source_file", "text", settings["chunking_strategy"]).join(notes.select("source_file", F.col("text").alias("document")), "source_file")
-    said = models.embed_text(settings["chunking_augmentation"], F.col("text"), F.col("document"), write, int(settings["contextual_max_doc_chars"]))
+    chunks = ingest.chunk(notes, "source_file", "text", settings["chunking_strategy"], "document" if write else None)
+    document = F.col("document") if write else F.lit(None).cast("string")
+    said = models.embed_text(settings["chunking_augmentation"], F.col("text"), document, write, int(settings["contextual_max_doc_chars"]))
     named = F.concat_ws("#", "source_file", F.col("chunk").cast("string"))
     rows = chunks.select(named.alias("chunk_id"), "source_file", F.col("chunk").alias("chunk_index"), "text", said.alias("embed_text"), "heading_path")
     _whole(change, "chunks", rows.withColumn("embedding", embed(F.col("embed_text"))))
+    change.clear("centres")  # those were of other chunks
 
 
 def _cluster(change, n_clusters, **_) -> None:
-    chunks = change.read("chunks").select("chunk_id", "embedding")
-    found = materialise(minibatch.kmeans(chunks, "chunk_id", "embedding", n_clusters, steps=4, starts=1), "found")
-    _whole(change, "members", found.select("chunk_id", F.col("cluster").alias("cluster_id"), F.col("distance2").alias("distance")))
-    placed = chunks.join(found.select("chunk_id", F.col("cluster").alias("cluster_id")), "chunk_id")
-    _whole(change, "centroids", clusters.centroids(placed, "cluster_id", "embedding").select("cluster_id", "centroid", "size"))
-    discard(found)
+    chunks = change.read("chunks")
+    centres = minibatch.centres(minibatch.points(chunks, "chunk_id", "embedding"), n_clusters, steps=4, starts=1)
+    for name in ("members", "centres", "centroids"):
+        change.clear(name)
+    if centres is not None:
+        placed = _placed(chunks, centres)
+        _whole(change, "members", placed.select("chunk_id", "cluster_id", "distance"))
+        _whole(change, "centres", chunks.sparkSession.createDataFrame(list(enumerate(centres.tolist())), TABLES["centres"][0]))
+        _whole(change, "centroids", clusters.centroids(placed, "cluster_id", "embedding").select("cluster_id", "centroid", "size"))
+
+
+def _placed(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Chunks that have a vector, with ``cluster_id`` and ``distance``."""
+    at = minibatch.place(F.col("embedding"), centres)
+    return chunks.where(F.size("embedding") > 0).withColumn("_at", at).select("*", F.col("_at.cluster").alias("cluster_id"), F.col("_at.distance2").alias("distance"))
 
 
 def _profile(change, **_) -> None:
-    members = change.read("chunks").select("chunk_id", "text").join(change.read("members").select("chunk_id", "cluster_id"), "chunk_id")
+    chunks = change.read("chunks")
+    centres = np.array([r["centre"] for r in change.read("centres").orderBy("cluster_id").collect()], float)  # one a cluster
+    if len(centres):
+        members = _placed(chunks, centres).select("chunk_id", "text", "cluster_id")
+    else:  # the chunks were ingested again since, or clustered before centres were stored
+        members = chunks.select("chunk_id", "text").join(change.read("members").select("chunk_id", "cluster_id"), "chunk_id")
     words = retrieval.keywords(members, "cluster_id", "chunk_id", "text", 5)
     listed = words.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("keywords"))  # five a cluster
     size = change.read("centroids").select("cluster_id", "size")

@@ -222,8 +222,11 @@ STRATEGIES: dict[str, Callable[[str], list[dict]]] = {
 }
 
 
-def chunk(docs: DataFrame, id_col: str, text_col: str, strategy: str) -> DataFrame:
-    """(id, chunk, start, text, heading_path, heading_level, section_title) by a strategy's name; an unknown one is an error."""
+def chunk(docs: DataFrame, id_col: str, text_col: str, strategy: str, document: str | None = None) -> DataFrame:
+    """(id, chunk, start, text, heading_path, heading_level, section_title) by a strategy's name; an unknown one is an error.
+
+    With ``document``, a column of that name has the whole text of each chunk's document, so that nobody joins it again.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}; known are {', '.join(STRATEGIES)}")
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -232,10 +235,13 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, strategy: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = STRATEGIES[strategy]
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([split(t.as_py() or "") for t in batch.column(1)], pa.list_(fields))], names=["_id", "chunks"])
+            found = pa.array([split(t.as_py() or "") for t in batch.column(1)], pa.list_(fields))
+            yield pa.RecordBatch.from_arrays([*(batch.columns if document else batch.columns[:1]), found], names=[*("_id", "_text")[: 2 if document else 1], "chunks"])
 
     kind = source.schema["_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"_id {kind}, chunks {CHUNK}").select(F.col("_id").alias(id_col), F.explode("chunks").alias("c")).select(id_col, "c.*")
+    whole = [F.col("_text").alias(document)] if document else []
+    found = source.mapInArrow(run, f"_id {kind}, {'_text string, ' if document else ''}chunks {CHUNK}")
+    return found.select(F.col("_id").alias(id_col), *whole, F.explode("chunks").alias("c")).select(id_col, "c.*", *([document] if document else []))
 
 
 def semantic_cached(docs: DataFrame, cache: DataFrame, id_col: str, text_col: str, same: Callable[[str, str], bool] = _never, propose: Callable[[str], str | None] | None = None) -> tuple[DataFrame, DataFrame]:

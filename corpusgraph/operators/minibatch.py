@@ -1,8 +1,9 @@
 """Mini-batch k-means: seeds by k-means||, centres moved by batches at rates of their own, the best of several starts.
 
 The rows that steps use are drawn by a hash of the key: about ``batch`` rows a step, each row in one step at most, so what a start reads
-is ``steps * batch`` rows, written once by step; all rows are read to draw the seeds, to compare starts, and to be assigned. Centres
-(at most ``k`` rows) and the candidates for seeds (about ``2 k`` a round) are what passes through the driver.
+is ``steps * batch`` rows, written once by step; all rows are read to draw the seeds, to compare several starts, and to be assigned. Centres
+(at most ``k`` rows) and the candidates for seeds (about ``2 k`` a round) are what passes through the driver. Rows that lie in a written
+table are read there; nothing but the rows drawn is written again.
 
 Edge cases: more centres than rows are capped; k below 1 is an error; null and empty vectors aren't clustered; vectors of different
 lengths are an error; without rows there are no clusters. The same keys, vectors and seed give the same clusters.
@@ -10,8 +11,6 @@ lengths are an error; without rows there are no clusters. The same keys, vectors
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,10 +28,10 @@ def chance(key: Column | str, *salt: int) -> Column:
 
 
 def _points(column: pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    if len({len(r) for r in rows}) > 1:
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    if sizes.min() != sizes.max():
         raise ValueError("vectors differ in length")
-    return np.array(rows, float).reshape(len(rows), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(sizes), -1)
 
 
 def squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -43,19 +42,31 @@ def squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
-def _nearest(rows: DataFrame, centres: np.ndarray) -> DataFrame:
-    """(key, v, cluster, d2): ties go to the first centre."""
-    shared = rows.sparkSession.sparkContext.broadcast(centres)
+def points(vecs: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, v): the rows that are clustered."""
+    return vecs.select(F.col(key).alias("key"), V.as_double(F.col(vector)).alias("v")).where(F.size("v") > 0)
+
+
+def place(vector: Column, centres: np.ndarray) -> Column:
+    """(cluster, distance2) of vectors, which are neither null nor empty: the nearest centre, ties to the first.
+
+    Other columns stay where they are: only vectors go to the workers, and the same centres give the same places again.
+    """
+
+    def run(column: pa.Array) -> pa.Array:
+        at, far = [np.zeros(0, np.int32)], [np.zeros(0)]
+        for lo in range(0, len(column), 512):
+            d = np.round(squares(_points(column.slice(lo, 512)), centres), 6)
+            at.append(d.argmin(1).astype(np.int32))
+            far.append(d[np.arange(len(d)), at[-1]])
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(at)), pa.array(np.concatenate(far))], names=["cluster", "distance2"])
+
+    return F.arrow_udf(run, "cluster int, distance2 double")(vector)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                d = np.round(squares(_points(part.column(1)), shared.value), 6)
-                at = d.argmin(1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(d)), at])], names=["key", "v", "cluster", "d2"])
 
-    return rows.select("key", "v").mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, v array<double>, cluster int, d2 double")
+def _nearest(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(key, v, cluster, d2): ties go to the first centre."""
+    return rows.withColumn("_at", place(F.col("v"), centres)).select("key", "v", F.col("_at.cluster").alias("cluster"), F.col("_at.distance2").alias("d2"))
 
 
 def seeds(rows: DataFrame, k: int, seed: int, start: int) -> np.ndarray:
@@ -94,31 +105,38 @@ def move(centres: np.ndarray, seen: np.ndarray, sums: np.ndarray, counts: np.nda
     return centres + rate * (sums - counts[:, None] * centres), seen
 
 
-def kmeans(vecs: DataFrame, key: str, vector: str, k: int, batch: int = 256, steps: int = 20, starts: int = 3, seed: int = 42) -> DataFrame:
-    """(key, cluster, distance2) of the start with the smallest sum of squared distances."""
+def centres(rows: DataFrame, k: int, batch: int = 256, steps: int = 20, starts: int = 3, seed: int = 42) -> np.ndarray | None:
+    """The centres of the start with the smallest sum of squared distances, over ``points`` of a written table; None without rows."""
     if k < 1:
         raise ValueError("k must be 1 or more")
-    rows = materialise(vecs.select(F.col(key).alias("key"), V.as_double(F.col(vector)).alias("v")).where(F.size("v") > 0), "points")
     n = rows.count()
-    out_schema = f"{key} {rows.schema['key'].dataType.simpleString()}, cluster int, distance2 double"
     if not n:
-        return vecs.sparkSession.createDataFrame([], out_schema)
+        return None
     best = None
     for start in range(starts):
-        centres = seeds(rows, min(k, n), seed, start)
-        seen = np.zeros(len(centres))
+        found = seeds(rows, min(k, n), seed, start)
+        seen = np.zeros(len(found))
         parts = max(1, n // batch)
         step = F.floor(chance("key", seed, start, -1) * parts).cast("int")
         drawn = materialise(rows.withColumn("step", step).where(F.col("step") < steps).select("key", "v", "step"), "batches", ["step"])
         for s in range(min(steps, parts)):
-            near = _nearest(drawn.where(F.col("step") == s), centres)
+            near = _nearest(drawn.where(F.col("step") == s), found)
             dims = near.select("cluster", F.posexplode("v").alias("dim", "x")).groupBy("cluster", "dim").agg(F.sum("x").alias("x"), F.count("*").alias("n")).collect()
-            sums, counts = np.zeros_like(centres), np.zeros(len(centres))
+            sums, counts = np.zeros_like(found), np.zeros(len(found))
             for r in dims:
                 sums[r["cluster"], r["dim"]], counts[r["cluster"]] = r["x"], r["n"]
-            centres, seen = move(centres, seen, sums, counts)
+            found, seen = move(found, seen, sums, counts)
         discard(drawn)
-        cost = _nearest(rows, centres).agg(F.sum("d2")).first()[0]
+        cost = _nearest(rows, found).agg(F.sum("d2")).first()[0] if starts > 1 else 0.0
         if best is None or cost < best[0]:
-            best = cost, centres
-    return _nearest(rows, best[1]).select(F.col("key").alias(key), "cluster", F.col("d2").alias("distance2"))
+            best = cost, found
+    return best[1]
+
+
+def kmeans(vecs: DataFrame, key: str, vector: str, k: int, batch: int = 256, steps: int = 20, starts: int = 3, seed: int = 42) -> DataFrame:
+    """(key, cluster, distance2) of the start with the smallest sum of squared distances."""
+    rows = materialise(points(vecs, key, vector), "points")
+    found = centres(rows, k, batch, steps, starts, seed)
+    if found is None:
+        return vecs.sparkSession.createDataFrame([], f"{key} {rows.schema['key'].dataType.simpleString()}, cluster int, distance2 double")
+    return _nearest(rows, found).select(F.col("key").alias(key), "cluster", F.col("d2").alias("distance2"))

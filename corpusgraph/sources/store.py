@@ -31,6 +31,8 @@ from pyspark.sql.types import StructType
 from corpusgraph.operators.ranking import latest_per_key
 
 PARTS = 64
+#: Rows that are written where they are: bytes of a row group, so that a few files can be read by many tasks, and files that a task has open at once.
+GROUP_BYTES, OPEN_FILES = 4 << 20, 16
 #: Keys of a change that travel to all tasks when the old rows of its parts are sifted.
 BROADCAST_ROWS = 200_000
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
@@ -177,18 +179,32 @@ class Change:
         """A table with what this change did so far."""
         return self.store._rows(name, self.now)
 
-    def _write(self, name: str, rows: DataFrame) -> dict[str, list[str]]:
-        """Writes rows by part; large parts are split over tasks, small ones share one. The folder of each part that has rows."""
+    def _write(self, name: str, rows: DataFrame, deal: bool = True) -> dict[str, list[str]]:
+        """Writes rows by part; large parts are split over tasks, small ones share one. The folder of each part that has rows.
+
+        Without ``deal`` no row leaves its task, each of which writes a file a part: for whole tables of few parts.
+        """
         t, folder = self.now["tables"][name], uuid.uuid4().hex
         schema = self.store.schema(name, self.now)
         have = rows.schema
         full = rows.select(*[(F.col(f.name).cast(f.dataType) if f.name in have.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
-        full.withColumn("_part", _part(t["key"], t["parts"])).hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{self.store.root}/data/{folder}")
+        full, target = full.withColumn("_part", _part(t["key"], t["parts"])), f"{self.store.root}/data/{folder}"
+        if deal:
+            full.hint("rebalance", "_part").write.option("compression", "zstd").partitionBy("_part").parquet(target)
+        else:
+            conf, several = self.store.spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
+            before = conf.get(several)
+            conf.set(several, str(min(t["parts"], OPEN_FILES)))  # instead of a sort of all rows by part
+            try:
+                full.write.option("compression", "zstd").option("parquet.block.size", str(GROUP_BYTES)).partitionBy("_part").parquet(target)
+            finally:
+                conf.set(several, before)
         return {n.removeprefix("_part="): [f"{folder}/{n}"] for n in self.store._names(f"data/{folder}") if n.startswith("_part=")}
 
-    def append(self, name: str, rows: DataFrame) -> None:
+    def append(self, name: str, rows: DataFrame, deal: bool = True) -> None:
+        """More rows. Without ``deal`` they are written by the tasks that have them, not shuffled by part first."""
         files = self.now["tables"][name]["files"]
-        for p, dirs in self._write(name, rows).items():
+        for p, dirs in self._write(name, rows, deal).items():
             files[p] = files.get(p, []) + dirs
 
     def _swap(self, name: str, parts: set[int], *written: dict[str, list[str]]) -> None:

@@ -430,6 +430,40 @@ def test_experiment_runs(sp, tmp_path):
         experiment.run(stores["a"], notes, plan[0], steps=("sing",))
 
 
+def _shuffled(sp):
+    """Bytes that all stages so far have written for shuffles."""
+    sc = sp.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_experiment_shuffles_no_texts(sp, tmp_path):
+    from corpusgraph.functions import config
+    from corpusgraph.operators import experiment
+
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(50)]
+    notes = sp.createDataFrame([(f"n{k}", " ".join(rng.choices(words, k=2000))) for k in range(200)], "source_file string, text string")
+    notes.write.parquet(f"{tmp_path}/notes")
+    notes = sp.read.parquet(f"{tmp_path}/notes")
+    plan, store, before = config.run_plan({"PHASE_A_RUNS": "a"}), Store(sp, f"file://{tmp_path}/a"), _shuffled(sp)
+    got = experiment.run(store, notes, plan[0], n_clusters=3)
+    used = _shuffled(sp) - before
+    assert got["file_count"] == 200 and got["cluster_count"] == 3 and used < 200 * 2000 * 8 / 20  # the texts have 3.2 MB
+    # words that find their cluster by its centre are those of its members
+    rows = lambda: sorted(map(str, store.read("profiles").collect()))
+    want, change = rows(), store.begin()
+    change.clear("centres")
+    change.commit()
+    experiment.run(store, notes, plan[0], steps=("profile",))
+    assert rows() == want and store.read("centres").count() == 0
+    # chunks that come later have no cluster, also for words
+    experiment.run(store, notes, plan[0], steps=("cluster",))
+    experiment.run(store, notes.withColumn("source_file", F.concat(F.lit("later"), "source_file")), plan[0], steps=("sample", "ingest", "profile"))
+    assert store.read("profiles").where("size(keywords) > 0").count() == 0
+
+
 def test_debounce_by_links_equals_one_pass(sp):
     from corpusgraph.streaming.debounce import debounce_batch, debounce_linked
 
