@@ -96,7 +96,7 @@ def _ingest(change, settings, embed, write, **_) -> None:
 
 def _cluster(change, n_clusters, **_) -> None:
     chunks = change.read("chunks")
-    centres = minibatch.centres(minibatch.points(chunks, "chunk_id", "embedding"), n_clusters, steps=4, starts=1)
+    centres = minibatch.centres(minibatch.points(chunks, "chunk_id", "embedding"), n_clusters, starts=1)
     for name in ("members", "centres", "centroids"):
         change.clear(name)
     if centres is not None:

@@ -1,9 +1,11 @@
 """Mini-batch k-means: seeds by k-means||, centres moved by batches at rates of their own, the best of several starts.
 
-The rows that steps use are drawn by a hash of the key: about ``batch`` rows a step, each row in one step at most, so what a start reads
-is ``steps * batch`` rows, written once by step; all rows are read to draw the seeds, to compare several starts, and to be assigned. Centres
-(at most ``k`` rows) and the candidates for seeds (about ``2 k`` a round) are what passes through the driver. Rows that lie in a written
-table are read there; nothing but the rows drawn is written again.
+All rows move the centres: they are dealt into batches by a hash of the key, written once a start by batch, and passes over all batches
+go on until one lowers the sum of squared distances by less than ``LESS`` of it. A batch has ``batch`` rows or more, as a pass has
+``BATCHES`` of them at most: batches come one after another, so their number may not grow with the rows. Only who names ``steps`` gets
+a part: so many batches of about ``batch`` rows a start, each row in one at most. All rows are read to draw the seeds, to compare
+several starts, and to be assigned. Centres (at most ``k`` rows), the candidates for seeds (about ``2 k`` a round) and one row of sums
+a task are what passes through the driver.
 
 Edge cases: more centres than rows are capped; k below 1 is an error; null and empty vectors aren't clustered; vectors of different
 lengths are an error; without rows there are no clusters. The same keys, vectors and seed give the same clusters.
@@ -11,6 +13,8 @@ lengths are an error; without rows there are no clusters. The same keys, vectors
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +24,8 @@ from corpusgraph.functions import vectors as V
 from corpusgraph.session import discard, materialise
 
 ROUNDS = 3
+#: Batches of a pass over all rows and passes at most (the reference's ``max_iter``), and the share of the sum that a pass must save to be followed by another.
+BATCHES, PASSES, LESS = 8, 100, 0.001
 
 
 def chance(key: Column | str, *salt: int) -> Column:
@@ -105,27 +111,51 @@ def move(centres: np.ndarray, seen: np.ndarray, sums: np.ndarray, counts: np.nda
     return centres + rate * (sums - counts[:, None] * centres), seen
 
 
-def centres(rows: DataFrame, k: int, batch: int = 256, steps: int = 20, starts: int = 3, seed: int = 42) -> np.ndarray | None:
+def _batch(vectors: DataFrame, found: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centres and their counts after a batch, and its sum of squared distances before it. A task adds up its rows; one row a task leaves it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts, cost = np.zeros_like(found), np.zeros(len(found)), 0.0
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                x = _points(b.column(0).slice(lo, 512))
+                d = np.round(squares(x, found), 6)
+                at = d.argmin(1)
+                sums += np.equal.outer(np.arange(len(found)), at).astype(float) @ x
+                counts += np.bincount(at, minlength=len(found))
+                cost += d.min(1).sum()
+        if counts.any():
+            yield pa.RecordBatch.from_pylist([{"sums": sums.ravel(), "counts": counts, "cost": cost}])
+
+    sums, counts, cost = np.zeros_like(found), np.zeros(len(found)), 0.0
+    for r in vectors.mapInArrow(run, "sums array<double>, counts array<double>, cost double").collect():
+        sums, counts, cost = sums + np.reshape(r["sums"], sums.shape), counts + r["counts"], cost + r["cost"]
+    return *move(found, seen, sums, counts), cost
+
+
+def centres(rows: DataFrame, k: int, batch: int = 256, steps: int | None = None, starts: int = 3, seed: int = 42) -> np.ndarray | None:
     """The centres of the start with the smallest sum of squared distances, over ``points`` of a written table; None without rows."""
     if k < 1:
         raise ValueError("k must be 1 or more")
     n = rows.count()
     if not n:
         return None
-    best = None
+    best, whole = None, steps is None
+    parts = max(1, min(n // batch, BATCHES) if whole else n // batch)
     for start in range(starts):
         found = seeds(rows, min(k, n), seed, start)
         seen = np.zeros(len(found))
-        parts = max(1, n // batch)
-        step = F.floor(chance("key", seed, start, -1) * parts).cast("int")
-        drawn = materialise(rows.withColumn("step", step).where(F.col("step") < steps).select("key", "v", "step"), "batches", ["step"])
-        for s in range(min(steps, parts)):
-            near = _nearest(drawn.where(F.col("step") == s), found)
-            dims = near.select("cluster", F.posexplode("v").alias("dim", "x")).groupBy("cluster", "dim").agg(F.sum("x").alias("x"), F.count("*").alias("n")).collect()
-            sums, counts = np.zeros_like(found), np.zeros(len(found))
-            for r in dims:
-                sums[r["cluster"], r["dim"]], counts[r["cluster"]] = r["x"], r["n"]
-            found, seen = move(found, seen, sums, counts)
+        dealt = rows.withColumn("step", F.floor(chance("key", seed, start, -1) * parts).cast("int")).select("v", "step")
+        drawn = materialise(dealt if whole else dealt.where(F.col("step") < steps), "batches", ["step"])
+        last = np.inf
+        for _ in range(PASSES if whole else 1):
+            cost = 0.0
+            for s in range(parts if whole else min(steps, parts)):
+                found, seen, more = _batch(drawn.where(F.col("step") == s).select("v"), found, seen)
+                cost += more
+            if not cost < (1 - LESS) * last:
+                break
+            last = cost
         discard(drawn)
         cost = _nearest(rows, found).agg(F.sum("d2")).first()[0] if starts > 1 else 0.0
         if best is None or cost < best[0]:
@@ -133,7 +163,7 @@ def centres(rows: DataFrame, k: int, batch: int = 256, steps: int = 20, starts:
     return best[1]
 
 
-def kmeans(vecs: DataFrame, key: str, vector: str, k: int, batch: int = 256, steps: int = 20, starts: int = 3, seed: int = 42) -> DataFrame:
+def kmeans(vecs: DataFrame, key: str, vector: str, k: int, batch: int = 256, steps: int | None = None, starts: int = 3, seed: int = 42) -> DataFrame:
     """(key, cluster, distance2) of the start with the smallest sum of squared distances."""
     rows = materialise(points(vecs, key, vector), "points")
     found = centres(rows, k, batch, steps, starts, seed)

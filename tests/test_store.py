@@ -362,6 +362,52 @@ def test_mini_batches_equal_numpy(sp):
         minibatch.kmeans(df, "i", "v", 0)
 
 
+def test_all_rows_move_centres(sp, tmp_path, monkeypatch):
+    from corpusgraph.functions import config
+    from corpusgraph.operators import experiment, minibatch
+
+    moved, move = [], minibatch.move
+
+    def spy(centres, seen, sums, counts):
+        moved.append(int(counts.sum()))
+        return move(centres, seen, sums, counts)
+
+    monkeypatch.setattr(minibatch, "move", spy)
+    rng = np.random.default_rng(9)
+    x = 2 * rng.normal(size=(4, 3))[np.arange(900) % 4] + rng.normal(size=(900, 3))
+    df = sp.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(900)] + [(900, None), (901, [])], "i long, v array<double>")
+    got = {r["i"]: (r["cluster"], r["distance2"]) for r in minibatch.kmeans(df, "i", "v", 4, batch=10, starts=1, seed=7).collect()}
+    passes = len(moved) // minibatch.BATCHES
+    assert passes > 1 and len(moved) == passes * minibatch.BATCHES and sum(moved) == passes * 900
+    step = [r["s"] for r in df.where("i < 900").select("i", F.floor(minibatch.chance("i", 7, 0, -1) * minibatch.BATCHES).alias("s")).orderBy("i").collect()]
+    c, n, last = minibatch.seeds(minibatch.points(df, "i", "v"), 4, 7, 0), np.zeros(4), np.inf
+    for p in range(1, 101):
+        cost = 0.0
+        for s in range(minibatch.BATCHES):
+            part = x[np.array(step) == s]
+            d = np.round(((part[:, None] - c) ** 2).sum(2), 6)
+            cost += d.min(1).sum()
+            for row, k in zip(part, d.argmin(1), strict=True):  # one after another
+                n[k] += 1
+                c[k] = c[k] + (row - c[k]) / n[k]
+        if cost >= 0.999 * last:
+            break
+        last = cost
+    d = ((x[:, None] - c) ** 2).sum(2)
+    assert p == passes and [got[k][0] for k in range(900)] == d.argmin(1).tolist() and np.allclose([got[k][1] for k in range(900)], d.min(1), atol=1e-5)
+    # rows that lie on their centres are settled by a second pass
+    moved.clear()
+    same = sp.createDataFrame([(k, [1.0, 2.0]) for k in range(100)], "i long, v array<double>")
+    assert {tuple(r)[1:] for r in minibatch.kmeans(same, "i", "v", 3, batch=60, starts=1).collect()} == {(0, 0.0)} and moved == [100, 100]
+    # an experiment's chunks all move the centres of its run
+    moved.clear()
+    words = ["".join(w) for w in rng.choice(list("abcdefgh"), size=(50, 7))]
+    notes = sp.createDataFrame([(f"n{k}", " ".join(rng.choice(words, size=1200).tolist())) for k in range(200)], "source_file string, text string")
+    run = experiment.run(Store(sp, f"file://{tmp_path}/a"), notes, config.run_plan({"PHASE_A_RUNS": "a"})[0], n_clusters=3)
+    in_pass = min(run["chunk_count"] // 256, minibatch.BATCHES)
+    assert in_pass > 4 and len(moved) % in_pass == 0 and sum(moved) == len(moved) // in_pass * run["chunk_count"]
+
+
 def test_chunkers_as_table_functions(sp):
     from corpusgraph.functions import tables
     from corpusgraph.operators import ingest
